@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,34 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def crc_bucket(doc_id: str, buckets: int) -> F.Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.expr(f"pmod(crc32(cast(cast({doc_id} as string) as binary)), {buckets})")
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one value."""
+    return b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 0
+    for k in kinds:
+        n = int(np.frombuffer(data, np.int64, 1, at)[0])
+        out.append(np.frombuffer(data, k, n, at + 8))
+        at += 8 + n * np.dtype(k).itemsize
+    return out
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows of one key after another, from batches that are sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        keys = np.asarray(batch.column(by))
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            k = int(keys[i])
+            if k != now and held:
+                yield now, held
+                held = []
+            now = k
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield now, held

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, tune, written
+from .common import groups, mix, packed, tune, unpacked, written
 
 #: Bytes of a repeated string, of an anchor, and of a pack's texts, about.
 LENGTH, GRAM, PACK_BYTES = 100, 24, 3_000_000
@@ -294,19 +294,6 @@ class Pack:
         return valid, repeats
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
-
-
-def _unblob(data: bytes, *kinds: str) -> list[np.ndarray]:
-    out, at = [], 0
-    for k in kinds:
-        n = int(np.frombuffer(data, np.int64, 1, at)[0])
-        out.append(np.frombuffer(data, k, n, at + 8))
-        at += 8 + n * np.dtype(k).itemsize
-    return out
-
-
 def _table(columns: dict) -> pa.Table:
     kinds = {"id": pa.int64(), "bucket": pa.int64(), "pack": pa.int64(), "data": pa.binary(), "kind": pa.int32()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
@@ -338,7 +325,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             b = h % np.uint64(buckets)
             order = np.argsort(b, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], b[order][1:] != b[order][:-1], [True])))
-            rows = [(int(b[order[i]]), _blob(h[order[i:j]], p[order[i:j]])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [(int(b[order[i]]), packed(h[order[i:j]], p[order[i:j]])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             for i in range(0, len(rows), 256):
                 yield from _table({"bucket": [r[0] for r in rows[i : i + 256]], "data": [r[1] for r in rows[i : i + 256]]}).to_batches()
 
@@ -365,8 +352,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tells each pack its anchors that other packs have too. A partition's rows come bucket by bucket."""
-        for _, rows in _groups(batches, "bucket"):
-            got = [_unblob(d, "u8", "i4") for r in rows for d in r.column("data").to_pylist()]
+        for _, rows in groups(batches, "bucket"):
+            got = [unpacked(d, "u8", "i4") for r in rows for d in r.column("data").to_pylist()]
             h, p = (np.concatenate(x) for x in zip(*got, strict=True))
             order = np.lexsort((p, h))
             h, p = h[order], p[order]
@@ -402,7 +389,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         valid, whole = pack.searched({d for k, d in zip(kinds, data, strict=True) if k == 1})
         if whole:
             out["bucket"].append(-1 - name), out["pack"].append(name), out["kind"].append(1)
-            out["data"].append(_blob(np.array(whole, np.int32), np.zeros(len(whole), np.int32), np.array([len(pack.texts[i]) - length + 1 for i in whole], np.int32)))
+            out["data"].append(packed(np.array(whole, np.int32), np.zeros(len(whole), np.int32), np.array([len(pack.texts[i]) - length + 1 for i in whole], np.int32)))
         start, stop, place, h = anchor_runs(pack.data, valid, length, gram)
         if not len(start):
             return _table(out)
@@ -422,7 +409,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             r = np.searchsorted(pack.offset, a, "right") - 1
             if len(a):
                 out["bucket"].append(-1 - name), out["pack"].append(name), out["kind"].append(1)
-                out["data"].append(_blob(r.astype(np.int32), (a - pack.offset[r]).astype(np.int32), (e - a).astype(np.int32)))
+                out["data"].append(packed(r.astype(np.int32), (a - pack.offset[r]).astype(np.int32), (e - a).astype(np.int32)))
         away = np.flatnonzero(np.isin(h, outside))
         if len(away):
             at, which = ranges(start[away], stop[away])
@@ -438,14 +425,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
                 src, _ = ranges(a[o], a[o] + z)
                 r = row[w[o]]
                 out["bucket"].append(int(b[o[0]])), out["pack"].append(name), out["kind"].append(0)
-                out["data"].append(_blob(h[w[o]], r.astype(np.int32), pack.owner[r], (a[o] - pack.offset[r]).astype(np.int32), (e[o] - a[o]).astype(np.int32), (place[w[o]] - a[o]).astype(np.int32), pack.data[src]))
+                out["data"].append(packed(h[w[o]], r.astype(np.int32), pack.owner[r], (a[o] - pack.offset[r]).astype(np.int32), (e[o] - a[o]).astype(np.int32), (place[w[o]] - a[o]).astype(np.int32), pack.data[src]))
         return _table(out)
 
     pieces = in_pack.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(first_look, "bucket long, pack long, kind int, data binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorts the pieces of a bucket from all packs; tells packs their starts that are not the first of a class."""
-        for bucket, rows in _groups(batches, "bucket"):
+        for bucket, rows in groups(batches, "bucket"):
             if bucket < 0:  # a pack's own repeats pass through
                 for r in rows:
                     yield from pa.table({"pack": r.column("pack"), "data": r.column("data")}).to_batches()
@@ -453,7 +440,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             packs_of, got = [], []
             for r in rows:
                 for p, d in zip(r.column("pack").to_pylist(), r.column("data").to_pylist(), strict=True):
-                    got.append(_unblob(d, "u8", "i4", "i8", "i4", "i4", "i4", "u1"))
+                    got.append(unpacked(d, "u8", "i4", "i8", "i4", "i4", "i4", "u1"))
                     packs_of.append(p)
             h, row, owner, place, n, before, data = (np.concatenate(x) for x in zip(*got, strict=True))
             pack = np.repeat(np.array(packs_of, np.int64), [len(g[0]) for g in got])
@@ -487,7 +474,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             out: dict = {"pack": [], "data": []}
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 out["pack"].append(int(pack[o[i]]))
-                out["data"].append(_blob(row[o[i:j]], a[i:j].astype(np.int32), k[i:j].astype(np.int32)))
+                out["data"].append(packed(row[o[i:j]], a[i:j].astype(np.int32), k[i:j].astype(np.int32)))
             yield from _table(out).to_batches()
 
     marks = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "pack long, data binary")
@@ -496,7 +483,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         pack = Pack(left, length)
         change = np.zeros(len(pack.data) + 1, np.int32)
         for d in right.column("data").to_pylist():
-            row, start, n = _unblob(d, "i4", "i4", "i4")
+            row, start, n = unpacked(d, "i4", "i4", "i4")
             at = pack.offset[row] + start
             np.add.at(change, at, 1)
             np.add.at(change, at + n + length - 1, -1)
@@ -515,20 +502,3 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
 
     extra = ", kept binary, edges array<long>" if with_text else ""
     return in_pack.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Rows of one key after another, from batches that are sorted by it."""
-    now, held = None, []
-    for batch in batches:
-        keys = np.asarray(batch.column(by))
-        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            k = int(keys[i])
-            if k != now and held:
-                yield now, held
-                held = []
-            now = k
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield now, held
