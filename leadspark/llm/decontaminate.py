@@ -158,15 +158,19 @@ def spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def scan(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(key, n_words, n_hit, items, hit_spans, contaminated) of each document; hit_spans are word ranges [start, end)."""
+def scan(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """(key, n_words, n_hit, items, hit_spans, contaminated) of each document, and columns to carry along as a struct ``row``.
+
+    hit_spans are word ranges [start, end).
+    """
     tune(docs.sparkSession)
     items = bench.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).filter("i is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (block_words * 4)))
     sc = docs.sparkSession.sparkContext
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("marks"))
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("marks"), *([F.struct(*carry).alias("row")] if carry else []))
+    row = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         data = pickle.dumps(sorted((r.i, alnum_words(r.t)) for r in part.collect()))  # a block of bounded size
@@ -188,11 +192,11 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_
                     n_hit.append(int(mask.sum()))
                     marks.append([{"start": a, "end": z} for a, z in spans(mask)] if last else np.packbits(mask).tobytes())
                 if last:
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["k", "n_words", "n_hit", "items", "hit_spans"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), *b.columns[4:]], names=["k", "n_words", "n_hit", "items", "hit_spans", *["row"] * bool(row)])
                 else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.binary())], names=["k", "t", "items", "marks"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.binary()), *b.columns[4:]], names=["k", "t", "items", "marks", *["row"] * bool(row)])
 
-        out = out.mapInArrow(run, f"k {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:int,end:int>>" if last else f"k {kind}, t string, items array<string>, marks binary")
+        out = out.mapInArrow(run, f"k {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:int,end:int>>{row}" if last else f"k {kind}, t string, items array<string>, marks binary{row}")
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")).withColumnRenamed("k", key)
 
 
@@ -212,3 +216,8 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(
         key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
     )
+
+
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated."""
+    return scan(docs, bench, carry=docs.columns).filter("not contaminated").select("row.*")

@@ -219,3 +219,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
     out = signed.select("id", "n", "print").join(by_print, "print", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows, with all their columns, less those of a near-duplicate class's other documents."""
+    found = near_duplicates(docs, **how)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_model, licenses, minhash, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, language_model, licenses, minhash, quality_rules, resampling, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, least=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_backoff_lm, op8_toxicity, op9_minhash)}
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_backoff_lm, op8_toxicity, op9_minhash, op10_importance_resampling)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -274,7 +274,7 @@ class Pack:
         self.owner = np.array([-(1 << 63) if k is None else k for k in self.ids], np.int64)
         self.offset = np.concatenate(([0], np.cumsum([len(t) for t in self.texts], dtype=np.int64)))
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.length = length
+        self.order, self.length = order, length
 
     def searched(self, copies: set[bytes]) -> tuple[np.ndarray, list[int]]:
         """Valid starts of the texts that are looked at, and the rows that repeat an earlier text as a whole."""
@@ -299,12 +299,14 @@ def _table(columns: dict) -> pa.Table:
     return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes: int = PACK_BYTES, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of each text.
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes: int = PACK_BYTES, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, edges][, row]) of each text.
 
-    kept: the remaining bytes; spans: the removed byte ranges.
+    kept_text: the remaining bytes, less those left of a cut code point; edges: where removed ranges begin and end; row: a struct of columns to carry along.
     """
     tune(docs.sparkSession)
+    carried = [F.struct(*carry).alias("row")] if carry else []
+    kind_of_row = f", row {docs.select(*carried).schema[0].dataType.simpleString()}" if carry else ""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packs = max(1, -(-total // pack_bytes))
@@ -494,11 +496,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             removed = int(mask.sum())
             kept = t if not removed else pack.data[pack.offset[i] : pack.offset[i + 1]][~mask].tobytes()
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mask, [0])).astype(np.int8)))
-            rows.append((pack.ids[i], len(t), removed, len(edge) // 2, hashlib.sha256(kept).hexdigest(), kept if with_text else None, edge.tolist() if with_text else None))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "edges"][: 7 if with_text else 5]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+            rows.append((pack.ids[i], len(t), removed, len(edge) // 2, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, edge.tolist() if with_text else None))
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "edges"][: 7 if with_text else 5]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
         columns = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=False)})
+        out = pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=False)})
+        return out.append_column("row", left.column("row").take(pa.array(pack.order))) if carry else out
+
+    whole_rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *carried).withColumn("pack", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(packs))) if carry else in_pack
+    extra = ", kept_text string, edges array<long>" if with_text else ""
+    return whole_rows.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra + kind_of_row)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows with the repeated passages cut from their texts; bytes left of a cut code point go with it."""
+    found = repeats(docs, with_text=True, carry=[c for c in docs.columns if c != "text"])
+    return found.select(*(F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns))
 
-    extra = ", kept binary, edges array<long>" if with_text else ""
-    return in_pack.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)

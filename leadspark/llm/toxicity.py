@@ -330,3 +330,16 @@ def judged(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """The contract's columns: learnt from rows outside fold 0, told for all rows."""
     model = learn(docs, labels, crc_bucket("doc_id", folds) != 0)
     return score(docs, model).select("doc_id", F.coalesce(crc_bucket("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
+
+
+def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the limit."""
+    tune(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.terms)
+        for b in batches:
+            yield b.filter(pa.array([model.score(features(t, matcher, model.clean)[0]) < limit for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
