@@ -11,7 +11,7 @@ dealt into packs by a hash of the id. Each pack sends the hashes of its distinct
 counts to buckets; buckets add up and return to each pack the totals of what it sent, in its order. A pack so gets
 just the states and arcs that its own texts can reach. What is moved is one entry for each distinct word or pair of
 a pack, so frequent words weigh as little as rare ones, and no part of the model is sent whole to anyone. Words are
-told apart by 64 bits of hash, pairs by 40 bits inside their bucket.
+told apart by 48 bits of hash inside their bucket, pairs by 40.
 
 Defined cases: a null text is the empty one, whose only token is the end; repeated rows count each; rows of a null id
 are learnt from; without training rows all counts are 0 and every token has probability 1; other columns are left out.
@@ -19,7 +19,6 @@ are learnt from; without training rows all counts are 0 and every token has prob
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_bucket, groups, mix, packed, space_words, tune, unpacked, written
+from .common import NO_ID, WordHashes, bundled, crc_bucket, groups, mix, packed, squeezed, tune, unbundled, unpacked, unsqueezed, written
 
 #: Additive smoothing of single tokens; weight of the shorter history; bytes of a pack's texts, about.
 ADD, PRIOR, PACK_BYTES = 0.1, 100.0, 3_000_000
@@ -87,10 +86,9 @@ class PackTexts:
     """The token hashes of a pack's texts in a fixed order, with distinct tokens and pairs."""
 
     def __init__(self, rows: pa.Table, hashes: WordHashes):
-        ids, train, held = rows.column("id").to_pylist(), rows.column("train").to_pylist(), rows.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, held[i] or ""))
-        self.ids, self.train = [ids[i] for i in order], np.array([train[i] for i in order], bool)
-        parts = [hashes.of(space_words(held[i])) for i in order]
+        texts = unbundled(rows.column("data").to_pylist())
+        self.ids, self.train = [None if i == NO_ID else i for i, _, _ in texts], np.array([f for _, _, f in texts], bool)
+        parts = [hashes.of(t.lower().split()) for _, t, _ in texts]
         self.n = np.array([len(p) + 1 for p in parts], np.int64)
         stop = np.cumsum(self.n)
         tokens, before = np.empty(int(self.n.sum()), np.uint64), np.empty(int(self.n.sum()), np.uint64)
@@ -124,19 +122,28 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(b, kind="stable"), np.cumsum(np.bincount(b, minlength=buckets))
 
 
-_MESSAGE = ("u8", "u1", "u4", "u8", "u1", "u1", "u4", "u8")
-_REPLY = ("u1", "u4", "u8", "u1", "u4", "u8")
+def _low(keys: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of 64-bit keys; the bucket stands for higher ones."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :size].ravel()
+
+
+def _wide(low: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(low) // size, 8), np.uint8)
+    out[:, :size] = low.reshape(-1, size)
+    return out.view(np.uint64).ravel()
+
+
+_COUNTS = ("u1", "u4", "u8", "u1", "u4", "u8")
 
 
 def scores(docs: DataFrame, folds: int = 10, add: float = ADD, prior: float = PRIOR, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of fold 0 are not learnt from."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.coalesce(crc_bucket("doc_id", folds) != 0, F.lit(True)).alias("train"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packs = max(1, -(-total // pack_bytes))
     buckets = max(1, packs // 4)
-    in_pack = texts.withColumn("pack", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(packs)))
+    in_pack = bundled(docs, packs, F.coalesce(crc_bucket("doc_id", folds) != 0, F.lit(True)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
@@ -148,20 +155,18 @@ def scores(docs: DataFrame, folds: int = 10, add: float = ADD, prior: float = PR
         for b in range(buckets):
             w, q = wo[we[b - 1] if b else 0 : we[b]], po[pe[b - 1] if b else 0 : pe[b]]
             if len(w) or len(q):
-                five = np.ascontiguousarray(p.pairs[q]).view(np.uint8).reshape(-1, 8)[:, :5].ravel()
-                out.append((b, packed(p.words[w], *_small(words[w]), five, *_small(pairs[q]))))
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "pack": pa.array([key[0].as_py()] * len(out), pa.int64()), "data": pa.array([r[1] for r in out], pa.binary())})
+                out.append((b, packed(_low(p.words[w], 6), _low(p.pairs[q], 5)) , squeezed(*_small(words[w]), *_small(pairs[q]))))
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "pack": pa.array([key[0].as_py()] * len(out), pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary()), "counts": pa.array([r[2] for r in out], pa.binary())})
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches, "bucket"):
             names, words, word_n, pairs, pair_n = [], [], [], [], []
             for r in rows:
-                for name, d in zip(r.column("pack").to_pylist(), r.column("data").to_pylist(), strict=True):
-                    h, a, i, v, five, a2, i2, v2 = unpacked(d, *_MESSAGE)
-                    wide = np.zeros((len(five) // 5, 8), np.uint8)
-                    wide[:, :5] = five.reshape(-1, 5)
+                for name, k, d in zip(*(r.column(c).to_pylist() for c in ("pack", "keys", "counts")), strict=True):
+                    six, five = unpacked(k, "u1", "u1")
+                    a, i, v, a2, i2, v2 = unsqueezed(d, *_COUNTS)
                     names.append(name)
-                    words.append(h), word_n.append(_full(a, i, v)), pairs.append(wide.view(np.uint64).ravel()), pair_n.append(_full(a2, i2, v2))
+                    words.append(_wide(six, 6)), word_n.append(_full(a, i, v)), pairs.append(_wide(five, 5)), pair_n.append(_full(a2, i2, v2))
             answers, tokens, kinds = [], 0, 0
             for keys, counts in ((words, word_n), (pairs, pair_n)):
                 _, number = np.unique(np.concatenate(keys), return_inverse=True)
@@ -171,15 +176,12 @@ def scores(docs: DataFrame, folds: int = 10, add: float = ADD, prior: float = PR
                 answers.append(np.split(sums[number], np.cumsum([len(k) for k in keys])[:-1]))
             for i, name in enumerate(names):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.array([bucket], pa.int64()), pa.array([packed(*_small(answers[0][i]), *_small(answers[1][i]))], pa.binary()), pa.array([tokens if i == 0 else 0], pa.int64()), pa.array([kinds if i == 0 else 0], pa.int64())],
+                    [pa.array([name], pa.int64()), pa.array([bucket], pa.int64()), pa.array([squeezed(*_small(answers[0][i]), *_small(answers[1][i]))], pa.binary()), pa.array([tokens if i == 0 else 0], pa.int64()), pa.array([kinds if i == 0 else 0], pa.int64())],
                     names=["pack", "bucket", "data", "tokens", "kinds"],
                 )
 
-    sent = in_pack.groupBy("pack").applyInArrow(count, "bucket long, pack long, data binary")
+    sent = in_pack.groupBy("pack").applyInArrow(count, "bucket long, pack long, keys binary, counts binary")
     replies = written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "pack long, bucket long, data binary, tokens long, kinds long"))
-    del sent
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the finished step's shuffle files
     r = replies.agg(F.sum("tokens"), F.sum("kinds")).first()
     tokens, kinds = int(r[0] or 0), int(r[1] or 0)
     z = tokens + add * (kinds + 1)
@@ -191,7 +193,7 @@ def scores(docs: DataFrame, folds: int = 10, add: float = ADD, prior: float = PR
         wo, we = _dealt(p.words, buckets)
         po, pe = _dealt(p.pairs, buckets)
         for b, d in by_bucket.items():
-            a, i, v, a2, i2, v2 = unpacked(d, *_REPLY)
+            a, i, v, a2, i2, v2 = unsqueezed(d, *_COUNTS)
             c[wo[we[b - 1] if b else 0 : we[b]]] = _full(a, i, v)
             c2[po[pe[b - 1] if b else 0 : pe[b]]] = _full(a2, i2, v2)
         root = np.log10((c + add) / z)
