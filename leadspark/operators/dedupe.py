@@ -8,7 +8,7 @@ lead-key graph, so components only divide the work and the fold inside each give
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.components import components, stored
@@ -64,9 +64,14 @@ def apply_plans(leads: DataFrame, plans: DataFrame) -> DataFrame:
     body = [c for c in names if c not in ("run_id", "merged_into", "merged_domains")]
     grouped = d.groupBy("run_id", "survivor_id").agg(F.array_sort(F.collect_list(F.struct("place", *body)), lambda a, b: a["place"] - b["place"]).alias("members"))
     first, rest = F.get("members", F.lit(0)), F.slice("members", F.lit(2), F.greatest(F.size("members") - 1, F.lit(0)))
-    new = {c: F.get(F.filter(F.transform("members", lambda m, c=c: m[c]), lambda v: v.isNotNull()), F.lit(0)) for c in _SCALARS if c in names}
-    for c in ("emails", "phones", "technologies"):
-        new[c] = F.aggregate(rest, first[c], lambda a, m, c=c: ordered_union(a, m[c]))
+
+    def first_given(c: str) -> Column:
+        return F.get(F.filter(F.transform("members", lambda m: m[c]), lambda v: v.isNotNull()), F.lit(0))
+
+    def united(c: str) -> Column:
+        return F.aggregate(rest, first[c], lambda a, m: ordered_union(a, m[c]))
+
+    new = {c: first_given(c) for c in _SCALARS if c in names} | {c: united(c) for c in ("emails", "phones", "technologies")}
     new["socials"] = F.aggregate(rest, first["socials"], lambda a, m: filled_map(a, m["socials"]))
     new["people"] = F.aggregate(rest, first["people"], lambda a, m: added_people(a, m["people"]))
     new["provenance"] = F.aggregate(rest, first["provenance"], lambda a, m: left_biased(a, m["provenance"]))

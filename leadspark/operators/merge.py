@@ -76,16 +76,29 @@ def merge_extraction(extracted: DataFrame, llm: DataFrame, domains: DataFrame) -
         values[field] = said(field)
         sources.append((F.lit(field), F.when(said(field).isNotNull(), _entry(home, F.lit("llm"), 0.7))))
     contacts = {}
+
+    def found(field: str) -> Column:
+        return F.flatten(F.transform(p, lambda x: x[field]))
+
+    def sourced(field: str, name: str, confidence: float) -> Column:
+        def entry(v: Column) -> Column:
+            e = F.get(F.filter(found(field), lambda x: x["value"] == v), F.lit(0))
+            return F.struct(F.concat(F.lit(name + ":"), v).alias("key"), _entry(e["source_url"], e["method"], confidence).alias("value"))
+
+        return F.transform(values[field], entry)
+
     for field, name, confidence in (("emails", "email", 0.98), ("phones", "phone", 0.9)):
-        every = F.flatten(F.transform(p, lambda x, field=field: x[field]))
-        unique = F.array_distinct(F.transform(every, lambda e: e["value"]))
-        values[field] = unique
-        contacts[name] = F.transform(unique, lambda v, every=every, name=name, confidence=confidence: F.struct(F.concat(F.lit(name + ":"), v).alias("key"), _entry(F.get(F.filter(every, lambda e: e["value"] == v), F.lit(0))["source_url"], F.get(F.filter(every, lambda e: e["value"] == v), F.lit(0))["method"], confidence).alias("value")))
+        values[field] = F.array_distinct(F.transform(found(field), lambda e: e["value"]))
+        contacts[name] = sourced(field, name, confidence)
     sources.append((F.lit("emails"), F.get(contacts["email"], F.lit(0))["value"]))
     social_values = []
+
+    def social_page(name: str) -> tuple[Column, Column]:
+        page = F.get(F.filter(p, lambda x: F.exists(x["socials"], lambda e: (e["key"] == name) & (e["value"] != ""))), F.lit(0))
+        return page, F.get(F.filter(page["socials"], lambda e: e["key"] == name), F.lit(0))["value"]
+
     for name in _PLATFORMS:
-        page = F.get(F.filter(p, lambda x, name=name: F.exists(x["socials"], lambda e: (e["key"] == name) & (e["value"] != ""))), F.lit(0))
-        on_page = F.get(F.filter(page["socials"], lambda e, name=name: e["key"] == name), F.lit(0))["value"]
+        page, on_page = social_page(name)
         model = F.nullif(F.try_element_at(F.col("company.socials"), F.lit(name)), F.lit(""))
         social_values += [F.lit(name), F.coalesce(on_page, model)]
         sources.append((F.lit(f"social:{name}"), F.when(on_page.isNotNull(), _entry(page["source_url"], F.lit("regex"), 0.95)).when(model.isNotNull(), _entry(home, F.lit("llm"), 0.7))))
