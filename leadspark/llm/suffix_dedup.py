@@ -46,7 +46,7 @@ LENGTH, GRAM, PACK_BYTES = 100, 24, 3_000_000
 #: A difference cover modulo 32 (every difference modulo 32 is one of two members).
 COVER_MODULUS, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
 #: Suffixes that are sorted at a time, unless one bucket has more.
-BUCKET = 1 << 20
+BUCKET = 1 << 18
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -202,7 +202,7 @@ def anchor_runs(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram:
     if len(data) < length:
         return none, none, none, np.zeros(0, np.uint64)
     out = []
-    width, piece = length - gram + 1, 1 << 22
+    width, piece = length - gram + 1, 1 << 20
     for base in range(0, len(data) - length + 1, piece):
         part = data[base : base + piece + length - 1]
         n = len(part) - gram + 1
@@ -254,6 +254,29 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), which
 
 
+def late_runs(data: np.ndarray, begin: np.ndarray, n: np.ndarray, before: np.ndarray, number: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, offset, starts) of the runs of starts in pieces whose string also starts earlier.
+
+    Pieces of one anchor number are compared; numbers are taken in turn, so only some suffixes are laid out at a time.
+    """
+    order = np.argsort(number, kind="stable")
+    order = order[np.bincount(number)[number[order]] > 1]
+    load, out, i = np.cumsum(n[order], dtype=np.int64), [], 0
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + BUCKET, "right")))
+        if j < len(order):  # to the end of the last number
+            j = int(np.searchsorted(number[order], number[order[j - 1]], "right"))
+        o = order[i:j]
+        block, at0 = laid(data, begin[o], begin[o] + n[o], before[o].astype(np.int64), length)
+        at, which = ranges(at0, at0 + n[o])
+        late = later(SuffixBlock(block, length), at, number[o][which], owner[o][which], place[o][which] + at - at0[which], aligned=True)
+        a, e, w = runs_of((at - at0[which])[late], which[late])
+        out.append((o[w], a, e - a))
+        i = j
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
+
+
 def runs_of(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive numbers of one group in a list that ascends within groups: (from, to, group)."""
     if not len(at):
@@ -396,22 +419,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         if not len(start):
             return _table(out)
         row = np.searchsorted(pack.offset, start, "right") - 1
-        _, number, count = np.unique(h, return_inverse=True, return_counts=True)
+        _, number = np.unique(h, return_inverse=True)
         open_start = np.ones(len(pack.data), bool)
-        many = np.flatnonzero(count[number] > 1)
-        if len(many):
-            block, begin = laid(pack.data, start[many], stop[many], (place - start)[many], length)
-            at, which = ranges(begin, begin + (stop - start)[many])
-            own = at - begin[which] + start[many][which]
-            r = row[many][which]
-            late = later(SuffixBlock(block, length), at, number[many][which], pack.owner[r], own - pack.offset[r], aligned=True)
-            open_start[own[late]] = False
-            order = np.argsort(own[late], kind="stable")
-            a, e, _ = runs_of(own[late][order], r[late][order])
-            r = np.searchsorted(pack.offset, a, "right") - 1
-            if len(a):
-                out["bucket"].append(-1 - name), out["pack"].append(name), out["kind"].append(1)
-                out["data"].append(packed(r.astype(np.int32), (a - pack.offset[r]).astype(np.int32), (e - a).astype(np.int32)))
+        piece, offset, n = late_runs(pack.data, start, stop - start, place - start, number, pack.owner[row], start - pack.offset[row], length)
+        if len(piece):
+            at, _ = ranges(start[piece] + offset, start[piece] + offset + n)
+            open_start[at] = False
+            out["bucket"].append(-1 - name), out["pack"].append(name), out["kind"].append(1)
+            out["data"].append(packed(row[piece].astype(np.int32), (start[piece] + offset - pack.offset[row[piece]]).astype(np.int32), n.astype(np.int32)))
         away = np.flatnonzero(np.isin(h, outside))
         if len(away):
             at, which = ranges(start[away], stop[away])
@@ -449,27 +464,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             del got
             size = n.astype(np.int64) + length - 1
             begin = np.cumsum(size) - size
-            _, number, count = np.unique(h, return_inverse=True, return_counts=True)
-            # buckets of the block are taken in turn, so that only some of its suffixes are laid out at a time
-            order = np.argsort(number, kind="stable")
-            order = order[count[number[order]] > 1]
-            load = np.cumsum(n[order])
-            marks = []
-            i = 0
-            while i < len(order):
-                j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + BUCKET, "right")))
-                while j < len(order) and number[order[j]] == number[order[j - 1]]:
-                    j += 1
-                o = order[i:j]
-                block, at0 = laid(data, begin[o], begin[o] + n[o], before[o].astype(np.int64), length)
-                at, which = ranges(at0, at0 + n[o])
-                late = later(SuffixBlock(block, length), at, number[o][which], owner[o][which], place[o][which] + at - at0[which], aligned=True)
-                a, e, w = runs_of((at - at0[which])[late], which[late])
-                marks.append((o[w], place[o[w]] + a, e - a))
-                i = j
-            if not marks:
-                continue
-            o, a, k = (np.concatenate(x) for x in zip(*marks, strict=True))
+            _, number = np.unique(h, return_inverse=True)
+            o, a, k = late_runs(data, begin, n.astype(np.int64), before, number, owner, place.astype(np.int64), length)
+            a = a + place[o]
             by = np.argsort(pack[o], kind="stable")
             o, a, k = o[by], a[by], k[by]
             cuts = np.flatnonzero(np.concatenate(([True], pack[o][1:] != pack[o][:-1], [True]))) if len(o) else []
