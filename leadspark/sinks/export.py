@@ -34,17 +34,20 @@ def csv_lines(leads: DataFrame) -> DataFrame:
 
 
 def write_csv(leads: DataFrame, run_id: str, path: str) -> None:
-    """One file with a byte-order mark, CRLF between lines and none at the end; rows stream through in order."""
+    """One file with a byte-order mark, CRLF between lines and none at the end; one partition holds a run's leads, low hundreds."""
+    order = [F.desc("score"), F.asc_nulls_last("company_name")]
     rows = list_shippable_leads(leads, run_id)
-    lines = csv_lines(rows).select("line")
-    head = leads.sparkSession.createDataFrame([("\ufeff" + ",".join(EXPORT_COLUMNS),)], "line string")
-    head.unionAll(lines).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    lines = csv_lines(rows).join(rows.select("id", "score", "company_name"), "id").select("line", F.lit(1).alias("part"), "score", "company_name")
+    head = leads.sparkSession.createDataFrame([("\ufeff" + ",".join(EXPORT_COLUMNS),)], "line string").select("line", F.lit(0).alias("part"), F.lit(None).cast(rows.schema["score"].dataType).alias("score"), F.lit(None).cast("string").alias("company_name"))
+    head.unionByName(lines).repartition(1).sortWithinPartitions("part", *order).select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def json_document(runs: DataFrame, leads: DataFrame, run_id: str) -> DataFrame:
     """One row with the document; none if there is no such run."""
     rows = list_shippable_leads(leads, run_id)
-    body = rows.agg(F.sort_array(F.collect_list(F.struct((-F.col("score").cast("double")).alias("o"), F.coalesce("company_name", F.lit("\uffff")).alias("n"), F.struct(*rows.columns).alias("lead")))).alias("rows"))
+    row = F.struct((-F.col("score").cast("double")).alias("o"), F.coalesce("company_name", F.lit("\uffff")).alias("n"), F.struct(*rows.columns).alias("lead"))
+    less = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)
+    body = rows.agg(F.array_sort(F.collect_list(row), less).alias("rows"))
     run = runs.filter(F.col("id") == run_id).select(F.struct("id", "query", "finished_at").alias("run"))
     return run.join(body, F.lit(True), "left").select(F.to_json(F.struct("run", F.transform("rows", lambda r: r["lead"]).alias("leads"))).alias("document"))
 
