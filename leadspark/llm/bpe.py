@@ -136,7 +136,7 @@ class PrefixEncoder:
 class Pieces(dict):
     """Encodings of pieces, up to a bound of entries; long pieces aren't kept."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000, longest: int = 64):
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000, longest: int = 64):
         super().__init__()
         self.v, self.most, self.longest = vocabulary, most, longest
 
