@@ -306,9 +306,8 @@ class Pack:
             if len(t) < self.length:
                 continue
             before = seen.setdefault(t, i)
-            if before != i:
-                if self.owner[before] != self.owner[i]:
-                    repeats.append(i)
+            if self.owner[before] != self.owner[i]:
+                repeats.append(i)
                 continue
             if copies and hashlib.md5(t).digest() in copies:
                 repeats.append(i)
@@ -317,6 +316,17 @@ class Pack:
         return valid, repeats
 
 
+def _nullable(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """The structs with all fields nullable, as the declared type has them."""
+
+    def of(t: pa.DataType) -> pa.DataType:
+        if pa.types.is_struct(t):
+            return pa.struct([pa.field(f.name, of(f.type)) for f in t])
+        return pa.list_(of(t.value_type)) if pa.types.is_list(t) else t
+
+    return column.cast(of(column.type))
+
+
 def _table(columns: dict) -> pa.Table:
     kinds = {"id": pa.int64(), "bucket": pa.int64(), "pack": pa.int64(), "data": pa.binary(), "kind": pa.int32()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
@@ -343,6 +353,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
 
         def told() -> Iterator[pa.RecordBatch]:
             h, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(h):
+                return
             order = np.lexsort((p, h))
             h, p = h[order], p[order]
             once = np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])))
@@ -498,7 +510,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
         columns = list(zip(*rows, strict=True)) or [()] * 7
         out = pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=False)})
-        return out.append_column("row", left.column("row").take(pa.array(pack.order))) if carry else out
+        return out.append_column("row", _nullable(left.column("row").take(pa.array(pack.order)))) if carry else out
 
     whole_rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *carried).withColumn("pack", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(packs))) if carry else in_pack
     extra = ", kept_text string, edges array<long>" if with_text else ""

@@ -135,6 +135,8 @@ class Matcher:
         if word in self.known:
             return self.known[word]
         s, best = self.start, None
+        if s < 0:  # no terms
+            return None
         for i, c in enumerate(word):
             t = self.go[s].get(c)
             s = self._step(s, c) if t is None else t
