@@ -83,6 +83,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan comes in fewer partitions than there are cores; plans with shuffles stay as they are."""
+    ran, cores = docs._jdf.queryExecution(), docs.sparkSession.sparkContext.defaultParallelism
+    if ran.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or ran.toRdd().getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -167,7 +175,7 @@ def bundled(docs: DataFrame, packs: int, flag: F.Column | None = None, most: int
                 held, size = {}, 0
         yield from told()
 
-    return rows.mapInArrow(run, "pack long, data binary")
+    return spread(rows).mapInArrow(run, "pack long, data binary")
 
 
 def unbundled(data: list[bytes]) -> list[tuple[int, bytes, bool]]:
