@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, tune
+from .common import alnum_words, spread, tune
 
 #: Words of an item that count as one window.
 WINDOW = 13
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_
     blocks = max(1, -(-total // (block_words * 4)))
     sc = docs.sparkSession.sparkContext
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("marks"), *([F.struct(*carry).alias("row")] if carry else []))
+    out = spread(docs).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("marks"), *([F.struct(*carry).alias("row")] if carry else []))
     row = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)

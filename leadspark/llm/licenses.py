@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, tune
+from .common import alnum_words, spread, tune
 
 # Phrases that the base labels stand for.
 BASE_PHRASES = {
@@ -206,7 +206,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=["k", *_NAMES])
 
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, {ADDS}").withColumnRenamed("k", key)
+    return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, {ADDS}").withColumnRenamed("k", key)
 
 
 _NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]

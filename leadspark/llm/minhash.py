@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, space_words, tune, written
+from .common import WordHashes, mix, space_words, spread, tune, written
 from .components import connected
 
 #: Bands and slots of a band.
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
                     found[i] = k
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "print", "keys"])
 
-    signed = written(texts.mapInArrow(sign, "id long, n long, print binary, keys array<long>"))
+    signed = written(spread(texts).mapInArrow(sign, "id long, n long, print binary, keys array<long>"))
     nodes = written(signed.filter("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys")))
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     stars = written(rows.groupBy("key").agg(F.countDistinct("node").alias("members"), F.min("node").alias("center"), F.sum("n").alias("weight")).filter("members > 1"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_model, licenses, minhash, quality_rules, resampling, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, language_model, licenses, minhash, oracles, quality_rules, resampling, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -28,7 +28,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +53,9 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_backoff_lm, op8_toxicity, op9_minhash, op10_importance_resampling)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": oracles.DECONTAMINATE,
+    "op5_quality_rules": oracles.QUALITY,
+    "op6_url_filter": oracles.URLS,
+    "op9_minhash": oracles.NEAR,
+}

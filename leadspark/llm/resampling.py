@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, tune, written
+from .common import WordHashes, mix, spread, tune, written
 
 #: Labelled rows that the target model may be counted over; hash buckets; share of the texts to keep; smoothing count.
 FIT_ROWS, BUCKETS, SHARE, SMOOTH = 20_000, 10_000, 0.85, 1.0
@@ -45,7 +45,7 @@ def grams(text: str | None, hashes: WordHashes, buckets: int) -> np.ndarray:
 def counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(bucket, target, raw) over all texts."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))  # fit_rows ids
+    marked = spread(docs.select("doc_id", "text")).join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))  # fit_rows ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, raw, target = WordHashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -112,7 +112,7 @@ def select(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int =
             found = [grams(t, hashes, buckets) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in found], pa.int64()), pa.array([float(ratios[g].sum()) for g in found], pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
-    weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(weigh, "doc_id long, n_grams long, log_weight double")
+    weighed = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(weigh, "doc_id long, n_grams long, log_weight double")
     uniform = ((F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11)).cast("double") + 0.5) / float(1 << 53)
     weighed = written(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))
     n = weighed.count()

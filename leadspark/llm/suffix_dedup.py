@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mix, packed, tune, unpacked, written
+from .common import groups, mix, packed, spread, tune, unpacked, written
 
 #: Bytes of a repeated string, of an anchor, and of a pack's texts, about.
 LENGTH, GRAM, PACK_BYTES = 100, 24, 3_000_000
@@ -406,7 +406,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
                 yield from _table({"pack": [int(p[i])], "kind": [0], "data": [h[i:j].tobytes()]}).to_batches()
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sent = in_pack.filter("text is not null").select("text", "pack").mapInArrow(anchors, "bucket long, data binary")
+    sent = spread(in_pack.filter("text is not null").select("text", "pack")).mapInArrow(anchors, "bucket long, data binary")
     replies = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "pack long, kind int, data binary")
     # of equal texts, packs learn which are not the corpus' first
     same = in_pack.filter(F.octet_length("text") >= length).select("id", "pack", F.unhex(F.md5("text")).alias("digest")).groupBy("digest", "pack").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("id"))

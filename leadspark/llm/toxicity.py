@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, tune
+from .common import crc_bucket, spread, tune
 
 #: Labelled rows that learning may take.
 FIT_ROWS = 8000
@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
                 found.append(sorted({h[0] for h in hits}))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["k", "score", "n_matches", "matches"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double, n_matches long, matches array<string>").withColumnRenamed("k", key)
+    return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, score double, n_matches long, matches array<string>").withColumnRenamed("k", key)
 
 
 def judged(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -344,4 +344,4 @@ def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([model.score(features(t, matcher, model.clean)[0]) < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
