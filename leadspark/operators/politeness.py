@@ -1,10 +1,13 @@
 """Per-host schedules and guards over event tables; the streaming forms are in ``leadspark.streaming``.
 
-All are folds in time order within a host. Where a closed form exists it is a window; the breaker is a fold over an array.
+All are folds in time order within a host. Where a closed form exists it is a window; the breaker streams through sorted partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,23 +40,30 @@ def rolling_ratio(events: DataFrame, window_ms: int = 300_000, least: int = 40,
 def circuit_breaker(events: DataFrame, threshold: int = 4, cooldown_ms: int = 300_000, host: str = "host", t: str = "t_ms", failed: str = "failed", order: str = "seq") -> DataFrame:
     """Rows (host, seq, t, rejected, failures): requests while the breaker is open are rejected and change nothing.
 
-    The threshold of failures in a row opens it; after the cool-down it starts anew. A host's events are folded as one
-    array: a host of unbounded traffic belongs in the streaming form, which keeps two numbers a host.
+    The threshold of failures in a row opens it; after the cool-down it starts anew. Hosts are dealt over partitions and
+    stream through in time order with two numbers of state, so a host's traffic may be of any length.
     """
-    state = "struct<failures:int,opened:bigint,out:array<struct<seq:bigint,t:bigint,rejected:boolean,failures:int>>>"
-    start = F.from_json(F.lit('{"failures":0,"opened":0,"out":[]}'), state)
-
-    def step(s: Column, e: Column) -> Column:
-        cooled = (s["opened"] != 0) & (e["t"] - s["opened"] > cooldown_ms)
-        shut = (s["opened"] != 0) & ~cooled
-        before = F.when(cooled, 0).otherwise(s["failures"])
-        n = F.when(shut, s["failures"]).when(e["failed"], before + 1).otherwise(0)
-        opened = F.when(shut, s["opened"]).when(e["failed"] & (n >= threshold), e["t"]).otherwise(F.lit(0).cast("bigint"))
-        row = F.struct(e["seq"].alias("seq"), e["t"].alias("t"), shut.alias("rejected"), n.alias("failures"))
-        return F.struct(n.alias("failures"), opened.alias("opened"), F.concat(s["out"], F.array(row)).alias("out")).cast(state)
-
-    rows = events.groupBy(host).agg(F.array_sort(F.collect_list(F.struct(F.col(t).cast("bigint").alias("t"), F.col(order).cast("bigint").alias("seq"), F.col(failed).alias("failed")))).alias("events"))
-    return rows.select(host, F.inline(F.aggregate("events", start, step, lambda s: s["out"])))
+    kind = events.select(F.col(host)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, failures, opened = None, 0, 0
+        for b in batches:
+            shut, counts = [], []
+            for h, at, bad in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if h != now:
+                    now, failures, opened = h, 0, 0
+                if opened and at - opened > cooldown_ms:
+                    failures = opened = 0
+                shut.append(opened != 0)
+                if not shut[-1]:
+                    failures = failures + 1 if bad else 0
+                    opened = at if bad and failures >= threshold else 0
+                counts.append(failures)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(shut, pa.bool_()), pa.array(counts, pa.int32())], names=["h", "seq", "t", "rejected", "failures"])
+
+    rows = events.filter(F.col(host).isNotNull()).select(F.col(host).alias("h"), F.col(order).cast("bigint").alias("seq"), F.col(t).cast("bigint").alias("t"), F.coalesce(F.col(failed), F.lit(False)).alias("failed"))
+    done = rows.repartition("h").sortWithinPartitions("h", "t", "seq").mapInArrow(run, f"h {kind}, seq bigint, t bigint, rejected boolean, failures int")
+    return done.withColumnRenamed("h", host)
 
 
 def breaker_report(tier0_ok: Column, challenge: Column, tier1: Column, tier1_ok: Column, kept: Column) -> Column:
