@@ -134,18 +134,25 @@ class PrefixEncoder:
 
 
 class Pieces(dict):
-    """Encodings of pieces, up to a bound of entries; long pieces aren't kept."""
+    """Encodings of pieces in two generations of bounded size; long pieces aren't kept.
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000, longest: int = 64):
+    When the young generation is full it becomes the old one, and what was old and not used since is dropped; so pieces
+    in steady use are never encoded anew.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 150_000, longest: int = 64):
         super().__init__()
-        self.v, self.most, self.longest = vocabulary, most, longest
+        self.v, self.most, self.longest, self.old = vocabulary, most, longest, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        t = self.v.rank.get(data)
-        ids = (t,) if t is not None else tuple(PrefixEncoder(self.v, data).ids())
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            data = piece.encode()
+            t = self.v.rank.get(data)
+            ids = (t,) if t is not None else tuple(PrefixEncoder(self.v, data).ids())
         if len(piece) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
