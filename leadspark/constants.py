@@ -137,6 +137,15 @@ ORG_JSONLD = r'(?i)"@type"\s*:\s*"?\[?[^"]*?(Organization|LocalBusiness|Corporat
 ORG_TYPES = r"(?i)^(Organization|Corporation|LocalBusiness|NGO|EducationalOrganization|GovernmentOrganization|SportsOrganization|MedicalOrganization|Company|ProfessionalService|SoftwareCompany|OnlineBusiness)$|Organization|Business"
 CONTENT_TYPES = ["text/html", "application/xhtml+xml", "text/plain"]
 
+# Kinds and addresses of resources that a rendering browser leaves out.
+BLOCKED_RESOURCES = ["image", "media", "font", "stylesheet"]
+BLOCKED_RESOURCE_URLS = "(?i)" + "|".join([
+    r"google-analytics\.com|googletagmanager\.com|doubleclick\.net|facebook\.net",
+    r"hotjar\.com|mixpanel\.com|segment\.(io|com)|amplitude\.com|fullstory\.com",
+    r"intercom\.io|drift\.com|hubspot\.com\/.*\/analytics|clarity\.ms",
+    r"\.(png|jpe?g|gif|webp|avif|svg|ico|woff2?|ttf|otf|mp4|webm|mp3)(\?|$)",
+])
+
 # Columns of the CSV export.
 EXPORT_COLUMNS = """
 company_name domain website score industry country city address employee_count employee_range founded_year

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadspark.constants import CHALLENGE_BODIES, CHALLENGE_HEADERS, CHALLENGE_STATUS, CONSENT_VENDORS, CONSENT_WORDS, CONTACT_PATH
+from leadspark.constants import BLOCKED_RESOURCE_URLS, BLOCKED_RESOURCES, CHALLENGE_BODIES, CHALLENGE_HEADERS, CHALLENGE_STATUS, CONSENT_VENDORS, CONSENT_WORDS, CONTACT_PATH
 
 from .text import SPACE
 
@@ -57,6 +57,5 @@ def decide_escalation(status: Column, content_type: Column, challenge: Column, c
 
 
 def resource_is_blocked(kind: Column, url: Column) -> Column:
-    """Would a rendering browser leave this resource out?"""
-    trackers = r"(?i)google-analytics|googletagmanager|doubleclick|facebook\.net|hotjar|segment\.(io|com)|mixpanel|intercom|\.(png|jpe?g|gif|webp|svg|woff2?|ttf|mp4|webm|css)(\?|$)"
-    return kind.isin("image", "media", "font", "stylesheet") | F.coalesce(url.rlike(trackers), F.lit(False))
+    """Would a rendering browser leave this resource out? Heavy kinds, trackers and files by name."""
+    return kind.isin(BLOCKED_RESOURCES) | F.coalesce(url.rlike(BLOCKED_RESOURCE_URLS), F.lit(False))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.components import stored
 from leadspark.functions import challenge, html, robots, urls
 
 #: Redirects that are followed, and bytes of a body that are read.
@@ -67,20 +68,25 @@ def fetch_tier0(requests: DataFrame, get: Transport, refused: Callable[[str], st
 
 
 def decide(responses: DataFrame) -> DataFrame:
-    """Adds ``decision`` (action, reason, vendor) and ``tier0_ok`` to responses."""
+    """Adds ``tier0_outcome`` (ok, refused, unreachable), ``tier0_error`` and ``decision`` (action, reason, vendor)."""
     c = F.col
-    d = responses.withColumn("signals", html.page_signals(F.coalesce("html", F.lit("")))).withColumn("challenge", challenge.detect_challenge(c("status"), c("headers"), F.coalesce("html", F.lit(""))))
-    wall = challenge.looks_like_consent_wall(F.coalesce("html", F.lit("")), c("signals.visible_text"))
+    body = F.coalesce("html", F.lit(""))
+    d = responses.withColumn("signals", html.page_signals(body)).withColumn("challenge", challenge.detect_challenge(c("status"), c("headers"), body))
+    wall = challenge.looks_like_consent_wall(body, c("signals.visible_text"))
     decision = challenge.decide_escalation(c("status"), c("content_type"), c("challenge"), wall, c("signals.has_organization_jsonld"), c("signals.empty_root_mount"), c("signals.text_length"), c("signals.script_byte_ratio"), challenge.is_contact_path(urls.path_of(c("final_url"))), c("signals.has_contact_affordance"))
-    ok = c("error").isNull() & ((c("status") < 400) | c("challenge").isNotNull()) & ((c("status") >= 400) | urls.is_allowed_content_type(c("content_type")))
-    return d.withColumn("decision", F.when(ok, decision)).withColumn("tier0_ok", ok)
+    wrong_kind = (c("status") < 400) & ~urls.is_allowed_content_type(c("content_type"))
+    dead = (c("status") >= 400) & c("challenge").isNull()
+    outcome = F.when(c("error").isNotNull(), "unreachable").when(wrong_kind, "refused").when(dead, "unreachable").otherwise("ok")
+    error = F.coalesce(c("error"), F.when(wrong_kind, F.concat(F.lit("content-type "), F.coalesce("content_type", F.lit("none")))).when(dead, F.concat(F.lit("http "), c("status").cast("string"))))
+    return d.withColumn("tier0_outcome", outcome).withColumn("tier0_error", error).withColumn("decision", F.when(outcome == "ok", decision))
 
 
 def fetch_pages(requests: DataFrame, get: Transport, robots_bodies: DataFrame, addresses: DataFrame, agent: str, open_circuits: DataFrame | None = None, render: Transport | None = None, managed: Transport | None = None) -> DataFrame:
-    """The whole ladder: (url, domain, kind, page_idx, final_url, tier, outcome, status, html, error, content_hash).
+    """The whole ladder for requests(url, domain, kind, page_idx): final_url, tier, outcome, status, html, error, reason, report, content_hash.
 
-    Gates run before any request: canonical address, open circuit, refused host, robots. Pages that need rendering or a
-    managed service go to their transports; what those can't mend stays unreachable or blocked.
+    Gates run before any request: canonical address, open circuit, refused host, robots. A page that needs rendering goes
+    to the renderer and keeps its first form if that fails; a challenge goes to the managed service or stays blocked.
+    ``report`` is what the host's circuit breaker learns: failure, success or nothing.
     """
     c = F.col
     d = requests.withColumn("asked", urls.canonical_url(c("url"))).withColumn("host", urls.hostname(c("asked"))).withColumn("path", urls.path_of(c("asked")))
@@ -88,28 +94,37 @@ def fetch_pages(requests: DataFrame, get: Transport, robots_bodies: DataFrame, a
     d = d.join((open_circuits if open_circuits is not None else robots_bodies.limit(0)).select("domain", F.lit(True).alias("open")).distinct(), "domain", "left")
     d = robots.allowed_pages(d, robots_bodies, agent)
     gate = F.when(c("asked").isNull(), "refused").when(c("open"), "circuit_open").when(c("refused").isNotNull(), "refused").when(~c("allowed"), "robots_disallowed")
-    d = d.withColumn("gate", gate)
-    blank = {"final_url": c("url"), "tier": F.lit(0), "status": F.lit(None).cast("int"), "html": F.lit(None).cast("string")}
-    shut = d.filter("gate is not null").withColumns(blank).withColumn("outcome", c("gate")).withColumn("error", F.coalesce("refused", "gate"))
-    got = decide(fetch_tier0(d.filter("gate is null").select(c("asked").alias("url"), "domain", "kind", "page_idx"), get))
-    keep = got.withColumn("tier", F.lit(0)).withColumn("outcome", F.when(~c("tier0_ok"), "unreachable").when(c("decision.action") == "keep", F.when(c("status") < 400, "ok").otherwise("unreachable")))
-    out = [shut.select(_COLUMNS), keep.filter("outcome is not null").select(_COLUMNS)]
-    for action, tier, transport, failed in (("tier1", 1, render, "ok"), ("tier2", 2, managed, "blocked")):
-        more = got.filter(c("tier0_ok") & (c("decision.action") == action))
-        if transport is None:  # without a renderer the page is kept as it came; without a managed service it stays blocked
-            out.append(more.withColumn("tier", F.lit(0)).withColumn("outcome", F.lit(failed)).withColumn("error", F.when(F.lit(failed == "blocked"), c("decision.reason"))).select(_COLUMNS))
-            continue
-        again = fetch_tier0(more.select("url", "domain", "kind", "page_idx"), transport)
-        again = again.withColumn("still", challenge.detect_challenge(c("status"), c("headers"), F.coalesce("html", F.lit(""))))
-        good = c("error").isNull() & c("still").isNull() & (c("status") < 400)
-        out.append(again.withColumn("tier", F.lit(tier)).withColumn("outcome", F.when(good, "ok").otherwise("unreachable" if tier == 1 else "blocked")).select(_COLUMNS))
+    why = F.when(c("asked").isNull(), "uncanonicalizable url").when(c("open"), "host circuit breaker open").when(c("refused").isNotNull(), c("refused")).otherwise("disallowed by robots.txt")
+    none = F.lit(None).cast("string")
+    d = d.withColumn("outcome", gate)
+    shut = d.filter("outcome is not null").withColumns({"final_url": c("url"), "tier": F.lit(0), "status": F.lit(None).cast("int"), "html": none, "error": why, "reason": none, "report": none})
+    got = stored(decide(fetch_tier0(d.filter("outcome is null").select(c("asked").alias("url"), "domain", "kind", "page_idx"), get)))
+    got = got.withColumn("tier", F.lit(0)).withColumn("reason", c("decision.reason"))
+    failed = got.filter("tier0_outcome <> 'ok'").withColumns({"outcome": c("tier0_outcome"), "html": none, "error": c("tier0_error"), "report": F.lit("failure")})
+    kept = got.filter("decision.action = 'keep'").withColumns({"outcome": F.lit("ok"), "report": F.lit("success")})
+    out = [x.select(_COLUMNS) for x in (shut, failed, kept)]
+    for action, tier, transport in (("tier1", 1, render), ("tier2", 2, managed)):
+        more = got.filter(c("decision.action") == action)
+        again = fetch_tier0((more if transport else more.limit(0)).select("url", "domain", "kind", "page_idx"), transport or get)
+        still = challenge.detect_challenge(c("status"), F.expr("cast(map() as map<string,string>)"), F.coalesce("html", F.lit("")))
+        good = again.filter(c("error").isNull() & (F.lit(tier == 1) | still.isNull())).select("url", F.struct("final_url", "status", "html").alias("new"))
+        d2 = more.join(good.dropDuplicates(["url"]), "url", "left").withColumn("mended", c("new").isNotNull())
+        if tier == 1:
+            note, lost_outcome, lost_html, report = "; tier 1 failed, kept tier 0", "ok", c("html"), F.when(c("mended"), "success").otherwise("failure")
+        else:
+            note, lost_outcome, lost_html, report = "" if transport else "; tier 2 not configured", "blocked", none, F.lit("failure")
+        d2 = d2.select(
+            "url", "domain", "kind", "page_idx", F.coalesce("new.final_url", "final_url").alias("final_url"), F.when(c("mended"), tier).otherwise(0).alias("tier"), F.when(c("mended"), "ok").otherwise(lost_outcome).alias("outcome"),
+            F.coalesce("new.status", "status").alias("status"), F.when(c("mended"), c("new.html")).otherwise(lost_html).alias("html"), none.alias("error"), F.when(c("mended"), c("reason")).otherwise(F.concat("reason", F.lit(note))).alias("reason"), report.alias("report"),
+        )
+        out.append(d2.select(_COLUMNS))
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)
     return result.withColumn("content_hash", F.sha2("html", 256))
 
 
-_COLUMNS = ["url", "domain", "kind", "page_idx", "final_url", "tier", "outcome", "status", "html", "error"]
+_COLUMNS = ["url", "domain", "kind", "page_idx", "final_url", "tier", "outcome", "status", "html", "error", "reason", "report"]
 
 
 def robots_bodies(origins: DataFrame, get: Transport) -> DataFrame:

@@ -215,3 +215,9 @@ def test_presentation(spark):
     assert r[:] == (33, 0, 100, "Awaiting approval", "idle", "danger", "green", "seed · 2020", "20–any", "Any")
     took = [F.timestamp_seconds(F.lit(s)) for s in (0, 59, 61, 7260)]
     assert spark.range(1).select(*(P.format_duration(took[0], t) for t in took[1:]), P.format_duration(took[1], took[0])).first()[:] == ("59s", "1m 1s", "2h 1m", "—")
+
+
+def test_blocked_resources(spark):
+    seen = ["https://www.googletagmanager.com/x.js", "https://a.de/logo.PNG?x=1", "https://a.de/app.js", None]
+    assert values(spark, lambda c: challenge.resource_is_blocked(F.lit("script"), c), seen) == [True, True, False, False]
+    assert values(spark, lambda c: challenge.resource_is_blocked(F.lit("font"), c), seen[2:3]) == [True]

@@ -97,18 +97,27 @@ def test_fetch_ladder(spark):
             return fetch.Response(200, {"Content-Type": "application/pdf"}, "x")
         if "gone" in url:
             raise OSError("no route")
+        if "lost" in url:
+            return fetch.Response(404, {"Content-Type": "text/html"}, "x")
+        if "shell" in url:
+            return fetch.Response(200, {"Content-Type": "text/html"}, "<div id=root></div>")
         return fetch.Response(200, {"Content-Type": "text/html"}, text)
 
-    asked = ["https://a.de/moved", "https://b.de/blocked", "https://c.de/pdf", "https://d.de/gone", "https://e.de/private", "https://f.de/", "https://g.de/"]
+    asked = ["https://a.de/moved", "https://b.de/blocked", "https://c.de/pdf", "https://d.de/gone", "https://e.de/private", "https://f.de/", "https://g.de/", "https://h.de/lost", "https://i.de/shell"]
     req = spark.createDataFrame([(u, u.split("/")[2], "home", 0) for u in asked], "url string, domain string, kind string, page_idx int")
     robots = spark.createDataFrame([("e.de", "User-agent: *\nDisallow: /private")], "domain string, body string")
     hosts = fetch.resolve_hosts(req.select(F.col("domain").alias("host")), lambda h: "10.0.0.1" if h == "f.de" else "8.8.8.8")
     shut = spark.createDataFrame([("g.de",)], "domain string")
-    out = {r.domain: (r.outcome, r.tier, r.final_url) for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut).collect()}
-    assert out["a.de"] == ("ok", 0, "https://a.de/home") and out["b.de"][0] == "blocked" and out["c.de"][0] == "unreachable" and out["d.de"][0] == "unreachable"
-    assert out["e.de"][0] == "robots_disallowed" and out["f.de"][0] == "refused" and out["g.de"][0] == "circuit_open"
-    managed = {r.domain: (r.outcome, r.tier) for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut, managed=lambda u: fetch.Response(200, {"content-type": "text/html"}, text)).collect()}
-    assert managed["b.de"] == ("ok", 2)
+    rows = {r.domain: r for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut).collect()}
+    assert (rows["a.de"].outcome, rows["a.de"].tier, rows["a.de"].final_url, rows["a.de"].report) == ("ok", 0, "https://a.de/home", "success")
+    assert (rows["b.de"].outcome, rows["b.de"].html, rows["b.de"].reason) == ("blocked", None, "bot challenge detected (status 403 from cloudflare); tier 2 not configured")
+    told = {d: (r.outcome, r.error) for d, r in rows.items()}
+    assert told["c.de"] == ("refused", "content-type application/pdf") and told["d.de"] == ("unreachable", "no route") and told["e.de"] == ("robots_disallowed", "disallowed by robots.txt")
+    assert told["f.de"] == ("refused", "refused private address 10.0.0.1 for f.de") and told["g.de"] == ("circuit_open", "host circuit breaker open") and told["h.de"] == ("unreachable", "http 404")
+    assert (rows["i.de"].outcome, rows["i.de"].tier, rows["i.de"].report) == ("ok", 0, "failure") and rows["i.de"].reason.endswith("; tier 1 failed, kept tier 0")
+    page = fetch.Response(200, {"content-type": "text/html"}, text)
+    full = {r.domain: (r.outcome, r.tier, r.report) for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut, render=lambda u: page, managed=lambda u: page).collect()}
+    assert full["b.de"] == ("ok", 2, "failure") and full["i.de"] == ("ok", 1, "success") and len(full) == len(asked)
     assert fetch.follow("https://a.de/", lambda u: fetch.Response(301, {}, "", u), lambda u: None)[2] == "too many redirects"
     bodies = fetch.robots_bodies(spark.createDataFrame([("a.de", "https://a.de"), ("b.de", "https://blocked.de")], "domain string, origin string"), get)
     assert {r.domain: r.body is not None for r in bodies.collect()} == {"a.de": True, "b.de": False}
