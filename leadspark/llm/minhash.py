@@ -6,10 +6,10 @@
 2. Texts of equal sets become one node (its least id), so exact copies never meet in a bucket.
 3. Nodes that share a band are candidates. Stars from each bucket's least node join the buckets to candidate groups.
 4. Each group's texts are gathered once and every pair that shares a bucket is confirmed on the full sets, by products
-   of incidence matrices; linked nodes are merged by union-find. A group beyond ``GROUP_ROWS`` or ``GROUP_SHINGLES`` is
-   taken bucket by bucket instead, and a bucket beyond them block by block of the bucket against each other, so memory
-   stays bounded and no pair is left out; pairs themselves are never rows.
-5. Links of groups taken apart are joined by distributed connected components.
+   of incidence matrices; linked nodes are merged by union-find. Pairs themselves are never rows.
+5. A group beyond ``GROUP_ROWS`` or ``GROUP_SHINGLES`` is taken apart (``_large_groups``): its texts meet a bucket's hub in
+   chunks, texts whose own shingles rule out any link are done, and the few others meet their bucket block by block, so
+   memory stays bounded and no pair is left out. Links are joined by distributed connected components.
 
 With 27 bands of 7 slots a pair at similarity 0.85 shares no band with a probability of 3e-5, at 0.95 of 1e-13.
 
@@ -20,12 +20,12 @@ keeps its row, with a null component; other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, space_words, spread, tune, written
@@ -145,6 +145,55 @@ def group_links(ids: list[int], sets: list[np.ndarray], keys: list[list[int]], l
     return [(ids[i], ids[r]) for i in range(len(ids)) if (r := u.find(i)) != i]
 
 
+def _blocks(count: Column, weight: Column, rows: int, shingles: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / rows), F.ceil(weight / shingles)).cast("int")
+
+
+def _large_groups(members: DataFrame, texts: DataFrame, links_in: Callable[[DataFrame], DataFrame], size: int, least: int, rows: int, shingles_: int) -> DataFrame:
+    """(node, component) of groups too large for one piece. members: (key, node, n, members, small, weight, ...) of their buckets.
+
+    First each bucket's members are compared, in chunks, with its hub, the member that shares most; that takes time in
+    proportion to the group and joins most of it. What can still be unlinked wrongly are members outside a bucket's main
+    class. Of these, most are ruled out for good by a bound: a text with f shingles that no other text of the large
+    groups has shares at most n - f with another. The few that are left are compared with all of the bucket, block by block.
+    """
+    popular = members.groupBy("node").agg(F.sum("members").alias("popular"))
+    hubs = written(members.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("hub")))
+    around = written(members.join(hubs, "key").select("node", "n", "hub").distinct())
+    chunks = around.groupBy("hub").agg(_blocks(F.count("*"), F.sum("n"), rows, shingles_).alias("chunks"))
+    spokes = around.join(chunks, "hub").select("node", "hub", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).alias("chunk"))
+    group = F.xxhash64("hub", "chunk").alias("group")
+    first = links_in(spokes.select("node", group).union(spokes.select(F.col("hub").alias("node"), group)))
+    classes = written(connected(first, "a", "b"))
+    told = written(members.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
+    main = told.groupBy("key", "class").agg(F.count("*").alias("n_class")).groupBy("key").agg(F.max_by("class", F.struct("n_class", -F.col("class"))).alias("main"), F.count("*").alias("classes"))
+    open_keys = written(told.join(written(main.filter("classes > 1")), "key"))
+
+    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingles(hashes.of(space_words(t)), size) for t in b.column(1).to_pylist()]
+            owner = np.repeat(np.asarray(b.column(0)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["node", "s"])
+
+    own = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(shingle_rows, "node long, s long")
+    alone = own.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("f"))
+    most = F.col("n") - F.coalesce("f", F.lit(0))
+    may_link = 100 * most >= least * (F.col("n") + F.greatest(most, F.col("small")) - most)
+    outside = written(open_keys.filter("class <> main").join(alone, "node", "left").filter(may_link).select("key", "node", "n"))
+    counts = outside.groupBy("key").agg(_blocks(F.count("*"), F.sum("n"), rows, shingles_).alias("left"))
+    left = outside.join(counts, "key").join(open_keys.select("key", "members", "weight").distinct(), "key")
+    right = open_keys.join(counts, "key")
+    right_blocks = _blocks(F.col("members"), F.col("weight"), rows, shingles_)
+
+    def block(salt: int, blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), blocks)
+
+    pairs = left.select("node", F.explode(F.transform(F.sequence(F.lit(0), right_blocks - 1), lambda j: F.xxhash64("key", block(5, F.col("left")), j.cast("long")))).alias("group"))
+    pairs = pairs.union(right.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.col("left") - 1), lambda i: F.xxhash64("key", i.cast("long"), block(7, right_blocks)))).alias("group")))
+    return connected(first.union(links_in(pairs)), "a", "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int = BANDS, slots: int = SLOTS, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept); texts with 100 * intersection >= least * union of their shingles are linked."""
     tune(docs.sparkSession)
@@ -170,40 +219,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
     signed = written(spread(texts).mapInArrow(sign, "id long, n long, print binary, keys array<long>"))
     nodes = written(signed.filter("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys")))
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    stars = written(rows.groupBy("key").agg(F.countDistinct("node").alias("members"), F.min("node").alias("center"), F.sum("n").alias("weight")).filter("members > 1"))
+    stars = written(rows.groupBy("key").agg(F.countDistinct("node").alias("members"), F.min("node").alias("center"), F.min("n").alias("small"), F.sum("n").alias("weight")).filter("members > 1"))
     members = written(rows.join(stars, "key"))
     groups = written(connected(members.select("node", "center").distinct(), "node", "center"))
     sized = written(groups.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight")))
-    whole = F.col("members") <= group_rows
-    whole = whole & (F.col("weight") <= group_shingles)
-    # (node, group, keys to compare by): a whole group, else a bucket, else a pair of a bucket's blocks
-    small = groups.join(sized.filter(whole), "component").select("node", F.xxhash64("component", F.lit("whole")).alias("group"), F.lit(True).alias("final"))
-    large = members.join(groups.join(sized.filter(~whole), "component").select("node"), "node", "left_semi").withColumn("blocks", F.greatest(F.ceil(F.col("members") * 2 / group_rows), F.ceil(F.col("weight") * 2 / group_shingles)).cast("int"))
-    large = large.withColumn("blocks", F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.col("blocks")))).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    apart = large.select("node", F.explode(pairs).alias("group"), F.lit(False).alias("final"))
-    asked = written(small.union(apart))
-    keyed = asked.join(nodes.select("node", "keys"), "node")
-    gathered = keyed.join(texts.filter("id is not null and text is not null").withColumnRenamed("id", "node"), "node")
+    whole = (F.col("members") <= group_rows) & (F.col("weight") <= group_shingles)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    gathered = gathered.repartition(parts, "group").sortWithinPartitions("group").select("group", "final", "node", "text", "keys")
+    given = texts.filter("id is not null and text is not null").withColumnRenamed("id", "node")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         held: dict[int, tuple[np.ndarray, list[int]]] = {}
-        now, final = None, True
+        now = None
 
         def told() -> pa.RecordBatch:
             found = group_links(list(held), [s for s, _ in held.values()], [k for _, k in held.values()], least)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([final] * len(found), pa.bool_())], names=["a", "b", "final"])
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for g, f, node, text, keys in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for g, node, text, keys in zip(*(batch.column(i) for i in range(4)), strict=True):
                 g = g.as_py()
                 if g != now:
                     if held:
                         yield told()
-                    now, final, held = g, f.as_py(), {}
+                    now, held = g, {}
                 node = node.as_py()
                 s = shingles(hashes.of(space_words(text.as_py())), size)
                 if node not in held or len(s) > len(held[node][0]):
@@ -211,9 +250,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
         if held:
             yield told()
 
-    links = written(gathered.mapInArrow(confirm, "a long, b long, final boolean"))
-    joined = connected(links.filter("not final"), "a", "b")
-    label = written(links.filter("final").select(F.col("a").alias("node"), F.col("b").alias("component")).union(joined))
+    def links_in(asked: DataFrame) -> DataFrame:
+        """The links (a, b) inside groups of asked(node, group); a group's texts are in one partition, one group after another."""
+        keyed = written(asked.distinct()).join(nodes.select("node", "keys"), "node")
+        gathered = keyed.join(given, "node").repartition(parts, "group").sortWithinPartitions("group").select("group", "node", "text", "keys")
+        return written(gathered.mapInArrow(confirm, "a long, b long"))
+
+    label = links_in(groups.join(sized.filter(whole), "component").select("node", F.xxhash64("component").alias("group"))).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    large = groups.join(sized.filter(~whole).select("component"), "component").select("node")
+    if large.limit(1).count():
+        label = label.union(_large_groups(written(members.join(large, "node", "left_semi")), given, links_in, size, least, group_rows // 4, group_shingles // 4))
+    label = written(label)
     by_print = nodes.select("print", "node").join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     by_print = written(by_print)
     out = signed.select("id", "n", "print").join(by_print, "print", "left")
