@@ -91,3 +91,21 @@ reach(n, m) AS (SELECT a, a FROM e UNION SELECT reach.n, e.b FROM reach JOIN e O
 c AS (SELECT n, min(m) AS class FROM reach GROUP BY n)
 SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(class, w.doc_id) AS component_id, coalesce(class, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.n = w.doc_id
 """
+
+# bytes stand as two hexadecimal digits each
+PASSAGES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+n AS (SELECT doc_id, hx, length(hx) // 2 AS n FROM d),
+wins AS (SELECT doc_id, s, hash(substr(hx, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, hx, unnest(range(0, n - 99)) AS s FROM n WHERE n >= 100)),
+firsts AS (SELECT g, min(doc_id * 1000000000 + s) AS f FROM wins GROUP BY g),
+late AS (SELECT doc_id, s FROM wins JOIN firsts USING (g) WHERE doc_id * 1000000000 + s > f),
+steps AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM late),
+marked AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s - p > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM steps),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 100 AS b FROM marked GROUP BY ALL),
+gaps AS (SELECT doc_id, span, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY span), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT doc_id, max(span) + 1, max(b), n FROM spans JOIN n USING (doc_id) GROUP BY doc_id, n),
+kept AS (SELECT doc_id, string_agg(substr(hx, 2 * x + 1, 2 * (y - x)), '' ORDER BY span) AS k FROM gaps JOIN n USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, lower(sha256(unhex(coalesce(k, hx)))) AS kept_sha256
+FROM n LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

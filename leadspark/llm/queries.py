@@ -55,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
+    "op4_suffix_dedup": oracles.PASSAGES,
     "op5_quality_rules": oracles.QUALITY,
     "op6_url_filter": oracles.URLS,
     "op9_minhash": oracles.NEAR,
