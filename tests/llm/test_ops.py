@@ -460,3 +460,10 @@ def test_odd_rows(spark, odd, clashing, name):
     columns = [c for c in plain.columns if c not in ("detections", "hit_spans")]
     assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, crowded.select(columns).collect()))
     assert run(odd.limit(0)).count() == 0
+
+
+def test_whole_pieces_are_prefix_encodings():
+    v, rng = bpe.tokenizer(PATH, public_tokenizers.PATTERN).v, np.random.default_rng(2)
+    for _ in range(300):
+        data = bytes(rng.choice(list(b"aeinrst hg\xc3\xa9\xff"), rng.integers(1, 60)).tolist())
+        assert list(v.encode_piece(data)) == bpe.PrefixEncoder(v, data).ids()
