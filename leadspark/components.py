@@ -5,7 +5,8 @@ Steps are written to the checkpoint folder, so plans stay short and lost executo
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; where none is named, one of this process that goes with it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        own = tempfile.mkdtemp(prefix="leadspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "leadspark-shared")
-    path = f"{where.rstrip('/')}/steps/{uuid.uuid4().hex}"
+    """The rows as a written table, cut from their lineage."""
+    path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(pairs: DataFrame, node: str, key: str) -> DataFrame:
