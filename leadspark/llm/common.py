@@ -5,8 +5,6 @@ Word rules work on UTF-8 bytes: only A-Z are lower-cased, and the separators of
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.components import shared_dir
+
 #: Rows of one Arrow batch; with it, a batch of texts stays far below a worker's memory.
 BATCH_ROWS = 512
 
@@ -67,15 +67,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "leadspark-shared")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: executed once, cut from its lineage, safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/leadspark/{uuid.uuid4().hex}"
