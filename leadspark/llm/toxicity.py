@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, spread, tune
+from .common import crc_bucket, spread, tune, written
 
 #: Labelled rows that learning may take.
 FIT_ROWS = 8000
@@ -209,7 +209,9 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
     if fold is not None:
         given = given.filter(fold)
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(given), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)).alias("half"))  # fit_rows rows of two numbers
+    # fit_rows ids and labels go out; their texts are kept as a small table, so the corpus is read once
+    rows = docs.select("doc_id", "text").join(F.broadcast(given), "doc_id")
+    rows = written(rows.select("text", "toxic", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)).alias("half")).repartition(8))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -224,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(near, pa.int64())], names=["f", "near"])
 
     toxic = rows.filter("toxic = 1").select("text")
-    counted = toxic.repartition(8).mapInArrow(surroundings, "f string, near long").distinct().groupBy("f").agg(F.count("*").alias("n"))
+    counted = toxic.mapInArrow(surroundings, "f string, near long").distinct().groupBy("f").agg(F.count("*").alias("n"))
     sizes = {int(r.toxic): r.n for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n_toxic or not n_clean:
@@ -258,18 +260,14 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
     model = Model(terms=sorted(terms))
     held_terms = model.terms
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, none = Matcher(held_terms), frozenset()
         for b in batches:
-            x, variants = [], []
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, hits = features(t, matcher, none)
-                x.append([y, *_])
-                variants.append(sorted({h[0] for h in hits if h[2]}) if y != 1 else [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(variants, pa.list_(pa.string()))], names=["x", "variants"])
+            hits = [features(t, matcher, none)[1] if y != 1 else [] for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted({h[0] for h in found if h[2]}) for found in hits], pa.list_(pa.string()))], names=["variants"])
 
     # variants come from one half of the sample and the weights from the other, so that variants yet unseen get a fair weight
-    clean = rows.filter("half = 0").mapInArrow(measured, "x array<double>, variants array<string>").select(F.explode("variants").alias("v")).groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(MOST_VARIANTS)
+    clean = rows.filter("half = 0").mapInArrow(variants, "variants array<string>").select(F.explode("variants").alias("v")).groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(MOST_VARIANTS)
     model.clean = frozenset(r.v for r in clean.collect())
     passing = model.clean
 
