@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against its SQL twin on the smallest tables."""
+"""Every registered query of the lead operators against its SQL twin on the smallest tables."""
 
 import math
 import os
