@@ -85,7 +85,7 @@ class Vocabulary:
                 limit, left = left, of_left[1]
             else:  # of equal ranks, the one further left is merged first
                 limit, right = right + 1, of_right[0]
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
@@ -182,6 +182,10 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Tokenizer:
     def __init__(self, path: str, pattern: str):
@@ -213,15 +217,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
         as_text = t.v.text.__getitem__
-        for b in batches:
-            n, a, d, all_ids = [], [], [], []
-            for text in b.column(1):
-                ids = t.encode(text.as_py())
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(as_text, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(t.decode(ids)).hexdigest())
-                all_ids.append(ids if with_ids else None)
-            out = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        try:
+            for b in batches:
+                n, a, d, all_ids = [], [], [], []
+                for text in b.column(1):
+                    ids = t.encode(text.as_py())
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(",".join(map(as_text, ids)).encode()).hexdigest())
+                    d.append(hashlib.sha256(t.decode(ids)).hexdigest())
+                    all_ids.append(ids if with_ids else None)
+                out = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        finally:  # a worker outlives the task; other stages need the room
+            t.pieces.forget()
 
     return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
