@@ -2,7 +2,8 @@
 
 ``scan`` finds licence statements in whole texts. Three steps per text:
 
-1. one Aho-Corasick pass over the lower-cased text finds which rules' keywords occur; most texts end here;
+1. one Aho-Corasick pass over the lower-cased text, its runs of white space taken as one blank, finds which rules'
+   keywords occur; most texts end here;
 2. only those rules' regular expressions run;
 3. overlapping detections are resolved: by falling priority, then length, a detection is kept unless its interval lies
    inside one that is kept already (equal intervals: the higher priority stays).
@@ -115,7 +116,7 @@ class Rule:
 
 def _spaced(pattern: str) -> str:
     """A space of a pattern stands for any white space."""
-    for a, b in (("[- ]", r"[-\s]"), ("[ -]", r"[-\s]"), ("(?: |-)", r"(?:\s|-)"), (" ?", r"\s*"), (" ", r"\s+")):
+    for a, b in (("[- ]", r"(?:-|\s+)"), ("[ -]", r"(?:-|\s+)"), ("(?: |-)", r"(?:\s+|-)"), (" ?", r"\s*"), (" ", r"\s+")):
         pattern = pattern.replace(a, b)
     return pattern
 
@@ -162,7 +163,7 @@ def detect(text: str | None) -> list[tuple[int, int, int, float, str]]:
     low = text.lower()
     if len(low) != len(text):  # a few capitals lower-case to more code points; intervals are told on the text
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    which = {i for _, ids in _keywords().iter(low) for i in ids}
+    which = {i for _, ids in _keywords().iter(" ".join(low.split())) for i in ids}  # a blank of a keyword is any white space, as in the rules
     found = []
     for i in sorted(which):
         r = rules()[i]

@@ -60,6 +60,26 @@ def test_license_suppression():
     assert licenses.resolve([(0, 5, 1, 0.1, "x"), (0, 5, 2, 0.1, "y")]) == [(0, 5, 2, 0.1, "y")]
 
 
+WRAPPED = [
+    "MIT No Attribution License", "GNU General Public License, version 2", "GNU Lesser General Public License v2.1", "Common Development and Distribution License", "Common Public License", "do what the fuck you want to public license",
+    "Creative Commons Zero", "Creative Commons Attribution 4.0 International", "Creative Commons Attribution Share Alike", "Creative Commons Attribution No Derivatives", "Creative Commons Attribution Non Commercial", "Creative Commons Attribution Non Commercial Share Alike",
+    "Creative Commons Attribution NonCommercial NoDerivs", "SIL Open Font License", "European Union Public License", "Python Software Foundation License", "Academic Free License", "Open Software License", "Open Data Commons Open Database License", "GNU Free Documentation License",
+    "Server Side Public License", "Business Source License", "Universal Permissive License", "All rights reserved", "Public Domain Dedication", "dedicated to the public domain", "BSD 3-Clause License", "CC BY NC SA", "Licensed under the GNU General Public License version 3",
+]
+
+
+def test_license_wraps():
+    assert {r.keyword for r in licenses.rules() if " " in r.keyword} <= {k for t in WRAPPED for r in licenses.rules() if (k := r.keyword) in t.lower()}
+    for t in WRAPPED:
+        whole = [d[2:] for d in licenses.detect(t)]
+        assert whole, t
+        for gap in ("\n", "  ", "\r\n\t", "\u00a0"):
+            wrapped = "see " + t.replace(" ", gap) + "."
+            found = licenses.detect(wrapped)
+            assert [d[2:] for d in found] == whole, wrapped
+            assert all(not wrapped[a:b][0].isspace() and b <= len(wrapped) for a, b, *_ in found)
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 
