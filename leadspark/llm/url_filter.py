@@ -4,10 +4,12 @@ Explicit rules (action, host, path) fit a host and its subdomains and the paths
 wins. Pages that no rule fits take the decision of their aliases: URLs are the nodes of a graph whose edges are
 redirects (meta refresh) and canonical links, and URLs that differ only in scheme, fragment, tracking parameters, a
 leading ``www.`` or ``m.`` or a trailing slash are one node. In each connected component a URL that a rule allows
-outweighs those that rules block; a component with neither is allowed.
+outweighs those that rules block; a component with neither is allowed. Relative targets are taken from the page's URL or
+its ``<base>``, as RFC 3986 says.
 
-Defined cases: null URLs and those without ``://`` have an empty host and path, fit no rule, have no aliases and are
-allowed; null HTML has no links; repeated pages are judged each on its own; an empty table gives an empty one.
+Defined cases: null URLs and those without ``://`` have an empty host and path, fit no rule, have no aliases (so their
+links and redirects join nothing) and are allowed; targets of other schemes than with ``://`` (``mailto:``) are none;
+null HTML has no links; repeated pages are judged each on its own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -56,20 +58,51 @@ def alias_key(url: Column) -> Column:
 
 
 def links_of(html: Column) -> Column:
-    """The absolute targets of canonical links and meta refreshes of a page."""
+    """The targets of canonical links and meta refreshes of a page, as written."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical")), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh")), lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return F.filter(F.concat(canonical, refresh), lambda u: u.contains("://"))
+    return F.filter(F.concat(canonical, refresh), lambda u: u != "")
+
+
+def base_of(html: Column) -> Column:
+    """What the first ``<base>`` of a page names, as written; empty without one."""
+    return F.coalesce(F.regexp_extract(html, r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path less its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    # the first part is the nothing before the leading slash and stays
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(last, "/").otherwise(""))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute URL that a reference on a page means (the page's URL must have ``://``); null for other schemes."""
+    origin, path = F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1), path_of(url)
+    own, tail = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when((target == "") | target.startswith("#"), F.concat(F.regexp_extract(url, r"^([^#]*)", 1), target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1)), own)), tail))
+    )
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, aliased) of each page. redirects: further edges (source, target) of absolute URLs."""
     seen = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = seen.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("node", F.when(F.col("url").contains("://"), alias_key(F.col("url"))))
-    jumps = pages.filter("url is not null and html is not null").select("url", F.explode(links_of(F.col("html"))).alias("target"))
+    links = pages.filter(F.col("url").contains("://") & F.col("html").isNotNull()).select("url", base_of(F.col("html")).alias("base"), F.explode(links_of(F.col("html"))).alias("target"))
+    links = links.withColumn("base", F.coalesce(resolved(F.col("base"), F.col("url")), F.col("url")))
+    jumps = links.select("url", resolved(F.col("target"), F.col("base")).alias("target"))
     if redirects is not None:
-        jumps = jumps.union(redirects.select("source", "target").filter("source is not null and target is not null"))
+        jumps = jumps.union(redirects.select("source", "target"))
+    jumps = jumps.filter(F.col("url").contains("://") & F.col("target").contains("://"))
     jumps = written(jumps.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b"), fitting_rule(host_of(F.col("target")), path_of(F.col("target")), rules)["action"].alias("action")).distinct())
     whole = connected(jumps)
     told = seen.select("node", F.col("fit.action").alias("action")).union(jumps.select(F.col("b").alias("node"), "action")).filter("node is not null and action is not null")

@@ -264,6 +264,34 @@ def test_url_redirect_classes(spark):
     assert "Python" not in url_filter.judge(pages(spark, rows))._jdf.queryExecution().toString()
 
 
+def test_url_pages_without_scheme_join_nothing(spark):
+    link = '<link href="{}" rel="canonical">'.format
+    rows = [(1, "plain one", link("http://bad.net/")), (2, "plain two", link("http://other.com/")), (3, "http://other.com/", None), (4, "/local", link("http://good.org/fr/")), (5, "http://still.com/", None)]
+    got = {r.page_id: (r.verdict, r.aliased) for r in url_filter.judge(pages(spark, rows)).collect()}
+    assert got == {i: ("allow", False) for i in range(1, 6)}
+    more = spark.createDataFrame([("nowhere", "http://bad.net/"), ("elsewhere", "http://other.com/"), ("http://still.com/", "nothing"), ("http://bad.net/", "nothing")], "source string, target string")
+    assert {r.page_id: (r.verdict, r.aliased) for r in url_filter.judge(pages(spark, rows), redirects=more).collect()} == got
+
+
+def test_url_relative_links(spark):
+    from urllib.parse import urljoin
+
+    targets = ["/de/x", "//bad.net/x", "x", "./x", "../x", "../../../x/", "x/..", ".", "a/./b/../c?q=1#f", "?q=2", "#f", "", "http://b.net/?u", "/login?next=http://x.net/", "/a/b/../../c", "x?u=../y", "mailto:a@b.net"]
+    urls = ["http://h.com", "http://h.com/", "https://h.com:8080/a/b/c?d=e/f#g", "http://h.com/a/b/", "http://h.com?q=/x/y"]
+    df = spark.createDataFrame([(u, t) for u in urls for t in targets], "url string, target string")
+    got = df.select("url", "target", url_filter.resolved(F.col("target"), F.col("url")).alias("to"), url_filter.alias_key(url_filter.resolved(F.col("target"), F.col("url"))).alias("node")).collect()
+    wanted = {(u, t): None if t.startswith("mailto") else urljoin(u, t) for u in urls for t in targets}
+    nodes = {r.url: r.node for r in spark.createDataFrame([(w,) for w in {*wanted.values()} - {None}], "url string").select("url", url_filter.alias_key(F.col("url")).alias("node")).collect()}
+    for r in got:
+        w = wanted[r.url, r.target]
+        assert r.to is None if w is None else r.node == nodes[w], (r, w)
+    link = '<link rel="canonical" href="{}">'.format
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'.format
+    rows = [(1, "http://a.example.com/", refresh("/de/x")), (2, "http://b.com/", link("//bad.net/x")), (3, "http://www.example.com/de", link("de/x")), (4, "http://c.com/p/q", refresh("../r")), (5, "http://c.com/r", link("//bad.net/y")), (6, "http://d.com/", '<base href="//bad.net/s/">' + link("t")), (7, "http://e.com/", link("t"))]
+    assert {r.page_id: (r.verdict, r.aliased) for r in url_filter.judge(pages(spark, rows)).collect()} == {**{i: ("block", True) for i in range(1, 7)}, 7: ("allow", False)}
+    assert "Python" not in url_filter.judge(pages(spark, rows))._jdf.queryExecution().toString()
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     for edges in ([(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51)], [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(50)], [(1, 1)], []):
