@@ -1,7 +1,4 @@
-"""Connected components of small and middling key graphs by label propagation with pointer jumping, as DataFrame joins.
-
-Steps are written to the checkpoint folder, so plans stay short and lost executors cost a step.
-"""
+"""Tables written to the checkpoint folder, so that plans stay short and lost executors cost a step, and ranks over them."""
 
 from __future__ import annotations
 
@@ -10,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,17 +29,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(pairs: DataFrame, node: str, key: str) -> DataFrame:
-    """(node, component) for a bipartite graph of nodes and keys; a component is told by its least node."""
-    pairs = stored(pairs.select(F.col(node).alias("node"), F.col(key).alias("key")).distinct())
-    label = stored(pairs.groupBy("node").agg(F.min("node").alias("component")))
-    while True:
-        by_key = pairs.join(label, "node").groupBy("key").agg(F.min("component").alias("component"))
-        near = pairs.join(by_key, "key").groupBy("node").agg(F.min("component").alias("component"))
-        # a component's own label may have fallen too: jump
-        jump = near.join(near.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce(F.least("component", "top"), "component").alias("component"))
-        new = stored(jump)
-        changed = new.join(label.withColumnRenamed("component", "was"), "node").filter("component <> was").limit(1).count()
-        label = new
-        if not changed:
-            return label
+def placed(rows: DataFrame, keys: list[str], *order: Column, name: str = "place") -> DataFrame:
+    """The rows with their place (from 0) among those of their keys. The order must leave no ties.
+
+    Rows are dealt by ranges of keys and order, counted within each range, and moved up by what the ranges before hold; so
+    a key with most of the rows is spread over all tasks too.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.withColumn("_at", F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).repartitionByRange(parts, *keys, "_at").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at")) - 1
+    # written, so that the join's sides are plain exchanges
+    sizes = stored(sizes.select(*keys, "_part", before.alias("_before")))
+    return dealt.withColumn(name, within).join(sizes, [*keys, "_part"]).withColumn(name, F.col(name) + F.col("_before")).drop("_at", "_part", "_before")

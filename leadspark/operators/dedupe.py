@@ -1,26 +1,33 @@
 """Deduplication across domains: leads that share an e-mail address or a normalised name become one.
 
-Plans come from a sequential fold over leads by falling score: a lead joins the plan of its first known e-mail key, else of
-its name, and then registers its own keys that are new; two plans are never merged. Keys never cross components of the
-lead-key graph, so components only divide the work and the fold inside each gives the same plans.
+The contract is a sequential fold over leads by falling score: a lead joins the plan of its first known e-mail key, else of
+its name, and then registers its own keys that are new; two plans are never merged (``fold``). A key is known from its first
+holder on and always names that holder's plan. So each lead has one parent, the first holder of the first of its keys that
+is held before it, and its plan is the root above it: keys' first holders, a join, and pointer jumping give the same plans
+with no group in one task. Merged fields come from the first value of each field, list item or map key, gathered before
+they are moved; only what a survivor ends up with, its merged domains included, stands in one row.
+
+Defined cases: null e-mails, lists and names are no keys and add nothing; null scores come last. Ids are unique in a run.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.components import components, stored
+from leadspark.components import placed, stored
 from leadspark.functions.contacts import normalized_company_name
 
 from .merge import added_people, filled_map, left_biased, ordered_union
 
 _SCALARS = ["company_name", "website", "description", "industry", "country", "city", "address", "employee_count", "employee_range", "founded_year", "funding_stage", "funding_amount", "funding_year", "contact_form_url"]
+_LISTS = ["emails", "phones", "technologies"]
 
 
 def fold(rows: list[tuple[str, float, str, list[str], str | None]]) -> list[tuple[str, str, int]]:
-    """(id, survivor id, place in the plan) for rows (id, score, domain, e-mail keys, name key)."""
+    """The contract in plain words: (id, survivor id, place in the plan) for rows (id, score, domain, e-mail keys, name key)."""
     plans: dict[str, int] = {}
     by_email: dict[str, str] = {}
     by_name: dict[str, str] = {}
@@ -36,53 +43,89 @@ def fold(rows: list[tuple[str, float, str, list[str], str | None]]) -> list[tupl
     return out
 
 
-def plan_dedupe(leads: DataFrame) -> DataFrame:
-    """leads(run_id, id, domain, score, emails, company_name) to (run_id, id, survivor_id, place); a survivor's place is 0."""
-    keyed = leads.select("run_id", "id", "domain", F.col("score").cast("double").alias("score"), F.transform("emails", lambda e: F.lower(e)).alias("emails"), normalized_company_name(F.col("company_name")).alias("name"))
-    keyed = stored(keyed)
-    keys = F.concat(F.transform("emails", lambda e: F.concat(F.lit("e:"), e)), F.when(F.col("name").isNotNull(), F.array(F.concat(F.lit("n:"), F.col("name")))).otherwise(F.array().cast("array<string>")))
-    pairs = keyed.select(F.concat_ws("\u0001", "run_id", "id").alias("lead"), F.explode(keys).alias("key"), "run_id").select("lead", F.concat_ws("\u0001", "run_id", "key").alias("key"))
-    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    whole = components(pairs.join(shared, "key", "left_semi"), "lead", "key")
-    d = keyed.withColumn("lead", F.concat_ws("\u0001", "run_id", "id")).join(whole.withColumnRenamed("node", "lead"), "lead", "left")
-    alone = d.filter("component is null").select("run_id", "id", F.col("id").alias("survivor_id"), F.lit(0).alias("place"))
+def _roots(edges: DataFrame) -> DataFrame:
+    """(run_id, id, parent) with the root above each id as its parent; edges must have no rings."""
+    while True:
+        up = edges.select("run_id", F.col("id").alias("parent"), F.col("parent").alias("top"))
+        new = stored(edges.select("run_id", "id", "parent").join(up, ["run_id", "parent"], "left").select("run_id", "id", F.coalesce("top", "parent").alias("parent"), F.col("top").isNotNull().alias("moved")))
+        if not new.filter("moved").limit(1).count():
+            return new.select("run_id", "id", "parent")
+        edges = new
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, s, dom, list(e), n) for i, s, dom, e, n in zip(pdf["id"], pdf["score"], pdf["domain"], pdf["emails"], pdf["name"], strict=True)]
-        out = pd.DataFrame(fold(rows), columns=["id", "survivor_id", "place"])
-        out.insert(0, "run_id", pdf["run_id"].iloc[0])
-        return out
 
-    together = d.filter("component is not null").groupBy("run_id", "component").applyInPandas(run, "run_id string, id string, survivor_id string, place int")
-    return alone.union(together)
+def plan_dedupe(leads: DataFrame) -> DataFrame:
+    """leads(run_id, id, domain, score, emails, company_name) to (run_id, id, survivor_id, place); a survivor's place is 0."""
+    score = F.col("score").cast("double")
+    keyed = leads.select(
+        "run_id", "id", F.struct(score.isNull().alias("unscored"), (-score).alias("fall"), "domain", "id").alias("at"),
+        F.transform(F.array_compact(F.coalesce("emails", F.array().cast("array<string>"))), lambda e: F.concat(F.lit("e:"), F.lower(e))).alias("emails"),
+        F.concat(F.lit("n:"), normalized_company_name(F.col("company_name"))).alias("name"),
+    )
+    keyed = stored(keyed.select("run_id", "id", "at", F.concat("emails", F.array_compact(F.array("name"))).alias("keys")))
+    pairs = stored(keyed.select("run_id", "id", "at", F.posexplode("keys").alias("pos", "key")))
+    # written, so that the join's sides are plain exchanges and Spark splits the partition of a hot key by itself
+    firsts = stored(pairs.groupBy("run_id", "key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    parents = pairs.join(firsts, ["run_id", "key"]).filter("first < at").groupBy("run_id", "id").agg(F.min_by("first.id", "pos").alias("parent"))
+    roots = _roots(stored(parents))
+    whole = stored(roots.select("run_id", "id", F.col("parent").alias("survivor_id")).union(roots.select("run_id", F.col("parent").alias("id"), F.col("parent").alias("survivor_id")).distinct()))
+    d = keyed.select("run_id", "id", "at").join(whole, ["run_id", "id"], "left")
+    alone = d.filter("survivor_id is null").select("run_id", "id", F.col("id").alias("survivor_id"), F.lit(0).alias("place"))
+    together = placed(d.filter("survivor_id is not null"), ["run_id", "survivor_id"], F.col("at"))
+    return alone.union(together.select("run_id", "id", "survivor_id", F.col("place").cast("int").alias("place")))
+
+
+def _gathered(absorbed: DataFrame) -> DataFrame:
+    """What the absorbed leads of each plan say for list and map fields, by place, each once: one row for each plan."""
+    person, entry = (absorbed.schema[c].dataType for c in ("people", "provenance"))
+    person, entry = person.elementType, entry.valueType
+
+    def item(field: str, key: Column, i: Column, **said: Column) -> Column:
+        values = (said.get(k, F.lit(None).cast(t)).alias(k) for k, t in (("text", "string"), ("person", person), ("entry", entry)))
+        return F.struct(F.lit(field).alias("field"), key.alias("key"), F.struct(F.col("place").alias("place"), i.alias("idx")).alias("at"), *values)
+
+    def listed(c: str) -> Column:
+        return F.transform(c, lambda v, i: item(c, v, i))
+
+    socials = F.transform(F.filter(F.map_entries("socials"), lambda e: e["value"] != ""), lambda e, i: item("socials", e["key"], i, text=e["value"]))
+    people = F.transform(F.filter("people", lambda p: F.trim(p["name"]) != ""), lambda p, i: item("people", F.lower(F.trim(p["name"])), i, person=p))
+    provenance = F.transform(F.map_entries("provenance"), lambda e, i: item("provenance", e["key"], i, entry=e["value"]))
+    items = absorbed.select("run_id", "survivor_id", F.explode(F.flatten(F.array_compact(F.array(*(listed(c) for c in _LISTS), socials, people, provenance)))).alias("x")).select("run_id", "survivor_id", "x.*")
+    given = (F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("text", "person", "entry"))
+    once = items.groupBy("run_id", "survivor_id", "field", "key").agg(F.min("at").alias("first"), *given)
+
+    def sorted_of(field: str, *values: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("first", *values))))
+
+    return once.groupBy("run_id", "survivor_id").agg(
+        *(F.transform(sorted_of(c, "key"), lambda x: x["key"]).alias(f"_{c}") for c in _LISTS),
+        F.map_from_entries(F.transform(sorted_of("socials", "key", "text"), lambda x: F.struct(x["key"], x["text"]))).alias("_socials"),
+        F.transform(sorted_of("people", "person"), lambda x: x["person"]).alias("_people"),
+        F.map_from_entries(F.transform(sorted_of("provenance", "key", "entry"), lambda x: F.struct(x["key"], x["entry"]))).alias("_provenance"),
+    )
 
 
 def apply_plans(leads: DataFrame, plans: DataFrame) -> DataFrame:
     """All leads; survivors of plans with others take what they lack, the others point to them. Scores stay as they are."""
     names = leads.columns
-    d = leads.drop("merged_into", "merged_domains").join(plans, ["run_id", "id"])
+    d = stored(leads.drop("merged_into", "merged_domains").join(plans, ["run_id", "id"]))
     body = [c for c in names if c not in ("run_id", "merged_into", "merged_domains")]
-    grouped = d.groupBy("run_id", "survivor_id").agg(F.array_sort(F.collect_list(F.struct("place", *body)), lambda a, b: a["place"] - b["place"]).alias("members"))
-    first, rest = F.get("members", F.lit(0)), F.slice("members", F.lit(2), F.greatest(F.size("members") - 1, F.lit(0)))
-
-    def first_given(c: str) -> Column:
-        return F.get(F.filter(F.transform("members", lambda m: m[c]), lambda v: v.isNotNull()), F.lit(0))
-
-    def united(c: str) -> Column:
-        return F.aggregate(rest, first[c], lambda a, m: ordered_union(a, m[c]))
-
-    new = {c: first_given(c) for c in _SCALARS if c in names} | {c: united(c) for c in ("emails", "phones", "technologies")}
-    new["socials"] = F.aggregate(rest, first["socials"], lambda a, m: filled_map(a, m["socials"]))
-    new["people"] = F.aggregate(rest, first["people"], lambda a, m: added_people(a, m["people"]))
-    new["provenance"] = F.aggregate(rest, first["provenance"], lambda a, m: left_biased(a, m["provenance"]))
-    several = F.size("members") > 1
-    survivors = grouped.select(
-        "run_id",
-        *(F.when(several, new[c]).otherwise(first[c]).alias(c) if c in new else first[c].alias(c) for c in body),
-        F.lit(None).cast("string").alias("merged_into"),
-        F.when(several, F.transform(rest, lambda m: m["domain"])).otherwise(F.array().cast("array<string>")).alias("merged_domains"),
+    rest = d.filter("place > 0")
+    scalars = [c for c in _SCALARS if c in names]
+    lacked = rest.groupBy("run_id", "survivor_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "domain"))), lambda x: x["domain"]).alias("_domains"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(f"_{c}") for c in scalars)
     )
-    absorbed = d.filter("place > 0").select("run_id", *body, F.col("survivor_id").alias("merged_into"), F.array().cast("array<string>").alias("merged_domains"))
+    s = d.filter("place = 0").join(lacked, ["run_id", "survivor_id"], "left").join(_gathered(rest), ["run_id", "survivor_id"], "left")
+
+    def both(c: str, f: Callable[[Column, Column], Column]) -> Column:
+        kind = d.schema[c].dataType
+        none = (F.create_map() if kind.typeName() == "map" else F.array()).cast(kind)
+        return F.when(F.col("_domains").isNotNull(), f(F.coalesce(c, none), F.coalesce(f"_{c}", none))).otherwise(F.col(c))
+
+    new = {c: F.coalesce(c, f"_{c}") for c in scalars} | {c: both(c, ordered_union) for c in _LISTS}
+    new |= {"socials": both("socials", filled_map), "people": both("people", added_people), "provenance": both("provenance", left_biased)}
+    nowhere = F.array().cast("array<string>")
+    survivors = s.select("run_id", *(new.get(c, F.col(c)).alias(c) for c in body), F.lit(None).cast("string").alias("merged_into"), F.coalesce("_domains", nowhere).alias("merged_domains"))
+    absorbed = rest.select("run_id", *body, F.col("survivor_id").alias("merged_into"), nowhere.alias("merged_domains"))
     return survivors.unionByName(absorbed).select(names)
 
 

@@ -1,11 +1,13 @@
 """Operators on constructed records: discovery, packing, merging, validation, scoring, deduplication, state and exports."""
 
 import random
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from leadspark import schemas
+from leadspark.components import placed
 from leadspark.operators import dedupe, discover, merge, pages, politeness, read_models, runs, score, validate
 from leadspark.sinks import export
 
@@ -167,6 +169,68 @@ def test_dedupe_absorbs(spark):
     assert [e.message for e in events.collect()] == ["merged 1 into a"]
 
 
+def absorbed_plainly(rows):
+    """The contract of merging, one lead after another; rows by id as dicts."""
+    out = {i: dict(r, socials=dict(r["socials"]), provenance=dict(r["provenance"]), merged_into=None, merged_domains=[]) for i, r in rows.items()}
+    for i, top, place in sorted(dedupe.fold([(r["id"], r["score"], r["domain"], [e.lower() for e in r["emails"]], r["company_name"]) for r in rows.values()]), key=lambda x: x[2]):
+        if not place:
+            continue
+        a, b = out[top], rows[i]
+        out[i]["merged_into"] = top
+        a["merged_domains"] = [*a["merged_domains"], b["domain"]]
+        for c in ("emails", "phones", "technologies"):
+            a[c] = a[c] + [v for v in dict.fromkeys(b[c]) if v not in a[c]]
+        a["socials"] = {k: (a["socials"].get(k) or None) or b["socials"].get(k) or None for k in [*a["socials"], *(k for k, v in b["socials"].items() if v and k not in a["socials"])]}
+        for p in b["people"]:
+            if p[0].strip() and p[0].strip().lower() not in [q[0].strip().lower() for q in a["people"]]:
+                a["people"] = [*a["people"], p]
+        a["provenance"] = {k: a["provenance"].get(k) or b["provenance"].get(k) for k in [*a["provenance"], *(k for k in b["provenance"] if k not in a["provenance"])]}
+        for c in ("company_name", "website"):
+            a[c] = b[c] if a[c] is None else a[c]
+    return out
+
+
+def test_dedupe_of_hot_keys_and_chains(spark):
+    rng = random.Random(5)
+    columns = ["run_id", "id", "domain", "score", "company_name", "website", "emails", "phones", "technologies", "socials", "people", "provenance", "merged_into", "merged_domains"]
+    rows = []
+    for i in range(240):
+        # a third on one address, a chain of addresses each shared by two neighbours, and some of their own
+        emails = ["hot@x.com"] * (i % 3 == 0) + ([f"c{i}@x.com", f"c{i + 3}@x.com"] if i % 3 == 1 else []) + [f"E{rng.randint(0, 400)}@x.com"] * (i % 5 == 0)
+        rows.append(("r", f"l{i:03}", f"d{i % 50}.com", float(300 - i if i % 3 == 1 else rng.randint(0, 400)), rng.choice([None, None, "gamma", "delta systems", f"name{i}"]), rng.choice([None, f"w{i}"]), rng.sample(emails, len(emails)),
+                     [str(rng.randint(0, 9)) for _ in range(rng.randint(0, 3))], [rng.choice("abc")], {k: rng.choice([None, "", f"{k}{i}"]) for k in rng.sample(["linkedin", "github", "twitter"], rng.randint(0, 3))},
+                     [(rng.choice(["Ada", " ada ", "Bob", " ", f"P{i}"]), str(i), None, None) for _ in range(rng.randint(0, 2))], {k: rng.choice([None, (f"u{i}", "m", 0.5)]) for k in rng.sample("xyz", rng.randint(0, 2))}, None, []))
+    df = lead_rows(spark, []).unionByName(spark.createDataFrame(rows, lead_rows(spark, []).schema))
+    want = absorbed_plainly({r[1]: dict(zip(columns, r, strict=True)) for r in rows})
+    done, _ = dedupe.dedupe_runs(df)
+    got = {r.id: r for r in done.collect()}
+    assert len(got) == len(rows) and max(len(w["merged_domains"]) for w in want.values()) > 70
+    for i, w in want.items():
+        g = got[i].asDict(recursive=False)
+        g["people"] = [tuple(p) for p in g["people"]]
+        g["provenance"] = {k: v and tuple(v) for k, v in g["provenance"].items()}
+        if not w["merged_domains"]:
+            w = dict(w, socials=g["socials"]) if {k: v or None for k, v in w["socials"].items()} == {k: v or None for k, v in g["socials"].items()} else w
+        assert g == w, i
+    # no group of leads is one task's or one row's work
+    plan = dedupe.plan_dedupe(df)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Python" not in plan
+    assert not re.search(r"collect_list\(struct\(place, place#\d+, id,", done._jdf.queryExecution().toString())
+
+
+def test_dedupe_takes_no_nulls_for_keys(spark):
+    df = spark.createDataFrame([("r", "a", "a.de", 2.0, [None], None), ("r", "b", "b.de", 1.0, [None], None), ("r", "c", "c.de", None, None, "Gamma"), ("r", "d", "d.de", 1.0, ["x@d.de"], "Gamma")], "run_id string, id string, domain string, score double, emails array<string>, company_name string")
+    assert sorted((r.id, r.survivor_id, r.place) for r in dedupe.plan_dedupe(df).collect()) == [("a", "a", 0), ("b", "b", 0), ("c", "d", 1), ("d", "d", 0)]
+
+
+def test_places_are_counted_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [("hot" if i % 10 else f"k{i}", rng.random(), i) for i in range(500)]
+    want = {i: sorted(r[1] for r in rows if r[0] == k).index(x) for k, x, i in rows}
+    ranked = placed(spark.createDataFrame(rows, "k string, x double, i int").repartition(3), ["k"], F.col("x"))
+    assert {r.i: r.place for r in ranked.collect()} == want and ranked.columns.count("k") == 1
+
+
 def test_run_tables(spark):
     ev = spark.createDataFrame([("r", 1, 10, "discovering", None), ("r", 2, 20, "scraping", "e"), ("r", 3, 30, "completed", None), ("q", 1, 5, "planning", None)], "run_id string, seq int, t int, status string, error string").withColumn("ts", F.timestamp_seconds("t"))
     r = {x.run_id: x for x in runs.fold_run_status(ev).collect()}
