@@ -10,7 +10,8 @@ pass through the blocks in turn, so what is sent stays bounded however large the
 split, so the bound is one block plus the longest item).
 
 Defined cases: null texts and items have no words and neither hit nor are hit; rows of an equal item_id are windows of
-the same item; repeated documents are judged each on its own; an empty benchmark leaves every document clean.
+the same item; items with a null id hit words like others but have no name to be listed or counted by (several are
+dealt into blocks by their text); repeated documents are judged each on its own; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ BLOCK_WORDS = 200_000
 class SuffixAutomaton:
     """Generalised suffix automaton over word numbers, with the items whose windows end in each state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window, self.words, self.shortest = window, {}, window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[tuple[int, int]] = []
         whole: list[tuple[int, int, int]] = []
-        self.items = sorted({name for name, words in items if words})
+        self.items = sorted({name for name, words in items if words}, key=lambda name: (name is None, name or ""))
         number = {name: i for i, name in enumerate(self.items)}
         for name, words in items:
             last = 0
@@ -136,7 +137,7 @@ class SuffixAutomaton:
                 u = top[link[u]]
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """A mark for each word, and the names of the items with an occurring window."""
+        """A mark for each word, and the names (none for null) of the items with an occurring window."""
         n = len(words)
         mask = np.zeros(n, bool)
         if n < self.shortest or not self.items:
@@ -150,7 +151,7 @@ class SuffixAutomaton:
         delta, found = np.zeros(n + 1, np.int64), set()
         for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
             self.run(codes[a:b].tolist(), a, delta, found)
-        return np.cumsum(delta)[:n] > 0, {self.items[i] for i in found}
+        return np.cumsum(delta)[:n] > 0, {self.items[i] for i in found} - {None}
 
 
 def spans(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -164,7 +165,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_
     hit_spans are word ranges [start, end).
     """
     tune(docs.sparkSession)
-    items = bench.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).filter("i is not null")
+    items = bench.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (block_words * 4)))
     sc = docs.sparkSession.sparkContext
@@ -172,8 +173,8 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_
     out = spread(docs).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("marks"), *([F.struct(*carry).alias("row")] if carry else []))
     row = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
     for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        data = pickle.dumps(sorted((r.i, alnum_words(r.t)) for r in part.collect()))  # a block of bounded size
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(blocks)) == k)
+        data = pickle.dumps(sorted(((r.i, alnum_words(r.t)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1])))  # a block of bounded size
         held, name = sc.broadcast(data), hashlib.sha256(data).hexdigest()
         last = k == blocks - 1
 

@@ -116,6 +116,20 @@ def test_decontamination(spark, corpus, block_words):
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+@pytest.mark.parametrize("block_words", [200_000, 2])
+def test_decontamination_by_items_without_id(spark, block_words):
+    named = [(1, "a b c d e f g h i j k l m n"), (2, "one more item")]
+    nameless = ["p q r s t u v w x y z aa bb cc", "only three words", None, "one more item"]
+    bench = spark.createDataFrame(named + [(None, t) for t in nameless], "item_id long, text string")
+    texts = ["x p q r s t u v w x y z aa bb cc x", "only three words", "a b c d e f g h i j k l m only three words", "one more item", "p q r s t u v w x y z aa", None]
+    got = by_id(decontaminate.digest(decontaminate.scan(make(spark, texts), bench, block_words=block_words)))
+    for i, t in enumerate(texts):
+        marks, names = judged(t, named + [(f"nameless {k}", x) for k, x in enumerate(nameless)]), judged(t, named)
+        assert tuple(got[i])[1:] == (*marks[:2], *names[2:4], marks[4]), t
+    assert [got[i].contaminated for i in range(6)] == [True, True, True, True, False, False] and got[0].n_items == 0
+    assert {r.doc_id for r in decontaminate.clean(make(spark, texts), bench).collect()} == {4, 5}
+
+
 def test_suffix_automaton_against_all_windows():
     rng = np.random.default_rng(4)
     for _ in range(60):
