@@ -8,8 +8,10 @@
 * a logistic model over what the matcher and the context windows find.
 
 The matcher is the product of the trie and the Levenshtein automata of its terms, made deterministic as states come up:
-a state is a set of (trie node, edits so far), and most words leave it after a few letters. Terms of under 5 letters
-must match exactly, those of 5 to 8 letters allow one edit, longer ones two; a stem accepts any ending.
+a state is a set of (trie node, edits so far), and most words leave it after a few letters. Whole words of under 5
+letters must match exactly, those of 5 to 8 letters allow one edit, longer ones two. A stem accepts any ending; it allows
+one edit from 7 letters on and none below. Learnt words that a stem covers stay in the trie beside it, so that their
+misspellings are met; what they match counts for the stem.
 
 Each match is looked at in a window of words: inside quotation marks or beside a word of reporting it counts as
 quotation, beside a word of address it counts as abuse.
@@ -72,6 +74,9 @@ class Matcher:
         self.ends: list[list[tuple[int, bool, int]]] = [[]]  # (allowed edits, stem, term)
         self.reach = [-1]  # the most edits that a term below allows
         self.terms = terms
+        stems = {t: k for k, (t, stem) in reversed(list(enumerate(terms))) if stem}
+        #: The term that a match counts for: a whole word's shortest stem, if there is one.
+        self.counts_for = [k if stem else next((stems[t[:n]] for n in range(1, len(t) + 1) if t[:n] in stems), k) for k, (t, stem) in enumerate(terms)]
         for k, (term, stem) in enumerate(terms):
             d, at = edits_allowed(term, stem), 0
             self.reach[0] = max(self.reach[0], d)
@@ -150,7 +155,7 @@ class Matcher:
                         best = rank if best is None or rank < best else best
         if len(self.known) > 300_000:
             self.known.clear()
-        out = self.known[word] = None if best is None else (best[2], best[0])
+        out = self.known[word] = None if best is None else (self.counts_for[best[2]], best[0])
         return out
 
 
@@ -252,12 +257,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
         odds = math.log((pos + 0.5) / (n_toxic + 1)) - math.log((neg + 0.5) / (n_clean + 1))
         if odds >= 2.5 and neg * 10 <= pos and pos >= least and by_chance(pos, pos + neg, n_toxic / (n_toxic + n_clean)) < MOST_CHANCE:
             ranked.append((-pos, f.endswith("*"), -len(f), f))
-    terms: list[tuple[str, bool]] = []
-    for _, stem, _, f in sorted(ranked):  # the widest first; what a chosen stem covers, or what adds nothing to chosen terms, stays out
-        t = f.rstrip("*")
-        if len(terms) < MOST_TERMS and not any((s and t.startswith(u)) or (stem and u.startswith(t)) for u, s in terms):
-            terms.append((t, stem))
-    model = Model(terms=sorted(terms))
+    chosen = lexicon([f for *_, f in sorted(ranked)])
+    model = Model(terms=sorted(chosen))
     held_terms = model.terms
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +284,18 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
     return model
 
 
+def lexicon(ranked: list[str]) -> list[tuple[str, bool]]:
+    """(term, is it a stem) from features, the widest first: what a chosen stem covers, or what adds nothing to chosen terms, is no
+    term of its own; of the words that chosen stems cover, those that allow edits stand beside them."""
+    terms: list[tuple[str, bool]] = []
+    for f in ranked:
+        t, stem = f.rstrip("*"), f.endswith("*")
+        if len(terms) < MOST_TERMS and not any((s and t.startswith(u)) or (stem and u.startswith(t)) for u, s in terms):
+            terms.append((t, stem))
+    stems = {t for t, stem in terms if stem}
+    return terms + [(f, False) for f in ranked if not f.endswith("*") and edits_allowed(f, False) and any(f[:n] in stems for n in STEM)]
+
+
 def by_chance(k: int, n: int, p: float) -> float:
     """Probability of k or more of n when each comes with probability p."""
     log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]

@@ -409,6 +409,34 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_of_misspelt_inflections(spark):
+    rng = np.random.default_rng(16)
+    vocabulary = ["".join(rng.choice(list("aeioubdlmnrst"), rng.integers(3, 8))) for _ in range(400)]
+    bad = ["zorpling", "zorpster", "zorpheads"]
+    rows = []
+    for i in range(600):
+        w = list(rng.choice(vocabulary, 60))
+        if i % 5 == 0:
+            w.insert(int(rng.integers(0, 60)), bad[i // 5 % 3])  # one each, so that the stem gathers more texts than any word
+        rows.append(" ".join(w))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], LABELS)
+    model = toxicity.learn(make(spark, rows), labels)
+    assert any(stem and "zorpling".startswith(t) for t, stem in model.terms)
+    m = toxicity.Matcher(model.terms)
+    whole = m.match("zorpling")
+    assert m.terms[whole[0]][1] and whole[1] == 0 and {m.match(w)[0] for w in [*bad, "zorpish"]} == {whole[0]}  # all count for the stem
+    for word, edits in (("zrpling", 1), ("sorpling", 1), ("zoprheads", 2), ("xzorpster", 1)):
+        assert m.match(word) == (whole[0], edits), word
+    assert m.match("zrpish") is None
+    hits = toxicity.score(make(spark, ["one zrpling two", "one zrpish two"]), model).orderBy("doc_id").collect()
+    assert [r.n_matches for r in hits] == [1, 0] and hits[0].score > hits[1].score
+
+
+def test_lexicon_keeps_covered_words():
+    terms = toxicity.lexicon(["zorp*", "zorpling", "other", "zorps", "zorpli*", "othe*", "zorp"])
+    assert terms == [("zorp", True), ("other", False), ("zorpling", False), ("zorps", False)]
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
