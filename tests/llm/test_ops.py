@@ -173,6 +173,27 @@ def test_bpe_append_and_edit(real):
         assert e.ids() == real._encode_single_piece(e.data)
 
 
+def test_bpe_edit_stays_near(real):
+    v, rng = bpe.tokenizer(PATH, public_tokenizers.PATTERN).v, np.random.default_rng(5)
+    data = bytes(rng.choice(list(b"aeinrst th"), 5000).tolist())
+    for at in (0, 100, 2500, 4990):
+        e = bpe.PrefixEncoder(v, data).replace(at, at + 4, b"ing")
+        assert e.ids() == real._encode_single_piece(e.data) == bpe.PrefixEncoder(v, e.data).ids() and e.last == bpe.PrefixEncoder(v, e.data).last
+        assert e.reencoded < 500
+
+
+def test_bpe_long_texts_and_small_tables(real, monkeypatch):
+    monkeypatch.setattr(bpe.Tokenizer, "CHUNK", 40)
+    t = bpe.Tokenizer(PATH, public_tokenizers.PATTERN)
+    t.pieces.most = 30
+    texts = ["one two three " * 50, None, "", "y" * 200, "it's 12 words  and\n\nmore é日本 " * 9, "one two"]
+    got = collections.defaultdict(list)
+    for i, ids in t.encoded(texts):
+        got[i] += ids
+    assert [got[i] for i in range(len(texts))] == [real.encode_ordinary(x or "") for x in texts]
+    assert len(t.pieces.young) <= 30 and t.decode(got[4]).decode() == texts[4]
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------
 
 
