@@ -6,12 +6,13 @@ Word rules work on UTF-8 bytes: only A-Z are lower-cased, and the separators of
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from leadspark.components import shared_dir
 
 #: Rows of one Arrow batch; with it, a batch of texts stays far below a worker's memory.
 BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Every ASCII byte that is not a-z or 0-9 separates words of the alphanumeric rule.
 _ALNUM = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -63,8 +65,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, since one row may be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches, since one row may be a very long text; a session that has set a size of its own keeps it."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -126,54 +129,40 @@ def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, li
         yield now, held
 
 
-def squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value, for what is moved or written in bulk."""
-    return zstandard.ZstdCompressor(level=3).compress(packed(*arrays))
+def bundled(docs: DataFrame, most: int, also: Callable[[pa.Table], pa.Array] | None = None, kind: str = "") -> DataFrame:
+    """(pack, n_bytes, data[, also]): the rows with a column ``text``, run by run, as compressed tables with about ``most`` bytes of text each.
 
-
-def unsqueezed(data: bytes, *kinds: str) -> list[np.ndarray]:
-    return unpacked(zstandard.ZstdDecompressor().decompress(data), *kinds)
-
-
-#: Stands for a null id among the 64-bit ids of a bundle; it comes before all others.
-NO_ID = -(1 << 63)
-
-
-def bundled(docs: DataFrame, packs: int, flag: F.Column | None = None, most: int = 24_000_000) -> DataFrame:
-    """(pack, data): the texts of each pack by a hash of their id, compressed, a partition's share of a pack in a row.
-
-    With the id goes one flag. Moving bundles instead of rows takes half the bytes and a thousandth of the records.
+    A pack is a run of a partition's rows, so it has its size whatever the ids are. To be written before use, since packs
+    are numbered by task. also: a further column, of the given type, made from each pack.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), (F.lit(False) if flag is None else flag).alias("flag"))
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for pack, own in held.items():
-                ids, texts, flags = zip(*own, strict=True)
-                data = squeezed(np.array(ids, np.int64), np.array(flags, np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([data], pa.binary())], names=["pack", "data"])
+        def told() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_table(rows.combine_chunks())
+            columns = {"pack": pa.array([(task << 32) + made], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+            return pa.RecordBatch.from_pydict(columns | ({"also": also(rows)} if also else {}))
 
         for b in batches:
-            for i, t, f, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(p, []).append((i, t, f))
-                size += len(t)
-            if size > most:
-                yield from told()
-                held, size = {}, 0
-        yield from told()
-
-    return spread(rows).mapInArrow(run, "pack long, data binary")
-
-
-def unbundled(data: list[bytes]) -> list[tuple[int, bytes, bool]]:
-    """(id, text, flag) of all texts of a pack, by (id, text)."""
-    out = []
-    for d in data:
-        ids, flags, sizes, texts = unsqueezed(d, "i8", "u1", "i8", "u1")
-        texts, stop = texts.tobytes(), np.cumsum(sizes).tolist()
-        out += [(i, texts[z - n : z], bool(f)) for i, f, n, z in zip(ids.tolist(), flags.tolist(), sizes.tolist(), stop, strict=True)]
-    return sorted(out)
+            n = np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0), np.int64)
+            at = 0
+            while at < b.num_rows:
+                whole = size + np.cumsum(n[at:])
+                cut = int(np.searchsorted(whole, most)) + 1
+                held.append(b.slice(at, cut))
+                at, size = at + cut, int(whole[min(cut, len(whole)) - 1])
+                if size >= most:
+                    yield told()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield told()
+
+    return spread(docs).mapInArrow(run, "pack long, n_bytes long, data binary" + (f", also {kind}" if also else ""))
+
+
+def unbundled(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()

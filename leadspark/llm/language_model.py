@@ -1,17 +1,16 @@
 """Language-model scores by a weighted backoff automaton, learnt and applied across the cluster.
 
 The model: p(w) = (c(w) + a) / (N + a (V + 1)), and p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K), h' being h without its
-first word. As an automaton: each history that was seen is a state; a seen n-gram is an arc with its weight; every
-state has a failure arc of weight log K / (c(h) + K) to the state of h'. A text is walked once, left to right: while
-the state has no arc for the word the failure arc is taken, and the weights add up to the text's log-probability.
-``BackoffAutomaton`` is that machine for any order on one node.
-
-``scores`` is the machine of order two over a cluster, whose model is too large to send to every task. Documents are
-dealt into packs by a hash of the id. Each pack sends the hashes of its distinct words and word pairs with its training
-counts to buckets; buckets add up and return to each pack the totals of what it sent, in its order. A pack so gets
-just the states and arcs that its own texts can reach. What is moved is one entry for each distinct word or pair of
-a pack, so frequent words weigh as little as rare ones, and no part of the model is sent whole to anyone. Words are
-told apart by 48 bits of hash inside their bucket, pairs by 40.
+first word. As an automaton (``BackoffAutomaton``): each history that was seen is a state; a seen n-gram is an arc with its
+weight; every state has a failure arc of weight log K / (c(h) + K) to the state of h'. A text is walked once, left to
+right, with one state to carry: while the state has no arc for the word its failure arc is taken, and the weights add up
+to the text's log-probability.
+
+The whole machine is too large to send to every task, so each task gets the part that its own texts can reach.
+Documents are bundled into packs of a few MB; each pack sends its distinct n-grams with their training counts through an
+``Exchange`` and gets the corpus' totals back for just these, from which it makes the states, arcs and failure arcs that
+its texts meet. What is moved is one entry for each distinct n-gram of a pack, so frequent words weigh as little as rare
+ones. N-grams are told apart by 64 bits of hash beside their family, which other bits deal.
 
 Defined cases: a null text is the empty one, whose only token is the end; repeated rows count each; rows of a null id
 are learnt from; without training rows all counts are 0 and every token has probability 1; other columns are left out.
@@ -19,205 +18,182 @@ are learnt from; without training rows all counts are 0 and every token has prob
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, bundled, crc_bucket, groups, mix, packed, squeezed, tune, unbundled, unpacked, unsqueezed, written
-
-#: Additive smoothing of single tokens; weight of the shorter history; bytes of a pack's texts, about.
-ADD, PRIOR, PACK_BYTES = 0.1, 100.0, 3_000_000
-
-_END, _START, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x9E3779B97F4A7C15)
+from .common import bundled, crc_bucket, mix, tune, unbundled, written
+from .exchange import Exchange, stats_of, totals
+
+#: Additive smoothing of single tokens; weight of the shorter history; words of an n-gram; bytes of a pack's texts, about.
+ADD, PRIOR, ORDER, PACK_BYTES = 0.1, 100.0, 2, 3_000_000
+#: Least bytes of a token and its separator on average, to foresee the number of n-grams.
+TOKEN_BYTES = 5
+
+_START, _END = 0, 1
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Grams:
+    """The n-grams of some texts up to an order, numbered order by order; a text is its start, its words and its end."""
+
+    def __init__(self, texts: list[str | None], learnt: np.ndarray, order: int = ORDER):
+        numbers = _Numbers({None: _START, b"": _END})
+        parts = [np.fromiter(map(numbers.__getitem__, (t or "").encode().lower().split()), np.int64) for t in texts]
+        self.order, self.learnt, self.kinds = order, learnt, len(numbers)
+        self.n = np.array([len(p) + 1 for p in parts], np.int64)  # tokens: the words and the end
+        stop = np.cumsum(self.n + 1)
+        self.words = np.full(int(stop[-1]) if len(stop) else 0, _END, np.int64)
+        for p, z in zip(parts, stop.tolist(), strict=True):
+            self.words[z - len(p) - 1 : z - 1] = p
+        self.starts = stop - self.n - 1
+        self.words[self.starts] = _START
+        hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"\n" if w is None else w) for w in numbers), ">u8").astype(np.uint64).reshape(-1, 2)
+        within = np.arange(len(self.words)) - np.repeat(self.starts, self.n + 1)
+        in_training = np.repeat(learnt, self.n + 1)
+        #: By order: number of the n-gram without its last word, its last word, number of the n-gram without its first word.
+        self.prefix, self.word, self.suffix = [None], [np.arange(self.kinds)], [None]
+        self.counts = [np.bincount(self.words[in_training], minlength=self.kinds)]
+        self.keys, self.deal = [hashes[:, 0]], [hashes[:, 1]]
+        last, there = self.words, None
+        for n in range(2, order + 1):
+            place = np.flatnonzero(within >= n - 1)
+            before = last[place - 1] if there is None else last[np.searchsorted(there, place - 1)]
+            shorter = last[place] if there is None else last[np.searchsorted(there, place)]
+            code, number = np.unique(before * self.kinds + self.words[place], return_inverse=True)
+            self.prefix.append(code // self.kinds), self.word.append(code % self.kinds)
+            suffix = np.empty(len(code), np.int64)
+            suffix[number] = shorter
+            self.suffix.append(suffix)
+            self.counts.append(np.bincount(number[in_training[place]], minlength=len(code)))
+            for made, single in ((self.keys, hashes[:, 0]), (self.deal, hashes[:, 1])):
+                made.append(mix(made[-1][self.prefix[-1]] * _A + single[self.word[-1]] * _B + np.uint64(n)))
+            last, there = number, place
+
+    def sent(self, of_words: Exchange, of_longer: Exchange, unit: int) -> Iterator[pa.RecordBatch]:
+        """The messages with the counts of the words, the start left out, and of the longer n-grams."""
+        yield from of_words.messages(unit, self.keys[0][1:], self.deal[0][1:], self.counts[0][1:])
+        if self.order > 1:
+            yield from of_longer.messages(unit, *(np.concatenate(x[1:]) for x in (self.keys, self.deal, self.counts)))
+
+    def heard(self, of_words: Exchange, of_longer: Exchange, told: dict[int, bytes]) -> list[np.ndarray]:
+        """The corpus' counts by order, from the answers; texts start as often as they end."""
+        words = of_words.totals_of(self.keys[0][1:], self.deal[0][1:], told)
+        out = [np.concatenate((words[_END - 1 : _END], words))]
+        if self.order > 1:
+            longer = of_longer.totals_of(np.concatenate(self.keys[1:]), np.concatenate(self.deal[1:]), told)
+            out += np.split(longer, np.cumsum([len(k) for k in self.keys[1:]])[:-1])
+        return out
 
 
 class BackoffAutomaton:
-    """States are histories; ``arcs`` holds (next state, weight) by word, ``fail`` the weight of the failure arc."""
-
-    def __init__(self, texts: Iterable[list[bytes]], order: int = 2, add: float = ADD, prior: float = PRIOR):
-        grams, after = [Counter() for _ in range(order)], Counter()
-        for words in texts:
-            seq = [None, *words, b""]  # None: start, b"": end
-            for i in range(1, len(seq)):
-                grams[0][(seq[i],)] += 1
-                for n in range(1, order):
-                    if n <= i:
-                        h = tuple(seq[i - n : i])
-                        grams[n][(*h, seq[i])] += 1
-                        after[h] += 1
-        total, kinds = sum(grams[0].values()), len(grams[0])
-        z = total + add * (kinds + 1)
-        self.arcs: dict[tuple, dict[bytes, float]] = {(): {g[0]: math.log10((c + add) / z) for g, c in grams[0].items()}}
-        self.unknown, self.fail = math.log10(add / z) if z else 0.0, {h: math.log10(prior / (c + prior)) for h, c in after.items()}
+    """States, arcs and failure arcs over the n-grams of some texts.
+
+    State 0 has no history; it has an arc for every word. counts: of each n-gram in training, by order; tokens and kinds: of
+    the training words in all.
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, kinds: int, add: float = ADD, prior: float = PRIOR):
+        g, order = grams, grams.order
+        weight = np.log10((counts[0] + add) / (tokens + add * (kinds + 1))) if tokens else np.zeros(g.kinds)
+        first = np.cumsum([1] + [len(c) for c in counts[: order - 1]])  # state of an n-gram that is a history: first[n - 1] + its number
+
+        def state(n: int, number: np.ndarray) -> np.ndarray:
+            """The state of n-grams, 0 for those that no training text goes on from."""
+            return np.where((counts[n - 1][number] > 0) & (g.word[n - 1][number] != _END), first[n - 1] + number, 0)
+
+        self.kinds, self.root_weight = g.kinds, weight.tolist()
+        self.root_next = (state(1, np.arange(g.kinds)) if order > 1 else np.zeros(g.kinds, np.int64)).tolist()
+        self.start = self.root_next[_START]
+        self.fail, self.fail_weight = np.zeros(int(first[order - 1]), np.int64), np.zeros(int(first[order - 1]))
+        self.arc: dict[int, int] = {}
+        weights, targets = [], []
         for n in range(1, order):
-            for g, c in grams[n].items():
-                h = g[:-1]
-                lower = 10 ** self.step(h[1:], g[-1])[1]
-                self.arcs.setdefault(h, {})[g[-1]] = math.log10((c + prior * lower) / (after[h] + prior))
-        self.order = order
-
-    def step(self, state: tuple, word: bytes) -> tuple[tuple, float]:
-        """The next state and the weight, over failure arcs where needed."""
-        weight = 0.0
-        while True:
-            w = self.arcs.get(state, {}).get(word)
-            if w is None and not state:
-                w = self.unknown
-            if w is not None:
-                return (*state, word), weight + w
-            weight += self.fail.get(state, 0.0)
-            state = state[1:]
-
-    def score(self, words: list[bytes]) -> float:
-        total, seen = 0.0, [None]
-        for w in [*words, b""]:
-            state = tuple(seen[len(seen) - self.order + 1 :]) if self.order > 1 else ()
-            total += self.step(state, w)[1]
-            seen = [*seen, w][-self.order :]
-        return total
-
-
-class PackTexts:
-    """The token hashes of a pack's texts in a fixed order, with distinct tokens and pairs."""
-
-    def __init__(self, rows: pa.Table, hashes: WordHashes):
-        texts = unbundled(rows.column("data").to_pylist())
-        self.ids, self.train = [None if i == NO_ID else i for i, _, _ in texts], np.array([f for _, _, f in texts], bool)
-        parts = [hashes.of(t.lower().split()) for _, t, _ in texts]
-        self.n = np.array([len(p) + 1 for p in parts], np.int64)
-        stop = np.cumsum(self.n)
-        tokens, before = np.empty(int(self.n.sum()), np.uint64), np.empty(int(self.n.sum()), np.uint64)
-        for p, e, n in zip(parts, stop.tolist(), self.n.tolist(), strict=True):
-            tokens[e - n : e - 1], tokens[e - 1] = p, _END
-            before[e - n], before[e - n + 1 : e] = _START, p
-        self.words, self.word = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair = np.unique(mix(before * _PAIR + tokens), return_inverse=True)
-        self.learnt = np.repeat(self.train, self.n)
-        self.first = stop - self.n
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.bincount(x[self.learnt], minlength=len(k)) for x, k in ((self.word, self.words), (self.pair, self.pairs)))
-
-
-def _small(values: np.ndarray) -> list[np.ndarray]:
-    """Counts as bytes, with a list of those that don't fit."""
-    large = np.flatnonzero(values > 254)
-    return [np.minimum(values, 255).astype(np.uint8), large.astype(np.uint32), values[large].astype(np.uint64)]
-
-
-def _full(a: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = a.astype(np.int64)
-    out[at] = values.astype(np.int64)
-    return out
-
-
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of sorted keys by bucket, and where each bucket ends in it."""
-    b = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    return np.argsort(b, kind="stable"), np.cumsum(np.bincount(b, minlength=buckets))
-
-
-def _low(keys: np.ndarray, size: int) -> np.ndarray:
-    """The low bytes of 64-bit keys; the bucket stands for higher ones."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :size].ravel()
-
-
-def _wide(low: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((len(low) // size, 8), np.uint8)
-    out[:, :size] = low.reshape(-1, size)
-    return out.view(np.uint64).ravel()
-
-
-_COUNTS = ("u1", "u4", "u8", "u1", "u4", "u8")
-
-
-def scores(docs: DataFrame, folds: int = 10, add: float = ADD, prior: float = PRIOR, pack_bytes: int = PACK_BYTES) -> DataFrame:
+            own = first[n - 1] + np.arange(len(counts[n - 1]))
+            self.fail_weight[own] = np.log10(prior / (counts[n - 1] + prior))
+            if n > 1:
+                self.fail[own] = state(n - 1, g.suffix[n - 1])
+            # the arcs of these states: n-grams one word longer
+            seen = np.flatnonzero(counts[n] > 0)
+            before, word, shorter = g.prefix[n][seen], g.word[n][seen], g.suffix[n][seen]
+            longer_weight = np.zeros(len(counts[n]))
+            longer_weight[seen] = np.log10((counts[n][seen] + prior * 10.0 ** weight[shorter]) / (counts[n - 1][before] + prior))
+            weight = longer_weight
+            self.arc.update(zip((state(n, before) * g.kinds + word).tolist(), range(len(weights), len(weights) + len(seen)), strict=True))
+            weights += weight[seen].tolist()
+            targets += (state(n + 1, seen) if n + 1 < order else state(n, shorter)).tolist()
+        self.fail, self.fail_weight, self.weight, self.target = self.fail.tolist(), self.fail_weight.tolist(), weights, targets
+
+    def walk(self, words: list[int]) -> list[float]:
+        """The log10 probability of each of the texts whose words, each text with its start and end, stand one after another."""
+        arc, weight, target, fail, fail_weight, root_weight, root_next, kinds = self.arc.get, self.weight, self.target, self.fail, self.fail_weight, self.root_weight, self.root_next, self.kinds
+        out, state, total = [], 0, 0.0
+        for w in words:
+            if w == _START:
+                state, total = self.start, 0.0
+                continue
+            while state:
+                if (a := arc(state * kinds + w)) is not None:
+                    total += weight[a]
+                    state = target[a]
+                    break
+                total += fail_weight[state]
+                state = fail[state]
+            else:
+                total += root_weight[w]
+                state = root_next[w]
+            if w == _END:
+                out.append(total)
+        return out
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def scores(docs: DataFrame, folds: int = 10, add: float = ADD, prior: float = PRIOR, order: int = ORDER, pack_bytes: int = PACK_BYTES, fan_in: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of fold 0 are not learnt from."""
     tune(docs.sparkSession)
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = max(1, -(-total // pack_bytes))
-    buckets = max(1, packs // 4)
-    in_pack = bundled(docs, packs, F.coalesce(crc_bucket("doc_id", folds) != 0, F.lit(True)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
-        p = PackTexts(rows, WordHashes())
-        words, pairs = p.counts()
-        wo, we = _dealt(p.words, buckets)
-        po, pe = _dealt(p.pairs, buckets)
-        out = []
-        for b in range(buckets):
-            w, q = wo[we[b - 1] if b else 0 : we[b]], po[pe[b - 1] if b else 0 : pe[b]]
-            if len(w) or len(q):
-                out.append((b, packed(_low(p.words[w], 6), _low(p.pairs[q], 5)) , squeezed(*_small(words[w]), *_small(pairs[q]))))
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "pack": pa.array([key[0].as_py()] * len(out), pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary()), "counts": pa.array([r[2] for r in out], pa.binary())})
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in groups(batches, "bucket"):
-            names, words, word_n, pairs, pair_n = [], [], [], [], []
-            for r in rows:
-                for name, k, d in zip(*(r.column(c).to_pylist() for c in ("pack", "keys", "counts")), strict=True):
-                    six, five = unpacked(k, "u1", "u1")
-                    a, i, v, a2, i2, v2 = unsqueezed(d, *_COUNTS)
-                    names.append(name)
-                    words.append(_wide(six, 6)), word_n.append(_full(a, i, v)), pairs.append(_wide(five, 5)), pair_n.append(_full(a2, i2, v2))
-            answers, tokens, kinds = [], 0, 0
-            for keys, counts in ((words, word_n), (pairs, pair_n)):
-                _, number = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.bincount(number, weights=np.concatenate(counts)).astype(np.int64)
-                if keys is words:
-                    tokens, kinds = int(sums.sum()), int((sums > 0).sum())
-                answers.append(np.split(sums[number], np.cumsum([len(k) for k in keys])[:-1]))
-            for i, name in enumerate(names):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.array([bucket], pa.int64()), pa.array([squeezed(*_small(answers[0][i]), *_small(answers[1][i]))], pa.binary()), pa.array([tokens if i == 0 else 0], pa.int64()), pa.array([kinds if i == 0 else 0], pa.int64())],
-                    names=["pack", "bucket", "data", "tokens", "kinds"],
-                )
-
-    sent = in_pack.groupBy("pack").applyInArrow(count, "bucket long, pack long, keys binary, counts binary")
-    replies = written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "pack long, bucket long, data binary, tokens long, kinds long"))
-    r = replies.agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds = int(r[0] or 0), int(r[1] or 0)
-    z = tokens + add * (kinds + 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.coalesce(crc_bucket("doc_id", folds) != 0, F.lit(True)).alias("learnt"))
+    packs = written(bundled(rows, pack_bytes))
+    n_packs, size = packs.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    limits = {"fan_in": fan_in} if fan_in else {}
+    of_longer = Exchange.of(n_packs, size // TOKEN_BYTES * (order - 1), **limits)
+    of_words = Exchange.of(n_packs, size // (2 * TOKEN_BYTES), of_longer.families, **limits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pack, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = unbundled(data.as_py())
+                yield from Grams(rows["text"].to_pylist(), np.asarray(rows["learnt"]), order).sent(of_words, of_longer, pack)
+
+    sent = packs.select("pack", "data").mapInArrow(count, "cell long, unit long, keys binary, counts binary")
+    told = written(totals(sent, of_longer, **limits))
+    kinds, tokens = stats_of(told, of_words.first, of_words.families)
 
     def walk(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        p = PackTexts(left, WordHashes())
-        by_bucket = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
-        c, c2 = np.zeros(len(p.words), np.int64), np.zeros(len(p.pairs), np.int64)
-        wo, we = _dealt(p.words, buckets)
-        po, pe = _dealt(p.pairs, buckets)
-        for b, d in by_bucket.items():
-            a, i, v, a2, i2, v2 = unsqueezed(d, *_COUNTS)
-            c[wo[we[b - 1] if b else 0 : we[b]]] = _full(a, i, v)
-            c2[po[pe[b - 1] if b else 0 : pe[b]]] = _full(a2, i2, v2)
-        root = np.log10((c + add) / z)
-        if not tokens:
-            root[:] = 0.0
-        seen = c[p.word]
-        history = np.empty(len(seen), np.int64)
-        history[1:] = seen[:-1]
-        history[p.first] = c[np.searchsorted(p.words, _END)]  # every text starts as often as it ends
-        weight = root[p.word]
-        arc = c2[p.pair] > 0
-        # no arc: the failure arc, then the arc of the shorter history
-        step = np.where(arc, np.log10((c2[p.pair] + prior * 10.0**weight) / (history + prior)), np.log10(prior / (history + prior)) + weight)
-        n = len(p.ids)
+        rows = unbundled(left["data"][0].as_py())
+        g = Grams(rows["text"].to_pylist(), np.asarray(rows["learnt"]), order)
+        counts = g.heard(of_words, of_longer, dict(zip(right["family"].to_pylist(), right["data"].to_pylist(), strict=True)))
+        machine = BackoffAutomaton(g, counts, tokens, kinds, add, prior)
+        seen, base = counts[0] > 0, np.array(machine.root_weight)
+        seen[_START], base[_START] = False, 0.0
         return pa.table(
             {
-                "doc_id": pa.array(p.ids, pa.int64()),
-                "held_out": pa.array(~p.train),
-                "n_tokens": pa.array(p.n),
-                "n_known": pa.array(np.add.reduceat(seen > 0, p.first, dtype=np.int64)),
-                "train_tokens": pa.array(np.full(n, tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(weight, p.first)),
-                "score": pa.array(np.add.reduceat(step, p.first)),
-            }
-        )
-
-    return in_pack.groupBy("pack").cogroup(replies.select("pack", "bucket", "data").groupBy("pack")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                "doc_id": rows["id"], "held_out": pa.array(~g.learnt), "n_tokens": g.n, "n_known": np.add.reduceat(seen[g.words], g.starts, dtype=np.int64), "train_tokens": np.full(len(g.n), tokens, np.int64),
+                "base_score": np.add.reduceat(base[g.words], g.starts), "score": np.array(machine.walk(g.words.tolist())),
+            },
+            schema=_SCORES,
+        )
+
+    answers = told.select(F.col("unit").alias("pack"), "family", "data")
+    return packs.select("pack", "data").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

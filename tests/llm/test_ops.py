@@ -13,7 +13,7 @@ import tiktoken
 from conftest_llm import CLASHING, SCHEMA, make
 from pyspark.sql import functions as F
 
-from leadspark.llm import bpe, components, decontaminate, language_model, licenses, minhash, quality_rules, resampling, suffix_dedup, toxicity, url_filter
+from leadspark.llm import bpe, components, decontaminate, exchange, language_model, licenses, minhash, quality_rules, resampling, suffix_dedup, toxicity, url_filter
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -343,29 +343,75 @@ def test_components(spark):
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("pack_bytes", [3_000_000, 2000])
-def test_language_model(spark, corpus, pack_bytes):
-    got = by_id(language_model.scores(make(spark, corpus), pack_bytes=pack_bytes))
+def plain_model(texts, order, add=0.1, prior=100.0):
+    """p(word | history) straight from the formula; texts: lists of words with the end."""
+    grams = collections.Counter(tuple(seq[i - n + 1 : i + 1]) for t in texts for seq in [[None, *t]] for i in range(1, len(seq)) for n in range(1, min(order, i + 1) + 1))
+    after = collections.Counter()
+    for g, c in grams.items():
+        after[g[:-1]] += c
+    n, v = after[()], sum(len(g) == 1 for g in grams)
+
+    def p(h, w):
+        if not h:
+            return (grams[(w,)] + add) / (n + add * (v + 1)) if n else 1.0
+        return (grams[(*h, w)] + prior * p(h[1:], w)) / (after[h] + prior)
+
+    return lambda t: sum(math.log10(p(tuple([None, *t][max(0, i - order + 2) : i + 1]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize(("order", "pack_bytes", "fan_in"), [(2, 3_000_000, None), (2, 2000, None), (2, 2000, 3), (1, 2000, 4), (3, 4000, None), (3, 900, 2)])
+def test_language_model(spark, corpus, order, pack_bytes, fan_in):
+    got = by_id(language_model.scores(make(spark, corpus), order=order, pack_bytes=pack_bytes, fan_in=fan_in))
     tokens = [[*low(t).encode().split(), b""] for t in corpus]
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(corpus))]
-    c = collections.Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    training = [t for t, h in zip(tokens, held, strict=True) if not h]
+    c = collections.Counter(w for t in training for w in t)
     n, v = sum(c.values()), len(c)
-    machine = language_model.BackoffAutomaton([t[:-1] for t, h in zip(tokens, held, strict=True) if not h])
+    score = plain_model(training, order)
     for i, (t, h) in enumerate(zip(tokens, held, strict=True)):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, machine.score(t[:-1]), rel_tol=1e-9)
+        assert math.isclose(r.score, score(t), rel_tol=1e-9), (i, r.score, score(t))
 
 
 def test_automaton_sums_to_one():
-    texts = [b"a b a c".split(), b"a b b".split(), b"c".split()]
+    texts = ["a b a c", "a b b", "c", "a b", "zz"]
     for order in (1, 2, 3):
-        m = language_model.BackoffAutomaton(texts, order)
-        for state in [(), (b"a",), (b"a", b"b"), (None,), (b"zz",)]:
-            state = state[len(state) - order + 1 :] if order > 1 else ()
-            total = sum(10 ** m.step(state, w)[1] for w in (b"a", b"b", b"c", b"")) + 10 ** m.step(state, b"unseen")[1]
-            assert math.isclose(total, 1.0, rel_tol=1e-9)
+        g = language_model.Grams(texts, np.array([True, True, True, False, False]), order)
+        m = language_model.BackoffAutomaton(g, [np.concatenate((c[1:2], c[1:])) if n == 0 else c for n, c in enumerate(g.counts)], int(g.counts[0][1:].sum()), int((g.counts[0][1:] > 0).sum()))
+        for state in {0, m.start, *m.target, *m.root_next}:
+            total = 0.0
+            for w in range(1, m.kinds):
+                s, weight = state, 0.0
+                while s and (a := m.arc.get(s * m.kinds + w)) is None:
+                    weight, s = weight + m.fail_weight[s], m.fail[s]
+                total += 10 ** (weight + (m.weight[a] if s else m.root_weight[w]))
+            assert math.isclose(total, 1.0, rel_tol=1e-9)  # zz stands for all words unseen
+
+
+@pytest.mark.parametrize("fan_in", [100, 3, 2])
+def test_exchange(spark, fan_in):
+    """Totals of keys against plain sums; a key that every pack has, and packs met over several levels."""
+    rng = np.random.default_rng(3)
+    packs = {int(i * 7 + (i % 3 << 32)): {int(k): int(v) for k, v in zip(rng.integers(0, 60, 25).astype(np.uint64) * np.uint64(1 << 57 | 12345), rng.integers(0, 400, 25), strict=True)} | {5: 1} for i in range(23)}
+    level = exchange.Exchange.of(len(packs), 600, most=50, fan_in=fan_in)
+    assert (level.cells == 1) == (fan_in > 23)
+
+    def arrays(d):
+        keys = np.array(sorted(d), np.uint64)
+        return keys, keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7), np.array([d[int(k)] for k in keys])
+
+    rows = [(r["cell"], r["unit"], r["keys"], r["counts"]) for u, d in packs.items() for b in level.messages(u, *arrays(d)) for r in b.to_pylist()]
+    told = exchange.totals(spark.createDataFrame(rows, "cell long, unit long, keys binary, counts binary"), level, fan_in=fan_in).collect()
+    whole = collections.Counter()
+    for d in packs.values():
+        whole.update(d)
+    for u, d in packs.items():
+        keys, deal, _ = arrays(d)
+        assert level.totals_of(keys, deal, {r.family: bytes(r.data) for r in told if r.unit == u}).tolist() == [whole[int(k)] for k in keys]
+    assert (sum(r.kinds for r in told), sum(r.total for r in told)) == (sum(v > 0 for v in whole.values()), sum(whole.values()))
+    assert max(collections.Counter(r.unit for r in told).values()) <= level.families
 
 
 # --- 8 -----------------------------------------------------------------------------------------------------------------
