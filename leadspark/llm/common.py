@@ -129,6 +129,10 @@ def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, li
         yield now, held
 
 
+#: Stands for a null id among 64-bit ids; it comes before all others.
+NO_ID = -(1 << 63)
+
+
 def bundled(docs: DataFrame, most: int, also: Callable[[pa.Table], pa.Array] | None = None, kind: str = "") -> DataFrame:
     """(pack, n_bytes, data[, also]): the rows with a column ``text``, run by run, as compressed tables with about ``most`` bytes of text each.
 

@@ -10,39 +10,46 @@ share, so no comparison reads further than v bytes plus one rank, and memory is
 ranks. Neighbours in the order are one class if their first ``length`` bytes agree.
 
 *Blocks over a cluster.* A string of ``length`` bytes has a least k-gram hash (its anchor) at the same offset in each
-occurrence, so equal strings meet if pieces go where their anchor's hash says. The steps:
-
-1. texts with equal bytes: only the least document's is looked at, the others are repeats as a whole;
-2. documents are dealt into small packs by a hash of the id; each pack sends the hashes of its anchors, and gets back
-   those that another place of the corpus has too;
-3. a pack sorts its own candidate suffixes first, so that of each class only its earliest start goes on, however
-   common the passage is (a pre-aggregation), and sends the runs of these with their bytes, by anchor;
-4. the receiving blocks sort what has come, and tell the pack of each start that is not the earliest of its class;
+occurrence, so equal strings meet if pieces go where their anchor says. The steps:
+
+1. documents are bundled into packs of a few MB; of texts with equal bytes only the least document's is looked at, the
+   others are repeats as a whole;
+2. each pack sends how many runs of starts each of its anchors has through an ``Exchange``, and gets the corpus' totals,
+   so it knows which anchors other packs have too, and which are oversized;
+3. a pack sorts its own suffixes first, so that of each class only its earliest start goes on, however common the
+   passage is, and sends the runs of these with their bytes, by anchor; starts of an oversized anchor go one by one, by a
+   hash of their whole string, so that different strings part;
+4. the receiving blocks sort what has come, and mark each start that is not the earliest of its class. With more than
+   ``MOST_RUNS`` packs a string that all have meets in shares of the packs first, and then the shares' firsts;
 5. packs put their own repeats and those they are told together.
 
 Starts are laid into a block so that anchors stand at multiples of v: then suffixes that may be equal share a residue,
 and one shift serves a whole bucket of ties.
 
 Defined cases: a null or empty text has no bytes and keeps none; texts shorter than ``length`` are kept unless removed by
-nothing; rows of an equal doc_id are one document, whose row order is that of the texts (rows of an equal id and an equal
-text do not remove each other); a null id comes before all ids; other columns are left out.
+nothing; rows of an equal doc_id are one document whose rows all begin at place 0 (so a string at an equal place of two of
+them is removed from neither, else from the later place); a null id comes before all ids; other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mix, packed, spread, tune, unpacked, written
+from .common import NO_ID, bundled, mix, tune, unbundled, written
+from .exchange import FAN_IN, Exchange, totals
 
 #: Bytes of a repeated string, of an anchor, and of a pack's texts, about.
 LENGTH, GRAM, PACK_BYTES = 100, 24, 3_000_000
+#: Bytes of text for each different anchor, at least, to foresee their number; runs of one anchor, or pieces of one string, that meet in a task.
+ANCHOR_BYTES, MOST_RUNS = 32, 16_384
 #: A difference cover modulo 32 (every difference modulo 32 is one of two members).
 COVER_MODULUS, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
 #: Suffixes that are sorted at a time, unless one bucket has more.
@@ -286,34 +293,66 @@ def runs_of(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[begin], at[last] + 1, group[begin]
 
 
+def string_keys(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the strings of ``length`` bytes at the given places; data must be padded by 8 bytes."""
+    out = np.full(len(at), length, np.uint64)
+    for o in [*range(0, length - 8, 8), length - 8]:
+        out = mix(out * _K + words_at(data, at, o))
+    return out
+
+
 class Pack:
-    """The texts of a pack in the order of (id, text); equal rows stand once in ``texts``."""
+    """The texts of a pack in the order of (id, text)."""
 
-    def __init__(self, rows: pa.Table | pa.RecordBatch, length: int):
-        keys = rows.column("id").to_pylist()
-        texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
+    def __init__(self, rows: pa.Table, length: int):
+        keys, texts = rows["id"].to_pylist(), rows["text"].to_pylist()
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, texts[i]))
         self.ids, self.texts = [keys[i] for i in order], [texts[i] for i in order]
-        self.owner = np.array([-(1 << 63) if k is None else k for k in self.ids], np.int64)
+        self.owner = np.array([NO_ID if k is None else k for k in self.ids], np.int64)
         self.offset = np.concatenate(([0], np.cumsum([len(t) for t in self.texts], dtype=np.int64)))
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.order, self.length = order, length
 
-    def searched(self, copies: set[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Valid starts of the texts that are looked at, and the rows that repeat an earlier text as a whole."""
-        valid, repeats, seen = np.zeros(len(self.data), bool), [], {}
+    def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, anchor's place, anchor, row) of all runs of starts that share an anchor."""
+        valid = np.zeros(len(self.data), bool)
         for i, t in enumerate(self.texts):
-            if len(t) < self.length:
-                continue
-            before = seen.setdefault(t, i)
-            if self.owner[before] != self.owner[i]:
-                repeats.append(i)
-                continue
-            if copies and hashlib.md5(t).digest() in copies:
-                repeats.append(i)
-                continue
-            valid[self.offset[i] : self.offset[i + 1] - self.length + 1] = True
-        return valid, repeats
+            if len(t) >= self.length:
+                valid[self.offset[i] : self.offset[i + 1] - self.length + 1] = True
+        start, stop, place, anchor = anchor_runs(self.data, valid, self.length, gram)
+        return start, stop, place, anchor, np.searchsorted(self.offset, start, "right") - 1
+
+    def copies(self, known: set[bytes]) -> list[int]:
+        """The rows that repeat an earlier text as a whole, of this pack or, by their digests, of others."""
+        out, first = [], {}
+        for i, t in enumerate(self.texts):
+            if len(t) >= self.length and (self.owner[first.setdefault(t, i)] != self.owner[i] or (known and hashlib.md5(t).digest() in known)):
+                out.append(i)
+        return out
+
+
+#: A row is a piece (kind 0), the bytes of n starts with one key, or a mark (kind 1), n starts of a pack's row that are not the first of their strings.
+_ROWS = "kind int, key long, share int, pack long, row int, owner long, start int, n int, before int, data binary"
+_ROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("share", pa.int32()), ("pack", pa.int64()), ("row", pa.int32()), ("owner", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("before", pa.int32()), ("data", pa.binary())])
+
+
+def _rows(count: int, **columns: np.ndarray | pa.Array | int) -> pa.RecordBatch:
+    """Rows; a number stands for a column of it, what isn't given is null."""
+
+    def column(f: pa.Field) -> pa.Array:
+        v = columns.get(f.name)
+        return pa.nulls(count, f.type) if v is None else v if isinstance(v, pa.Array) else pa.array(np.full(count, v) if np.isscalar(v) else v).cast(f.type)
+
+    return pa.RecordBatch.from_arrays([column(f) for f in _ROW], schema=_ROW)
+
+
+def _marks(pack: np.ndarray | int, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return _rows(len(row), kind=1, key=mix(np.full(len(row), pack).astype(np.uint64)).view(np.int64), share=-1, pack=pack, row=row, start=start, n=n)
+
+
+def _binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _nullable(column: pa.ChunkedArray) -> pa.ChunkedArray:
@@ -327,12 +366,68 @@ def _nullable(column: pa.ChunkedArray) -> pa.ChunkedArray:
     return column.cast(of(column.type))
 
 
-def _table(columns: dict) -> pa.Table:
-    kinds = {"id": pa.int64(), "bucket": pa.int64(), "pack": pa.int64(), "data": pa.binary(), "kind": pa.int32()}
-    return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
+def _digests(length: int) -> Callable[[pa.Table], pa.Array]:
+    """Of a pack: the digest of each different text that is long enough, with its least id."""
+
+    def run(rows: pa.Table) -> pa.Array:
+        least: dict[bytes, int] = {}
+        for k, t in zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True):
+            if len(t) >= length:
+                d, k = hashlib.md5(t).digest(), NO_ID if k is None else k
+                least[d] = min(k, least.get(d, k))
+        return pa.array([[{"digest": d, "id": k} for d, k in least.items()]], pa.list_(pa.struct([("digest", pa.binary()), ("id", pa.int64())])))
+
+    return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes: int = PACK_BYTES, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def _compared(pieces: DataFrame, length: int) -> DataFrame:
+    """Marks of the starts that are not the first of their strings among the pieces of one key and share; other marks pass.
+
+    Where a key's pieces are in several shares (share is not -1), a piece that is first in its share comes again, with none.
+    """
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        of = {c: rows[c].to_numpy() for c in ("key", "share", "pack", "row", "owner", "start", "n", "before")}
+        rows = rows.combine_chunks()
+        column = rows["data"].chunk(0) if rows["data"].num_chunks else pa.array([], pa.binary())
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.nbytes else np.zeros(0, np.uint8)
+        begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column)].astype(np.int64)
+        number = np.cumsum(np.concatenate(([True], (of["key"][1:] != of["key"][:-1]) | (of["share"][1:] != of["share"][:-1])))) - 1
+        piece, at, n = late_runs(data, begin, of["n"].astype(np.int64), of["before"], number, of["owner"], of["start"].astype(np.int64), length)
+        if len(piece):
+            yield _marks(of["pack"][piece], of["row"][piece], of["start"][piece] + at, n)
+        again = of["share"] >= 0
+        again[piece] = False
+        if again.any():
+            survivors = rows.filter(pa.array(again))
+            yield from survivors.set_column(2, _ROW.field("share"), pa.array(np.full(len(survivors), -1, np.int32))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, starts = [], 0
+        for b in batches:
+            b = pa.RecordBatch.from_arrays(b.columns, schema=_ROW)
+            is_mark = pc.equal(b.column("kind"), 1)
+            yield b.filter(is_mark)
+            b = b.filter(pc.invert(is_mark))
+            held.append(b)
+            starts += int(pc.sum(b.column("n")).as_py() or 0)
+            if starts > BUCKET:  # all but the last key's pieces, which may go on
+                t = pa.Table.from_batches(held)
+                key, share = t["key"].to_numpy(), t["share"].to_numpy()
+                new = np.flatnonzero((key[1:] != key[:-1]) | (share[1:] != share[:-1]))
+                if len(new):
+                    cut = int(new[-1]) + 1
+                    yield from told(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+                    starts = int(pc.sum(t["n"].slice(cut)).as_py())
+        if any(b.num_rows for b in held):
+            yield from told(pa.Table.from_batches(held))
+
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return pieces.repartition(parts, "key", "share").sortWithinPartitions("key", "share").mapInArrow(run, _ROWS)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes: int = PACK_BYTES, with_text: bool = False, carry: list[str] | None = None, most_runs: int = MOST_RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text, edges][, row]) of each text.
 
     kept_text: the remaining bytes, less those left of a cut code point; edges: where removed ranges begin and end; row: a struct of columns to carry along.
@@ -340,164 +435,74 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
     tune(docs.sparkSession)
     carried = [F.struct(*carry).alias("row")] if carry else []
     kind_of_row = f", row {docs.select(*carried).schema[0].dataType.simpleString()}" if carry else ""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = max(1, -(-total // pack_bytes))
-    buckets = max(1, -(-packs // 4))
-    in_pack = texts.withColumn("pack", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(packs)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carried)
+    packs = written(bundled(texts, pack_bytes, _digests(length), "array<struct<digest:binary,id:long>>"))
+    n_packs, size = packs.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    level = Exchange.of(n_packs, size // ANCHOR_BYTES, fan_in=fan_in)
+    shares = -(-n_packs // most_runs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct anchors of the partition's part of each pack, with the pack, by bucket."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def told() -> Iterator[pa.RecordBatch]:
-            h, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            if not len(h):
-                return
-            order = np.lexsort((p, h))
-            h, p = h[order], p[order]
-            once = np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])))
-            h, p = h[once], p[once]
-            b = h % np.uint64(buckets)
-            order = np.argsort(b, kind="stable")
-            cuts = np.flatnonzero(np.concatenate(([True], b[order][1:] != b[order][:-1], [True])))
-            rows = [(int(b[order[i]]), packed(h[order[i:j]], p[order[i:j]])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            for i in range(0, len(rows), 256):
-                yield from _table({"bucket": [r[0] for r in rows[i : i + 256]], "data": [r[1] for r in rows[i : i + 256]]}).to_batches()
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                rows = [(t.encode(), p) for t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t and len(t) * 4 >= length]
-                if not rows:
-                    continue
-                offset = np.concatenate(([0], np.cumsum([len(t) for t, _ in rows], dtype=np.int64)))
-                data = np.frombuffer(b"".join(t for t, _ in rows), np.uint8)
-                valid = np.zeros(len(data), bool)
-                for i, (t, _) in enumerate(rows):
-                    if len(t) >= length:
-                        valid[offset[i] : offset[i + 1] - length + 1] = True
-                start, _, _, h = anchor_runs(data, valid, length, gram)
-                held.append((h, np.array([p for _, p in rows], np.int32)[np.searchsorted(offset, start, "right") - 1]))
-                size += len(h)
-            if size > 2_000_000:
-                yield from told()
-                held, size = [], 0
-        if held:
-            yield from told()
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tells each pack its anchors that other packs have too. A partition's rows come bucket by bucket."""
-        for _, rows in groups(batches, "bucket"):
-            got = [unpacked(d, "u8", "i4") for r in rows for d in r.column("data").to_pylist()]
-            h, p = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((p, h))
-            h, p = h[order], p[order]
-            once = np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])))
-            h, p = h[once], p[once]
-            new = np.concatenate(([True], h[1:] != h[:-1]))
-            several = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1] > 1
-            h, p = h[several], p[several]
-            order = np.argsort(p, kind="stable")
-            h, p = h[order], p[order]
-            cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from _table({"pack": [int(p[i])], "kind": [0], "data": [h[i:j].tobytes()]}).to_batches()
-
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sent = spread(in_pack.filter("text is not null").select("text", "pack")).mapInArrow(anchors, "bucket long, data binary")
-    replies = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "pack long, kind int, data binary")
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys, n = np.unique(Pack(unbundled(data.as_py()), length).runs(gram)[3], return_counts=True)
+                yield from level.messages(name, keys, mix(keys), n)
+
+    sent = packs.select("pack", "data").mapInArrow(anchors, "cell long, unit long, keys binary, counts binary")
+    told = totals(sent, level, fan_in).select(F.col("unit").alias("pack"), "family", F.col("data").alias("told"))
     # of equal texts, packs learn which are not the corpus' first
-    same = in_pack.filter(F.octet_length("text") >= length).select("id", "pack", F.unhex(F.md5("text")).alias("digest")).groupBy("digest", "pack").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("id"))
-    same = written(same)
+    same = packs.select("pack", F.explode("also").alias("t")).select("pack", "t.digest", "t.id")
     least = same.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
-    copies = same.join(least, "digest").filter("id > least").select("pack", F.lit(1).alias("kind"), F.col("digest").alias("data"))
-    replies = replies.union(copies)
+    told = told.union(same.join(least, "digest").filter("id > least").select("pack", F.lit(-1).cast("long"), F.col("digest")))
 
     def first_look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """A pack's own repeats, and the pieces that other packs may have too."""
-        out: dict = {"bucket": [], "pack": [], "kind": [], "data": []}
-        if not left.num_rows:
-            return _table(out)
-        name, pack = key[0].as_py(), Pack(left, length)
-        kinds, data = right.column("kind").to_pylist(), right.column("data").to_pylist()
-        outside = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d, np.uint64) for k, d in zip(kinds, data, strict=True) if k == 0)]))
-        valid, whole = pack.searched({d for k, d in zip(kinds, data, strict=True) if k == 1})
+        name, pack = key[0].as_py(), Pack(unbundled(left["data"][0].as_py()), length)
+        family, data = right["family"].to_pylist(), right["told"].to_pylist()
+        out = []
+        whole = pack.copies({d for f, d in zip(family, data, strict=True) if f < 0})
         if whole:
-            out["bucket"].append(-1 - name), out["pack"].append(name), out["kind"].append(1)
-            out["data"].append(packed(np.array(whole, np.int32), np.zeros(len(whole), np.int32), np.array([len(pack.texts[i]) - length + 1 for i in whole], np.int32)))
-        start, stop, place, h = anchor_runs(pack.data, valid, length, gram)
-        if not len(start):
-            return _table(out)
-        row = np.searchsorted(pack.offset, start, "right") - 1
-        _, number = np.unique(h, return_inverse=True)
-        open_start = np.ones(len(pack.data), bool)
-        piece, offset, n = late_runs(pack.data, start, stop - start, place - start, number, pack.owner[row], start - pack.offset[row], length)
+            out.append(_marks(name, np.array(whole), np.zeros(len(whole), np.int64), np.array([len(pack.texts[i]) - length + 1 for i in whole])))
+        start, stop, place, anchor, row = pack.runs(gram)
+        keys, number, n = np.unique(anchor, return_inverse=True, return_counts=True)
+        runs = level.totals_of(keys, mix(keys), {f: d for f, d in zip(family, data, strict=True) if f >= 0})
+        looked = ~np.isin(row, whole)
+        start, stop, place, row, number = (x[looked] for x in (start, stop, place, row, number))
+        is_open = np.ones(len(pack.data), bool)
+        piece, offset, k = late_runs(pack.data, start, stop - start, place - start, number, pack.owner[row], start - pack.offset[row], length)
         if len(piece):
-            at, _ = ranges(start[piece] + offset, start[piece] + offset + n)
-            open_start[at] = False
-            out["bucket"].append(-1 - name), out["pack"].append(name), out["kind"].append(1)
-            out["data"].append(packed(row[piece].astype(np.int32), (start[piece] + offset - pack.offset[row[piece]]).astype(np.int32), n.astype(np.int32)))
-        away = np.flatnonzero(np.isin(h, outside))
-        if len(away):
-            at, which = ranges(start[away], stop[away])
-            fine = open_start[at]
-            a, e, w = runs_of(at[fine], which[fine])
-            w = away[w]
-            b = (h[w] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            cuts = np.flatnonzero(np.concatenate(([True], b[order][1:] != b[order][:-1], [True]))) if len(b) else []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                o = order[i:j]
-                z = e[o] - a[o] + length - 1
-                src, _ = ranges(a[o], a[o] + z)
-                r = row[w[o]]
-                out["bucket"].append(int(b[o[0]])), out["pack"].append(name), out["kind"].append(0)
-                out["data"].append(packed(h[w[o]], r.astype(np.int32), pack.owner[r], (a[o] - pack.offset[r]).astype(np.int32), (e[o] - a[o]).astype(np.int32), (place[w[o]] - a[o]).astype(np.int32), pack.data[src]))
-        return _table(out)
-
-    pieces = in_pack.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(first_look, "bucket long, pack long, kind int, data binary")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorts the pieces of a bucket from all packs; tells packs their starts that are not the first of a class."""
-        for bucket, rows in groups(batches, "bucket"):
-            if bucket < 0:  # a pack's own repeats pass through
-                for r in rows:
-                    yield from pa.table({"pack": r.column("pack"), "data": r.column("data")}).to_batches()
-                continue
-            packs_of, got = [], []
-            for r in rows:
-                for p, d in zip(r.column("pack").to_pylist(), r.column("data").to_pylist(), strict=True):
-                    got.append(unpacked(d, "u8", "i4", "i8", "i4", "i4", "i4", "u1"))
-                    packs_of.append(p)
-            h, row, owner, place, n, before, data = (np.concatenate(x) for x in zip(*got, strict=True))
-            pack = np.repeat(np.array(packs_of, np.int64), [len(g[0]) for g in got])
-            del got
-            size = n.astype(np.int64) + length - 1
-            begin = np.cumsum(size) - size
-            _, number = np.unique(h, return_inverse=True)
-            o, a, k = late_runs(data, begin, n.astype(np.int64), before, number, owner, place.astype(np.int64), length)
-            a = a + place[o]
-            by = np.argsort(pack[o], kind="stable")
-            o, a, k = o[by], a[by], k[by]
-            cuts = np.flatnonzero(np.concatenate(([True], pack[o][1:] != pack[o][:-1], [True]))) if len(o) else []
-            out: dict = {"pack": [], "data": []}
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                out["pack"].append(int(pack[o[i]]))
-                out["data"].append(packed(row[o[i:j]], a[i:j].astype(np.int32), k[i:j].astype(np.int32)))
-            yield from _table(out).to_batches()
-
-    marks = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "pack long, data binary")
+            at, _ = ranges(start[piece] + offset, start[piece] + offset + k)
+            is_open[at] = False
+            out.append(_marks(name, row[piece], start[piece] + offset - pack.offset[row[piece]], k))
+        away = np.flatnonzero((runs > n)[number])
+        at, which = ranges(start[away], stop[away])
+        fine = is_open[at]
+        a, e, w = runs_of(at[fine], which[fine])
+        w = away[w]
+        hot = runs[number[w]] > most_runs
+        single, of_hot = ranges(a[hot], e[hot])
+        padded = np.concatenate((pack.data, np.zeros(8, np.uint8)))
+        for from_, n_starts, run, hashes, share in ((a[~hot], (e - a)[~hot], w[~hot], keys[number[w[~hot]]], -1), (single, np.ones(len(single), np.int64), w[hot][of_hot], string_keys(padded, single, length), -1 if shares <= 1 else int(mix(np.array([name], np.uint64))[0] % np.uint64(shares)))):
+            if len(from_):
+                r, bytes_of = row[run], n_starts + length - 1
+                source, _ = ranges(from_, from_ + bytes_of)
+                out.append(_rows(len(r), kind=0, key=hashes.view(np.int64), share=share, pack=name, row=r, owner=pack.owner[r], start=from_ - pack.offset[r], n=n_starts, before=place[run] - from_, data=_binaries(pack.data[source], bytes_of)))
+        return pa.Table.from_batches(out, schema=_ROW)
+
+    pieces = packs.select("pack", "data").groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(first_look, _ROWS)
+    marks = _compared(pieces, length)
+    if shares > 1:  # the first ones of shares meet
+        marks = written(marks)
+        marks = marks.filter("kind = 1").union(_compared(marks.filter("kind = 0"), length))
+    marks = marks.select("pack", "row", "start", "n")
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        pack = Pack(left, length)
+        table = unbundled(left["data"][0].as_py())
+        pack = Pack(table, length)
         change = np.zeros(len(pack.data) + 1, np.int32)
-        for d in right.column("data").to_pylist():
-            row, start, n = unpacked(d, "i4", "i4", "i4")
-            at = pack.offset[row] + start
-            np.add.at(change, at, 1)
-            np.add.at(change, at + n + length - 1, -1)
+        row, start, n = (right[c].to_numpy() for c in ("row", "start", "n"))
+        at = pack.offset[row] + start
+        np.add.at(change, at, 1)
+        np.add.at(change, at + n + length - 1, -1)
         gone = np.cumsum(change)[:-1] > 0
         rows = []
         for i, t in enumerate(pack.texts):
@@ -508,13 +513,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
             rows.append((pack.ids[i], len(t), removed, len(edge) // 2, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, edge.tolist() if with_text else None))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "edges"][: 7 if with_text else 5]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        out = pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=False)})
-        return out.append_column("row", _nullable(left.column("row").take(pa.array(pack.order)))) if carry else out
+        out = pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), kinds, strict=False)})
+        return out.append_column("row", _nullable(table["row"].take(pa.array(pack.order)))) if carry else out
 
-    whole_rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *carried).withColumn("pack", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(packs))) if carry else in_pack
     extra = ", kept_text string, edges array<long>" if with_text else ""
-    return whole_rows.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra + kind_of_row)
+    return packs.select("pack", "data").groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra + kind_of_row)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -212,9 +212,9 @@ def removed(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("pack_bytes", [3_000_000, 3000])
-def test_suffix_dedup(spark, corpus, pack_bytes):
-    got = by_id(suffix_dedup.repeats(make(spark, corpus), pack_bytes=pack_bytes))
+@pytest.mark.parametrize(("pack_bytes", "most_runs", "fan_in"), [(3_000_000, 16_384, 100), (3000, 16_384, 100), (3000, 2, 3), (1000, 1, 100)])
+def test_suffix_dedup(spark, corpus, pack_bytes, most_runs, fan_in):
+    got = by_id(suffix_dedup.repeats(make(spark, corpus), pack_bytes=pack_bytes, most_runs=most_runs, fan_in=fan_in))
     assert {i: tuple(r)[1:] for i, r in got.items()} == removed(corpus)
     assert sum(r.n_removed for r in got.values()) > 3000
 
