@@ -1,6 +1,6 @@
 """Toxicity scores: a lexicon trie met with Levenshtein automata, and context windows around what they find.
 
-``learn`` takes a bounded sample of labelled rows (``FIT_ROWS``, by hash of the id) and draws from it
+``learn`` takes a bounded sample of labelled rows (``FIT_ROWS``, by hash of the id) and draws from it, with no further bound,
 
 * a lexicon of words and of stems that toxic texts hold in many different surroundings and clean ones hardly ever do
   (counting surroundings, not texts, keeps the words of one much-copied text out);
@@ -40,8 +40,6 @@ from .common import crc_bucket, spread, tune, written
 
 #: Labelled rows that learning may take.
 FIT_ROWS = 8000
-#: Features that are looked up in clean texts, terms of the lexicon, and let-pass variants, at most.
-MOST_FEATURES, MOST_TERMS, MOST_VARIANTS = 20_000, 400, 20_000
 #: Surroundings and toxic texts that a term needs, and the largest probability that its texts are toxic by chance.
 LEAST_SUPPORT, MOST_CHANCE = 5, 1e-6
 #: Letters of a stem.
@@ -237,26 +235,20 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
     if not n_toxic or not n_clean:
         return Model(constant=min(0.49, n_toxic / (n_toxic + n_clean)) if n_toxic + n_clean else 0.0)
     least = max(LEAST_SUPPORT, round(0.005 * n_toxic))
-    several = {r.f: r.n for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MOST_FEATURES).collect()}
-    held = spark.sparkContext.broadcast(frozenset(several))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among, counts = held.value, Counter()
+        counts = Counter()
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                present = {f for w in set(words_of(t)) if len(w) > 2 for f in _feature_names(w) if f in among}
-                counts.update((f, int(y == 1)) for f in present)
+                counts.update((f, int(y == 1)) for f in {f for w in set(words_of(t)) if len(w) > 2 for f in _feature_names(w)})
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["f", "y", "n"])
 
-    in_texts: dict[str, list[int]] = {}
-    for r in rows.mapInArrow(presence, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).collect():  # at most two rows a feature
-        in_texts.setdefault(r.f, [0, 0])[r.y] += r.n
-    ranked = []
-    for f, (neg, pos) in in_texts.items():
-        odds = math.log((pos + 0.5) / (n_toxic + 1)) - math.log((neg + 0.5) / (n_clean + 1))
-        if odds >= 2.5 and neg * 10 <= pos and pos >= least and by_chance(pos, pos + neg, n_toxic / (n_toxic + n_clean)) < MOST_CHANCE:
-            ranked.append((-pos, f.endswith("*"), -len(f), f))
+    texts_with = rows.mapInArrow(presence, "f string, y int, n long").groupBy("f").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("pos"), F.sum(F.expr("if(y = 1, 0, n)")).alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / (n_toxic + 1)) - F.log((F.col("neg") + 0.5) / (n_clean + 1))
+    features_ = texts_with.filter((F.col("pos") >= least) & (F.col("neg") * 10 <= F.col("pos")) & (odds >= 2.5)).join(counted.filter(F.col("n") >= least), "f", "left_semi")
+    # features of toxic texts only: as many as the fit_rows texts of the sample bear out
+    ranked = [(-r.pos, r.f.endswith("*"), -len(r.f), r.f) for r in features_.collect() if by_chance(r.pos, r.pos + r.neg, n_toxic / (n_toxic + n_clean)) < MOST_CHANCE]
     chosen = lexicon([f for *_, f in sorted(ranked)])
     model = Model(terms=sorted(chosen))
     held_terms = model.terms
@@ -268,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: F.Column | None = None, fit_
             yield pa.RecordBatch.from_arrays([pa.array([sorted({h[0] for h in found if h[2]}) for found in hits], pa.list_(pa.string()))], names=["variants"])
 
     # variants come from one half of the sample and the weights from the other, so that variants yet unseen get a fair weight
-    clean = rows.filter("half = 0").mapInArrow(variants, "variants array<string>").select(F.explode("variants").alias("v")).groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(MOST_VARIANTS)
+    clean = rows.filter("half = 0").mapInArrow(variants, "variants array<string>").select(F.explode("variants").alias("v")).distinct()
     model.clean = frozenset(r.v for r in clean.collect())
     passing = model.clean
 
@@ -288,11 +280,15 @@ def lexicon(ranked: list[str]) -> list[tuple[str, bool]]:
     """(term, is it a stem) from features, the widest first: what a chosen stem covers, or what adds nothing to chosen terms, is no
     term of its own; of the words that chosen stems cover, those that allow edits stand beside them."""
     terms: list[tuple[str, bool]] = []
+    stems: set[str] = set()
+    begun: set[str] = set()  # all that a chosen term begins with, itself included
     for f in ranked:
         t, stem = f.rstrip("*"), f.endswith("*")
-        if len(terms) < MOST_TERMS and not any((s and t.startswith(u)) or (stem and u.startswith(t)) for u, s in terms):
+        if not any(t[:n] in stems for n in range(1, len(t) + 1)) and not (stem and t in begun):
             terms.append((t, stem))
-    stems = {t for t, stem in terms if stem}
+            begun.update(t[:n] for n in range(1, len(t) + 1))
+            if stem:
+                stems.add(t)
     return terms + [(f, False) for f in ranked if not f.endswith("*") and edits_allowed(f, False) and any(f[:n] in stems for n in STEM)]
 
 
