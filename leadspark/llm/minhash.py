@@ -14,8 +14,9 @@
 With 27 bands of 7 slots a pair at similarity 0.85 shares no band with a probability of 3e-5, at 0.95 of 1e-13.
 
 Defined cases: null and empty texts, and those of white space only, have no shingles and are linked with nothing; fewer
-words than a shingle make one shingle; rows of an equal id count as one document; a null id is linked with nothing but
-keeps its row, with a null component; other columns are left out.
+words than a shingle make one shingle; rows of an equal id are texts of one document, which is linked with all that any of
+them is (each row tells the size of its own set); a null id is linked with nothing but keeps its row: it takes no part in
+classes, and its component is null or, for a text that others have too, theirs; other columns are left out.
 """
 
 from __future__ import annotations
@@ -133,6 +134,9 @@ def group_links(ids: list[int], sets: list[np.ndarray], keys: list[list[int]], l
     order = sorted(range(len(ids)), key=ids.__getitem__)
     ids, sets, keys = [ids[i] for i in order], [sets[i] for i in order], [keys[i] for i in order]
     u, buckets, done = Union(len(ids)), {}, set()
+    for i in range(1, len(ids)):
+        if ids[i] == ids[i - 1]:  # several texts of one document
+            u.join(i - 1, i)
     for i, ks in enumerate(keys):
         for k in ks:
             buckets.setdefault(k, []).append(i)
@@ -142,7 +146,7 @@ def group_links(ids: list[int], sets: list[np.ndarray], keys: list[list[int]], l
         done.add(members)
         for i, first in zip(members, linked([sets[i] for i in members], least), strict=True):
             u.join(i, members[first])
-    return [(ids[i], ids[r]) for i in range(len(ids)) if (r := u.find(i)) != i]
+    return sorted({(ids[i], ids[r]) for i in range(len(ids)) if ids[r := u.find(i)] != ids[i]})
 
 
 def _blocks(count: Column, weight: Column, rows: int, shingles: int) -> Column:
@@ -229,11 +233,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        held: dict[int, tuple[np.ndarray, list[int]]] = {}
+        held: dict[tuple[int, bytes], tuple[np.ndarray, set[int]]] = {}
         now = None
 
         def told() -> pa.RecordBatch:
-            found = group_links(list(held), [s for s, _ in held.values()], [k for _, k in held.values()], least)
+            found = group_links([n for n, _ in held], [s for s, _ in held.values()], [sorted(k) for _, k in held.values()], least)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -245,8 +249,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
                     now, held = g, {}
                 node = node.as_py()
                 s = shingles(hashes.of(space_words(text.as_py())), size)
-                if node not in held or len(s) > len(held[node][0]):
-                    held[node] = (s, keys.as_py())
+                if len(s):
+                    held.setdefault((node, s.tobytes()), (s, set()))[1].update(keys.as_py())
         if held:
             yield told()
 
@@ -259,11 +263,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
     label = links_in(groups.join(sized.filter(whole), "component").select("node", F.xxhash64("component").alias("group"))).select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = groups.join(sized.filter(~whole).select("component"), "component").select("node")
     if large.limit(1).count():
-        label = label.union(_large_groups(written(members.join(large, "node", "left_semi")), given, links_in, size, least, group_rows // 4, group_shingles // 4))
+        label = label.union(_large_groups(written(members.join(large, "node", "left_semi")), given, links_in, size, least, max(1, group_rows // 4), max(1, group_shingles // 4)))
     label = written(label)
-    by_print = nodes.select("print", "node").join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    by_print = written(by_print)
-    out = signed.select("id", "n", "print").join(by_print, "print", "left")
+    # documents of several texts with different sets join these sets' classes
+    several = signed.filter("print is not null and id is not null").groupBy("id").agg(F.min("print").alias("p"), F.max("print").alias("q")).filter("p <> q").select("id")
+    if several.limit(1).count():
+        ends = written(signed.join(several, "id").join(nodes.select("print", "node"), "print").select("id", "node").distinct())
+        label = written(connected(label.select("node", F.col("component").alias("b")).union(ends.join(ends.groupBy("id").agg(F.min("node").alias("b")), "id").select("node", "b")), "node", "b"))
+    by_print = written(nodes.select("print", "node").join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")))
+    # texts without a print take no part in the join, in which they would all meet in one task
+    out = signed.filter("print is not null").select("id", "n", "print").join(by_print, "print", "left").select("id", "n", "component_id").union(signed.filter("print is null").select("id", "n", F.lit(None).cast("long")))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
