@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, spread, tune, written
@@ -71,34 +71,41 @@ def log_ratios(found: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH)
     return np.log((target + smooth) / (target.sum() + smooth * buckets)) - np.log((raw + smooth) / (raw.sum() + smooth * buckets))
 
 
-def kth_largest(keys: DataFrame, k: int, bins: int = 1000, few: int = 5000) -> tuple[float, int] | None:
-    """(key, id) of the k-th row by (key descending, id ascending), from columns key and id; None if all rows are within."""
-    lo, hi, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    if n <= k:
-        return None
-    inside = keys
-    while n > few and lo < hi:
-        width = (hi - lo) / bins
-        if not lo + width > lo:
-            break
-        bin_of = F.least(F.lit(bins - 1), F.floor((F.col("key") - lo) / width)).cast("int")
-        held = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
+def _narrowed(rows: DataFrame, by: Column, k: int, bins: int, few: int) -> tuple[DataFrame, int]:
+    """The rows around the k-th largest of a double, few or inseparable, and its place among these."""
+    lo, hi, n = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+    while n > few and lo + (hi - lo) / bins > lo:
+        bin_of = F.least(F.lit(bins - 1), F.floor((by - lo) / ((hi - lo) / bins))).cast("int")
+        held = {r.b: (r.n, r.lo, r.hi) for r in rows.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).collect()}
         for b in sorted(held, reverse=True):
             if held[b][0] >= k:
                 break
             k -= held[b][0]
         n, lo, hi = held[b]
-        inside = inside.filter((F.col("key") >= lo) & (F.col("key") <= hi))
-    if lo < hi:
-        row = inside.orderBy(F.desc("key"), "id").limit(k).orderBy("key", F.desc("id")).first()
-        return float(row.key), int(row.id)
-    # more than a few rows of one key: the k-th id among them, found the same way
-    ids = inside.select((-F.col("id")).cast("double").alias("key"), F.lit(0).cast("long").alias("id"))
-    last = kth_largest(ids, k, bins, few) if n > few else None
-    if last is None:
-        row = inside.orderBy("id").limit(k).agg(F.max("id").alias("id")).first()
-        return float(lo), int(row.id)
-    return float(lo), int(-last[0])
+        rows = rows.filter((by >= lo) & (by <= hi))
+    return rows, k
+
+
+def _kth_value(rows: DataFrame, value: Column, k: int) -> tuple[object, int]:
+    """The k-th largest of a value that has few different ones, and its place among its equals."""
+    for r in rows.groupBy(value.alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("v")).collect():
+        if r.n >= k:
+            return r.v, k
+        k -= r.n
+    raise ValueError("fewer rows than k")
+
+
+def kth_largest(keys: DataFrame, k: int, bins: int = 1000, few: int = 5000) -> tuple[float, int] | None:
+    """(key, id) of the k-th row by (key descending, id ascending), from columns key and id; None if all rows are within."""
+    if keys.count() <= k:
+        return None
+    rows, k = _narrowed(keys, F.col("key"), k, bins, few)
+    key, k = _kth_value(rows, F.col("key"), k)
+    rows, k = _narrowed(keys.filter(F.col("key") == key), -F.col("id").cast("double"), k, bins, few)
+    first = rows.agg(F.min("id")).first()[0]
+    # as doubles large ids may be equal; less the first of them they are exact
+    rows, k = _narrowed(rows, -(F.col("id") - first).cast("double"), k, bins, few)
+    return float(key), -_kth_value(rows, -F.col("id"), k)[0]
 
 
 def select(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 1, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -529,6 +529,16 @@ def test_near_duplicates(spark, corpus, size, least, group_rows):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == classes(corpus, size, least)
 
 
+def test_documents_of_several_texts(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, other), (2, a + " x"), (3, other + " y"), (4, "quite another text that stands alone here"), (5, other), (0, "z z z"), (6, "z z z"), (6, a), (None, a), (7, "lone words of the eighth"), (7, "more lone words here of the eighth")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for group_rows in (4096, 3):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, size=3, least=85, group_rows=group_rows).collect() if r.doc_id is not None)
+        assert got == sorted((i, c := 0 if i in (0, 1, 2, 3, 5, 6) else i, i == c) for i, _ in rows if i is not None)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(0)
     errors = []
@@ -575,6 +585,37 @@ def test_kth_largest(spark):
         for k in (1, 7, len(values) - 1):
             assert resampling.kth_largest(df, k, bins=5, few=10) == ranked[k - 1]
         assert resampling.kth_largest(df, len(values)) is None
+    ids = [(1 << 60) + i for i in range(40)] + [-(1 << 61), 7, 7, 7] * 3
+    ranked = sorted(ids)
+    df = spark.createDataFrame([(2.0, i) for i in ids] + [(1.0, 3)], "key double, id long")
+    for k in (1, 5, 11, 13, 14, 30, len(ids)):
+        assert resampling.kth_largest(df, k, bins=4, few=3) == (2.0, ranked[k - 1]), k
+
+
+def test_resampling_weights(spark, corpus):
+    """The models counted anew: n-grams as tokens, their buckets by the operator's hash, all else plainly."""
+    texts = [*corpus, None, "", "One, two! three"]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, len(texts), 2)], LABELS)
+    rows = by_id(resampling.select(make(spark, texts), labels, share=0.5, buckets=97))
+    hashes = resampling.WordHashes()
+
+    def buckets(t):
+        tokens = re.findall(r"[a-z0-9\x80-\U0010ffff]+|[^a-z0-9\x80-\U0010ffff\s]+", low(t), re.ASCII)
+        h = [int(x) for x in hashes.of([w.encode() for w in tokens])]
+        pairs = [int(resampling.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(h, h[1:], strict=False)]
+        return [x % 97 for x in h + pairs]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        raw.update(buckets(t))
+        if i % 6 == 0:
+            target.update(buckets(t))
+    r, g = sum(raw.values()), sum(target.values())
+    for i, t in enumerate(texts):
+        wanted = sum(math.log((target[b] + 1) / (g + 97)) - math.log((raw[b] + 1) / (r + 97)) for b in buckets(t))
+        assert rows[i].n_grams == len(buckets(t)) and math.isclose(rows[i].log_weight, wanted, rel_tol=1e-9, abs_tol=1e-9), t
+    best = sorted(rows.values(), key=lambda x: (-x.gumbel_key, x.doc_id))[: math.ceil(0.5 * len(texts))]
+    assert {x.doc_id for x in best} == {i for i, x in rows.items() if x.selected}
 
 
 # --- defined cases of all ----------------------------------------------------------------------------------------------
