@@ -1,15 +1,18 @@
 """License scan: ordered signature rules behind a keyword prefilter, resolved by priority and interval containment.
 
-``scan`` finds licence statements in whole texts. Three steps per text:
+``scan`` finds licence statements in whole texts. The rules are signatures of licence texts, notices, URLs and short names,
+each with a priority of its own, and all ways to state a licence's name. Three steps per text:
 
 1. one Aho-Corasick pass over the lower-cased text, its runs of white space taken as one blank, finds which rules'
    keywords occur; most texts end here;
-2. only those rules' regular expressions run;
+2. only those rules' regular expressions run; what a negation stands before ("not released under") is no detection;
 3. overlapping detections are resolved: by falling priority, then length, a detection is kept unless its interval lies
-   inside one that is kept already (equal intervals: the higher priority stays).
+   inside one that is kept already (equal intervals: the higher priority stays, of equal ones the first label).
+
+Base labels stay whatever the rules say. Time grows with a text's length and detections (times their logarithm).
 
 Defined cases: a null or empty text has no words and no labels (null positions, score 0); repeated rows are scanned
-each on its own; other columns of the input pass through and may have any names; an empty table gives an empty one.
+each on its own; other columns are left out and may have any names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -95,6 +98,89 @@ FAMILIES = [
     ("public-domain", "LicenseRef-Public-Domain", [(r"public domain dedication", "public domain"), (r"(?:released|dedicated|placed) (?:in|in)?to the public domain", "public domain")]),
 ]
 
+# Signatures of licence texts, notices, addresses and names without a version: priority, confidence, label, a keyword of it, pattern.
+SIGNATURES = [
+    # texts and notices
+    (90, 1.0, "mit", "obtaining a copy", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (91, 1.0, "mit-0", "obtaining a copy", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files[^.]{0,300}to permit persons to whom the software is furnished to do so\. the software is provided"),
+    (90, 1.0, "bsl-1", "obtaining a copy", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    (90, 1.0, "isc", "to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that"),
+    (90, 1.0, "0bsd", "to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. "),
+    (80, 0.9, "bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification"),
+    (85, 0.95, "bsd-3", "neither the name", r"neither the names? of .{1,120}? may be used to endorse or promote products derived from this software"),
+    (86, 0.95, "bsd-4", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    (90, 1.0, "apache-2", "apache", r"licen[cs]ed under the apache licen[cs]e, version 2\.0 \(the [\"'“]?licen[cs]e"),
+    (90, 1.0, "apache-2", "version 2.0, january", r"apache licen[cs]e,? version 2\.0, january 2004"),
+    (90, 1.0, "gpl-2", "general public", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 2"),
+    (90, 1.0, "gpl-3", "general public", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 3"),
+    (90, 1.0, "gpl-2", "general public", r"gnu general public licen[cs]e version 2, june 1991"),
+    (90, 1.0, "gpl-3", "general public", r"gnu general public licen[cs]e version 3, 29 june 2007"),
+    (90, 1.0, "lgpl-2.1", "general public", r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 2\.1"),
+    (90, 1.0, "lgpl-3", "general public", r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 3"),
+    (90, 1.0, "agpl-3", "affero", r"under the terms of the gnu affero general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 3"),
+    (90, 1.0, "mpl-2", "mozilla public", r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. 2\.0"),
+    (90, 1.0, "mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    (90, 1.0, "epl-2", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v ?)?2\.0"),
+    (90, 1.0, "epl-1", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v ?)?1\.0"),
+    (90, 1.0, "cddl-1", "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    (90, 1.0, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    (90, 1.0, "wtfpl", "what the f", r"you just do what the f\S+ you want to"),
+    (90, 1.0, "zlib", "provided 'as-is'", r"this software is provided 'as-is', without any express or implied warranty"),
+    (90, 1.0, "cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    (88, 0.95, "artistic-2", "artistic", r"the artistic licen[cs]e 2\.0 copyright"),
+    (88, 0.95, "ofl-1.1", "open font", r"this font software is licen[cs]ed under the sil open font licen[cs]e"),
+    (88, 0.95, "php-3", "php", r"this (?:source file is subject to|product includes) (?:version 3\.01 of the )?php (?:licen[cs]e|software)"),
+    (88, 0.95, "openssl", "openssl", r"this product includes software developed by the openssl project"),
+    (88, 0.95, "busl-1.1", "change date", r"change date:? .{1,40} change licen[cs]e:?"),
+    (88, 0.95, "ncsa", "illinois", r"neither the names of .{1,80}university of illinois"),
+    (84, 0.9, "proprietary", "without the prior", r"(?:may not be|no part .{1,60}may be) (?:copied|reproduced|distributed|disclosed).{0,80}without the prior written (?:permission|consent)"),
+    # addresses
+    (70, 0.95, "mit", "opensource.org", r"opensource\.org/licen[cs]es?/mit(?:-license)?(?:\.php|\.html)?(?![\w-])"),
+    (70, 0.95, "bsd-2", "opensource.org", r"opensource\.org/licen[cs]es?/bsd-2-clause"),
+    (70, 0.95, "bsd-3", "opensource.org", r"opensource\.org/licen[cs]es?/bsd-3-clause"),
+    (70, 0.95, "isc", "opensource.org", r"opensource\.org/licen[cs]es?/isc"),
+    (70, 0.95, "apache-2", "opensource.org", r"opensource\.org/licen[cs]es?/apache-2\.0"),
+    (70, 0.95, "apache-2", "apache.org", r"apache\.org/licen[cs]es/licen[cs]e-2\.0"),
+    (70, 0.95, "gpl-2", "gnu.org", r"gnu\.org/licen[cs]es/(?:old-licenses/)?gpl-2\.0"),
+    (70, 0.95, "gpl-3", "gnu.org", r"gnu\.org/licen[cs]es/gpl-3\.0"),
+    (69, 0.9, "gpl", "gnu.org", r"gnu\.org/(?:licen[cs]es|copyleft)/gpl(?![\w-])"),
+    (70, 0.95, "lgpl-2.1", "gnu.org", r"gnu\.org/licen[cs]es/(?:old-licenses/)?lgpl-2\.1"),
+    (70, 0.95, "lgpl-3", "gnu.org", r"gnu\.org/licen[cs]es/lgpl-3\.0"),
+    (69, 0.9, "lgpl", "gnu.org", r"gnu\.org/(?:licen[cs]es|copyleft)/(?:lgpl|lesser)(?![\w-])"),
+    (70, 0.95, "agpl-3", "gnu.org", r"gnu\.org/licen[cs]es/agpl-3\.0"),
+    (70, 0.95, "mpl-2", "mozilla.org", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    (70, 0.95, "epl-2", "eclipse.org", r"eclipse\.org/(?:legal|org/documents)/epl-2\.0"),
+    (70, 0.95, "epl-1", "eclipse.org", r"eclipse\.org/(?:legal|org/documents)/epl-v10"),
+    (70, 0.95, "cc0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    (70, 0.95, "public-domain", "creativecommons.org", r"creativecommons\.org/publicdomain/mark/1\.0"),
+    (70, 0.95, "cc-by", "creativecommons.org", r"creativecommons\.org/licen[cs]es/by(?![\w-])(?:/\d\.\d)?"),
+    (70, 0.95, "cc-by-sa", "creativecommons.org", r"creativecommons\.org/licen[cs]es/by-sa(?![\w-])(?:/\d\.\d)?"),
+    (70, 0.95, "cc-by-nd", "creativecommons.org", r"creativecommons\.org/licen[cs]es/by-nd(?![\w-])(?:/\d\.\d)?"),
+    (70, 0.95, "cc-by-nc", "creativecommons.org", r"creativecommons\.org/licen[cs]es/by-nc(?![\w-])(?:/\d\.\d)?"),
+    (70, 0.95, "cc-by-nc-sa", "creativecommons.org", r"creativecommons\.org/licen[cs]es/by-nc-sa(?![\w-])(?:/\d\.\d)?"),
+    (70, 0.95, "cc-by-nc-nd", "creativecommons.org", r"creativecommons\.org/licen[cs]es/by-nc-nd(?![\w-])(?:/\d\.\d)?"),
+    (70, 0.95, "unlicense", "unlicense.org", r"(?<![\w.])unlicense\.org"),
+    (70, 0.95, "ofl-1.1", "scripts.sil.org", r"scripts\.sil\.org/ofl"),
+    (70, 0.95, "bsl-1", "boost.org", r"boost\.org/license_1_0\.txt"),
+    (70, 0.95, "odbl", "opendatacommons.org", r"opendatacommons\.org/licen[cs]es/odbl"),
+    (70, 0.95, "wtfpl", "wtfpl.net", r"(?<![\w.])(?:www\.)?wtfpl\.net"),
+    # names without a version; a versioned rule that covers one suppresses it
+    (9, 0.6, "gpl", "general public", r"(?<!lesser\s)(?<!library\s)(?<!affero\s)(?:gnu )?general public licen[cs]e(?!,? (?:version|v) ?\d)"),
+    (8, 0.5, "gpl", "gpl", r"(?:under|licen[cs]e[sd]?|the|gnu) (?:the )?gpl(?![\w-])(?! ?v?\d)"),
+    (9, 0.6, "lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[cs]e(?!,? (?:version|v) ?\d)"),
+    (8, 0.5, "lgpl", "lgpl", r"(?<![\w-])lgpl(?![\w-])(?! ?v?\d)"),
+    (9, 0.6, "agpl", "affero", r"(?:gnu )?affero general public licen[cs]e(?!,? (?:version|v) ?\d)"),
+    (8, 0.5, "agpl", "agpl", r"(?<![\w-])agpl(?![\w-])(?! ?v?\d)"),
+    (9, 0.6, "bsd", "bsd", r"(?<!clause\s)(?<!simplified\s)(?<!freebsd\s)(?<!new\s)(?<!modified\s)(?<!revised\s)(?<!original\s)(?<![\w-])bsd(?:-style)? licen[cs]e"),
+    (9, 0.6, "apache", "apache", r"(?<![\w-])apache(?: software)? licen[cs]e(?!,? (?:version |v)?\d)"),
+    (9, 0.6, "mpl", "mozilla", r"mozilla public licen[cs]e(?!,? (?:version |v\.? ?)?\d)"),
+    (9, 0.6, "epl", "eclipse", r"eclipse public licen[cs]e(?!(?:,? -)?,? (?:version |v ?)?\d)"),
+    (9, 0.6, "artistic", "artistic", r"(?<![\w-])artistic licen[cs]e(?!,? (?:version |v)?\d)"),
+    (9, 0.6, "cc", "creative commons", r"creative commons licen[cs]e"),
+    (9, 0.6, "public-domain", "public domain", r"(?:is|are|lies|falls) in the public domain"),
+    (9, 0.6, "copyleft", "copyleft", r"(?<![\w-])copyleft licen[cs]es?"),
+]
+
 #: Ways to state a licence, from the strongest: priority, confidence, pattern around the name, and whether it takes the SPDX identifier.
 FORMS = [
     (50, 1.0, r"spdx-licen[cs]e-identifier:?\s*{spdx}(?:-only|-or-later|\+)?", True, "spdx"),
@@ -132,6 +218,7 @@ def rules() -> tuple[Rule, ...]:
                 continue
             for name, key in names:
                 out.append(Rule(priority, confidence, label, key, _spaced(form.replace("{name}", f"(?:{name})"))))
+    out += [Rule(priority, confidence, label, keyword, _spaced(pattern)) for priority, confidence, label, keyword, pattern in SIGNATURES]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -149,25 +236,44 @@ def _keywords() -> ahocorasick.Automaton:
 
 def resolve(found: list[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
     """Detections (start, end, priority, confidence, label) less those that lie inside a stronger one."""
-    kept: list[tuple[int, int, int, float, str]] = []
+    starts = sorted({d[0] for d in found})
+    place = {s: i + 1 for i, s in enumerate(starts)}
+    reach = [0] * (len(starts) + 1)  # a tree of the largest ends that are kept, by prefixes of the starts
+    kept = []
     for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[4])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+        i, far = place[d[0]], 0
+        while i:
+            far = max(far, reach[i])
+            i &= i - 1
+        if far >= d[1]:
+            continue
+        kept.append(d)
+        i = place[d[0]]
+        while i < len(reach):
+            reach[i] = max(reach[i], d[1])
+            i += i & -i
     return sorted(kept)
 
 
-def detect(text: str | None) -> list[tuple[int, int, int, float, str]]:
-    """The detections of one text that survive suppression, by start."""
+#: What says that the words behind it do not hold: a negation and a few more words of the same clause.
+_NEGATION = re.compile(r"(?:\bnot|\bnever|n['’]t|\bwithout being)(?!\s+(?:only|just|merely|solely))(?:\s+[^\W\d_]+){0,5}\s+$")
+#: Characters before a detection that a negation is looked for in.
+_BEFORE = 60
+
+
+def detect(text: str | None, gated: bool = True) -> list[tuple[int, int, int, float, str]]:
+    """The detections of one text that survive suppression, by start. gated: only rules whose keyword occurs are tried."""
     if not text:
         return []
     low = text.lower()
     if len(low) != len(text):  # a few capitals lower-case to more code points; intervals are told on the text
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    which = {i for _, ids in _keywords().iter(" ".join(low.split())) for i in ids}  # a blank of a keyword is any white space, as in the rules
+    # a blank of a keyword is any white space, as in the rules
+    which = {i for _, ids in _keywords().iter(" ".join(low.split())) for i in ids} if gated else range(len(rules()))
     found = []
     for i in sorted(which):
         r = rules()[i]
-        found += [(m.start(), m.end(), r.priority, r.confidence, r.label) for m in r.pattern.finditer(low)]
+        found += [(m.start(), m.end(), r.priority, r.confidence, r.label) for m in r.pattern.finditer(low) if not _NEGATION.search(low, max(0, m.start() - _BEFORE), m.start())]
     return resolve(found)
 
 
@@ -178,9 +284,10 @@ def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
     """Word positions at which a base phrase starts, and the labels."""
     line, places, labels = b" " + b" ".join(words) + b" ", [], set()
     for phrase, label in _PHRASES:
-        at = line.find(phrase)
+        at, last, n = line.find(phrase), 0, -1
         while at >= 0:
-            places.append(line.count(b" ", 0, at + 1) - 1)
+            n, last = n + line.count(b" ", last, at + 1), at + 1
+            places.append(n)
             labels.add(label)
             at = line.find(phrase, at + 1)
     return places, labels

@@ -47,6 +47,9 @@ def test_license_base(spark, corpus):
 
 @pytest.mark.parametrize(("text", "labels"), [
     ("SPDX-License-Identifier: GPL-3.0-or-later", {"gpl-3"}), ("GNU Lesser General Public License v2.1", {"lgpl-2.1"}), ("released under the Apache License, Version 2.0", {"apache-2"}),
+    ("under the GNU General Public License", {"gpl"}), ("licensed under the GPL", {"gpl"}), ("under the BSD license", {"bsd"}), ("under the Apache License", {"apache"}), ("creativecommons.org/licenses/by-nc/4.0", {"cc-by-nc"}), ("opensource.org/licenses/MIT", {"mit"}),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files", {"mit"}), ("Redistribution and use in source and binary forms, with or without modification", {"bsd"}),
+    ("not released under the MIT License", set()), ("It isn't licensed under the Apache License, Version 2.0.", set()), ("This is not advice. Released under the MIT License", {"mit"}), ("not only under the MIT License", {"mit"}), ("GNU Lesser General Public License", {"lgpl"}),
     ("Creative Commons Attribution-NonCommercial-ShareAlike", {"cc-by-nc-sa"}), ("the BSD 3-Clause license", {"bsd-3"}), ("All rights reserved.", {"proprietary"}), ("permit licensee", set()), ("MIT License and MPL 2.0: Mozilla Public License 2.0", {"mit", "mpl-2"}),
 ])
 def test_license_rules(text, labels):
@@ -58,6 +61,39 @@ def test_license_suppression():
     a, b, c = (0, 20, 10, 0.5, "short"), (0, 30, 40, 0.9, "long"), (25, 40, 10, 0.5, "beside")
     assert licenses.resolve([a, b, c]) == [b, c]
     assert licenses.resolve([(0, 5, 1, 0.1, "x"), (0, 5, 2, 0.1, "y")]) == [(0, 5, 2, 0.1, "y")]
+    assert len({s[0] for s in licenses.SIGNATURES}) > 5 and all(0 < s[1] <= 1 for s in licenses.SIGNATURES)
+
+
+def test_license_suppression_is_as_told():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        found = [(a := int(rng.integers(0, 40)), a + int(rng.integers(1, 15)), int(rng.integers(1, 5)), 0.5, str(rng.choice(list("xyz")))) for _ in range(int(rng.integers(0, 25)))]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[4])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        assert licenses.resolve(found) == sorted(kept)
+
+
+def test_license_prefilter_loses_nothing(corpus):
+    """All rules without the keywords' gate, over texts made of the rules' own words."""
+    rng = np.random.default_rng(13)
+    parts = [*WRAPPED, "the", "under", "license", "not", "GPL", "MIT", "BSD", "Apache", "v2", "version 3", "\n", "of", "CC-BY", "opensource.org/licenses/isc", "gnu.org/licenses/gpl-3.0.html", "neither the name of X may be used to endorse or promote products derived from this software", "SPDX-License-Identifier: ISC", "LGPL", "public domain"]
+    for _ in range(300):
+        t = " ".join(str(x) for x in rng.choice(parts, int(rng.integers(1, 12))))
+        assert licenses.detect(t) == licenses.detect(t, gated=False), t
+    for t in corpus[:30]:
+        assert licenses.detect(t) == licenses.detect(t, gated=False)
+
+
+def test_license_long_texts():
+    import time
+
+    began = time.process_time()
+    text = "cc by nc MIT License " * 50_000
+    found = licenses.detect(text)
+    places, _ = licenses.base_places(licenses.alnum_words(text))
+    assert len(found) == 100_000 and places[-1] == 5 * 49_999 and time.process_time() - began < 12
 
 
 WRAPPED = [
@@ -69,7 +105,7 @@ WRAPPED = [
 
 
 def test_license_wraps():
-    assert {r.keyword for r in licenses.rules() if " " in r.keyword} <= {k for t in WRAPPED for r in licenses.rules() if (k := r.keyword) in t.lower()}
+    assert {k for _, _, names in licenses.FAMILIES for _, k in names if " " in k} <= {k for t in WRAPPED for r in licenses.rules() if (k := r.keyword) in t.lower()}
     for t in WRAPPED:
         whole = [d[2:] for d in licenses.detect(t)]
         assert whole, t
