@@ -170,3 +170,14 @@ def bundled(docs: DataFrame, most: int, also: Callable[[pa.Table], pa.Array] | N
 
 def unbundled(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
+
+
+def nullable(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """The structs with all fields nullable, as the declared type has them."""
+
+    def of(t: pa.DataType) -> pa.DataType:
+        if pa.types.is_struct(t):
+            return pa.struct([pa.field(f.name, of(f.type)) for f in t])
+        return pa.list_(of(t.value_type)) if pa.types.is_list(t) else t
+
+    return column.cast(of(column.type))

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bundled, mix, tune, unbundled, written
+from .common import NO_ID, bundled, mix, nullable, tune, unbundled, written
 from .exchange import FAN_IN, Exchange, totals
 
 #: Bytes of a repeated string, of an anchor, and of a pack's texts, about.
@@ -347,7 +347,7 @@ def _rows(count: int, **columns: np.ndarray | pa.Array | int) -> pa.RecordBatch:
 
 
 def _marks(pack: np.ndarray | int, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return _rows(len(row), kind=1, key=mix(np.full(len(row), pack).astype(np.uint64)).view(np.int64), share=-1, pack=pack, row=row, start=start, n=n)
+    return _rows(len(row), kind=1, key=mix(np.full(len(row), pack).astype(np.uint64) * _K + row.astype(np.uint64)).view(np.int64), share=-1, pack=pack, row=row, start=start, n=n)
 
 
 def _binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -355,17 +355,6 @@ def _binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _nullable(column: pa.ChunkedArray) -> pa.ChunkedArray:
-    """The structs with all fields nullable, as the declared type has them."""
-
-    def of(t: pa.DataType) -> pa.DataType:
-        if pa.types.is_struct(t):
-            return pa.struct([pa.field(f.name, of(f.type)) for f in t])
-        return pa.list_(of(t.value_type)) if pa.types.is_list(t) else t
-
-    return column.cast(of(column.type))
-
-
 def _digests(length: int) -> Callable[[pa.Table], pa.Array]:
     """Of a pack: the digest of each different text that is long enough, with its least id."""
 
@@ -514,7 +503,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "edges"][: 7 if with_text else 5]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
         out = pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), kinds, strict=False)})
-        return out.append_column("row", _nullable(table["row"].take(pa.array(pack.order)))) if carry else out
+        return out.append_column("row", nullable(table["row"].take(pa.array(pack.order)))) if carry else out
 
     extra = ", kept_text string, edges array<long>" if with_text else ""
     return packs.select("pack", "data").groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra + kind_of_row)

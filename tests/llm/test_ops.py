@@ -149,6 +149,19 @@ def test_decontamination(spark, corpus, block_words):
     assert not any(r.contaminated for r in decontaminate.scan(make(spark, texts), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_words", [200_000, 3])
+def test_decontamination_spans(spark, block_words):
+    run = "a b c d e f g h i j k l m n o p"
+    items = spark.createDataFrame([(1, run), (2, "two words")], "item_id long, text string")
+    pad = " ".join(f"p{i}" for i in range(40))
+    texts = [f"Start, {run.upper()}! end {pad}", pad, run + " x", f"{pad} two words {pad}", None, "", f"{run}\n{pad} é ({run}) {pad}"]
+    got = by_id(decontaminate.without_spans(make(spark, texts), items, block_words=block_words))
+    assert {i: r.text for i, r in got.items()} == {0: f"Start, ! end {pad}", 1: pad, 3: texts[3], 4: None, 5: "", 6: f"\n{pad} é () {pad}"}
+    assert got[0].lang == "en" and decontaminate.without_spans(make(spark, texts), items).columns == SCHEMA_NAMES
+    short = by_id(decontaminate.without_spans(make(spark, texts), items, least_words=2, most_coverage=1.0, block_words=block_words))
+    assert short[3].text == f"{pad}  {pad}" and short[2].text == " x"
+
+
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -673,13 +686,14 @@ def operators(spark):
         "minhash": minhash.near_duplicates,
         "resampling": lambda d: resampling.select(d, labels),
         "decontaminate.clean": lambda d: decontaminate.clean(d, bench),
+        "decontaminate.blocks": lambda d: decontaminate.without_spans(d, bench, least_words=2, most_coverage=1.0, block_words=1),
         "toxicity.clean": lambda d: toxicity.clean(d, toxicity.learn(d, labels)),
         "suffix_dedup.deduplicated": suffix_dedup.deduplicated,
         "minhash.representatives": minhash.representatives,
     }
 
 
-NAMES = ["licenses", "decontaminate", "bpe", "suffix_dedup", "quality_rules", "language_model", "toxicity", "minhash", "resampling", "decontaminate.clean", "toxicity.clean", "suffix_dedup.deduplicated", "minhash.representatives"]
+NAMES = ["licenses", "decontaminate", "bpe", "suffix_dedup", "quality_rules", "language_model", "toxicity", "minhash", "resampling", "decontaminate.clean", "decontaminate.blocks", "toxicity.clean", "suffix_dedup.deduplicated", "minhash.representatives"]
 
 
 @pytest.mark.parametrize("name", NAMES)
