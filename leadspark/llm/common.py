@@ -5,7 +5,6 @@ Word rules work on UTF-8 bytes: only A-Z are lower-cased, and the separators of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.components import shared_dir
+from leadspark.components import stored as written  # noqa: F401  (for the operators)
 
 #: Rows of one Arrow batch; with it, a batch of texts stays far below a worker's memory.
 BATCH_ROWS = 512
@@ -70,13 +69,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: executed once, cut from its lineage, safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/leadspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(docs: DataFrame) -> DataFrame:
     """The rows over all cores, where a scan comes in fewer partitions than there are cores; plans with shuffles stay as they are."""
     ran, cores = docs._jdf.queryExecution(), docs.sparkSession.sparkContext.defaultParallelism
