@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; where none is named, one of this process that goes with it."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it names none, a local master (one process for all) gets a folder of this process that goes with it; on a
+    cluster that is an error, since executors would each write to a disk of their own.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master: {master or 'not known'})")
         own = tempfile.mkdtemp(prefix="leadspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
@@ -22,10 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a written table, cut from their lineage."""
-    path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were ``stored`` inside, but those to be kept, once the block has ended without an error."""
+    _SCOPES.append([])
+    try:
+        yield
+    except BaseException:
+        _SCOPES.pop()
+        raise
+    for path in _SCOPES.pop():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: executed once, cut from their lineage, safe when executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/leadspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

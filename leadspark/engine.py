@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import uuid
 from collections.abc import Callable
@@ -11,10 +12,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.components import stored
 from leadspark.config import EngineConfig
 from leadspark.operators import discover, runs
 from leadspark.sources import llm, search
 
+#: Type of the log of run changes; its first columns are what ``runs.fold_run_status`` takes.
+RUN_LOG = "run_id string, seq int, ts timestamp, status string, error string, query string, plan string, domains_total int, approved_at timestamp, finished_at timestamp"
 #: Bytes of a request's text, at most.
 MOST_TEXT = 16 * 1024
 
@@ -34,16 +38,21 @@ class Run:
 
 @dataclass
 class Engine:
-    """Runs live in a driver-side table with versions: a change holds only if the version it read is still there."""
+    """Runs live in a table with versions: a change holds only if the version it read is still there.
+
+    The driver holds the runs it works on; with a ``log`` folder each change is also appended there as an event, from which
+    ``resume`` makes the runs again after the driver is lost, and ``runs.fold_run_status`` their states.
+    """
 
     spark: SparkSession
     planner: llm.Client
     providers: list[search.JsonProvider] = field(default_factory=list)
     config: EngineConfig = field(default_factory=EngineConfig)
     enqueue: Callable[[DataFrame], None] | None = None
+    log: str | None = None
 
     def __post_init__(self):
-        self.runs: dict[str, Run] = {}
+        self.runs: dict[str, Run] = self.resume() if self.log else {}
         self.events: list[tuple[str, str, str, str]] = []
         self._lock = threading.Lock()
 
@@ -57,8 +66,24 @@ class Engine:
             if new.get("status") == "discovering" and old.approved_at is None:
                 new["approved_at"] = datetime.now(timezone.utc)
             self.runs[old.id] = made = replace(old, version=old.version + 1, **new)
+            self._append(made)
             return made
 
+    def _append(self, run: Run) -> None:
+        """One more event of the run in the log, numbered by its version."""
+        if self.log:
+            row = (run.id, run.version, datetime.now(timezone.utc), run.status, run.error, run.query, json.dumps(run.plan), run.domains_total, run.approved_at, run.finished_at)
+            self.spark.createDataFrame([row], RUN_LOG).coalesce(1).write.mode("append").parquet(self.log)
+
+    def resume(self) -> dict[str, Run]:
+        """The runs as the log's latest events leave them; none if there is no log yet."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.log)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return {}
+        events = self.spark.read.schema(RUN_LOG).parquet(self.log)
+        last = events.groupBy("run_id").agg(F.max_by(F.struct(*events.columns), "seq").alias("e")).select("e.*")
+        return {r.run_id: Run(r.run_id, r.query, r.status, json.loads(r.plan) if r.plan else None, r.error, r.seq, r.domains_total, r.approved_at, r.finished_at) for r in last.collect()}  # the runs in work, low hundreds
+
     def _log(self, run_id: str, stage: str, message: str, level: str = "info") -> None:
         self.events.append((run_id, level, stage, message))
 
@@ -69,7 +94,9 @@ class Engine:
             return None, "query is required"
         if len(query.encode()) > MOST_TEXT:
             return None, "body too large"
-        run = self.runs[ident] = Run((ident := str(uuid.uuid4())), query, "planning")
+        ident = str(uuid.uuid4())
+        run = self.runs[ident] = Run(ident, query, "planning")
+        self._append(run)
         got = llm.plan_run(query, self.config.current_year, self.planner)
         if got["outcome"] != "ok":
             self._log(ident, "plan", got["error"], "error")
@@ -91,7 +118,7 @@ class Engine:
         found, errors = None, 0
         if self.providers and target > 0:
             hits, failed = search.search(queries, self.providers)
-            found = discover.discover(hits.persist(), target)
+            found = stored(discover.discover(hits, target))
             errors = failed.count()
         total = found.count() if found is not None else 0
         if not total:

@@ -7,6 +7,7 @@ ones, dot segments and international hosts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -30,8 +31,7 @@ def scheme_of(url: Column) -> Column:
 
 def hostname(url: Column) -> Column:
     """The lower-cased host of an absolute URL; null if there is none."""
-    h = F.lower(_part(F.trim(url), 3))
-    return F.when((h != "") & ~h.rlike(r"[\s%<>^|\\]"), h)
+    return bound(F.lower(_part(F.trim(url), 3)), lambda h: F.when((h != "") & ~h.rlike(r"[\s%<>^|\\]"), h))
 
 
 def path_of(url: Column) -> Column:
@@ -41,27 +41,45 @@ def path_of(url: Column) -> Column:
 
 def registrable_domain(host: Column) -> Column:
     """The last two labels, or three under a suffix of two; one leading ``www.`` and one trailing dot go."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.$", "")
-    labels = F.split(h, r"\.")
-    last_two = F.array_join(F.slice(labels, -2, 2), ".")
-    return F.when(F.size(labels) <= 2, h).when(last_two.isin(MULTI_PART_SUFFIXES), F.array_join(F.slice(labels, -3, 3), ".")).otherwise(last_two)
+    def of(h: Column) -> Column:
+        labels = F.split(h, r"\.")
+        last_two = F.substring_index(h, ".", -2)
+        return F.when(F.size(labels) <= 2, h).when(last_two.isin(MULTI_PART_SUFFIXES), F.substring_index(h, ".", -3)).otherwise(last_two)
+
+    return bound(F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.$", ""), of)
 
 
 def domain_of(url: Column) -> Column:
     return registrable_domain(hostname(url))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: projections that Spark merges don't copy it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def path_and_query(url: Column) -> Column:
+    """What a server is asked for: the path, and the query if there is one."""
+    q = _part(F.trim(url), 6)
+    return F.concat(path_of(url), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+
 def canonical_url(url: Column) -> Column:
     """Key form of an absolute http(s) URL: no tracking, sorted parameters, no fragment, default port or trailing slash; else null."""
     u = F.trim(url)
-    scheme, user, port, path, query = F.lower(_part(u, 1)), _part(u, 2), _part(u, 4), path_of(u), _part(u, 6)
-    host = F.regexp_replace(hostname(u), r"\.$", "")
+    parts = F.struct(F.lower(_part(u, 1)).alias("scheme"), _part(u, 2).alias("user"), _part(u, 4).alias("port"), path_of(u).alias("path"), _part(u, 6).alias("query"), F.regexp_replace(hostname(u), r"\.$", "").alias("host"))
+    return bound(parts, _canonical)
+
+
+def _canonical(u: Column) -> Column:
+    scheme, user, port, path, query, host = (u[c] for c in ("scheme", "user", "port", "path", "query", "host"))
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(_form(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), _form(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v")))
     kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING_PREFIXES)))
     text = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     slim = F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
-    out = F.concat(scheme, F.lit("://"), F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), slim, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+    said = F.when(text != "", F.concat(F.lit("?"), text)).otherwise("")
+    out = F.concat(scheme, F.lit("://"), F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), slim, said)
     return F.when(scheme.isin("http", "https") & host.isNotNull(), out)
 
 

@@ -14,9 +14,13 @@ _SEQ = ("query_idx", "provider_idx", "hit_idx")
 
 
 def usable_hits(hits: DataFrame) -> DataFrame:
-    """Hits of crawlable company domains, with ``canonical`` and ``domain``."""
-    d = hits.withColumn("canonical", urls.canonical_url(F.col("url"))).filter("canonical is not null")
-    d = d.withColumn("domain", urls.domain_of(F.col("canonical")))
+    """Hits of crawlable company domains, with ``canonical`` and ``domain``; each address is taken apart once."""
+    def with_domain(c: Column) -> Column:
+        return F.when(c.isNotNull(), F.struct(c.alias("canonical"), urls.domain_of(c).alias("domain")))
+
+    # exploding a list of one keeps filters and later steps from copying the expression
+    found = urls.bound(urls.canonical_url(F.col("url")), with_domain)
+    d = hits.select("*", F.explode(F.array(found)).alias("_found")).select(*hits.columns, "_found.canonical", "_found.domain")
     return d.filter(F.col("domain").isNotNull() & ~urls.is_blocked(F.col("domain")) & ~urls.is_non_company(F.col("domain")))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from leadspark.components import stored
 from leadspark.schemas import SEARCH_HITS
 
 _RESULTS = "struct<results:array<struct<url:string,title:string,content:string,text:string>>>"
@@ -72,7 +73,10 @@ def hits_of(payloads: DataFrame, snippet: str) -> DataFrame:
 
 
 def search(queries: DataFrame, providers: list[JsonProvider], per_query: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(hits, errors) of queries(run_id, query_idx, query) at all providers; one that fails doesn't stop the others."""
+    """(hits, errors) of queries(run_id, query_idx, query) at all providers; one that fails doesn't stop the others.
+
+    Calls are paid for, so the answers are stored: each provider is asked once a query, however often hits and errors are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +89,7 @@ def search(queries: DataFrame, providers: list[JsonProvider], per_query: int = 1
                         rows.append(r | {"provider_idx": i, "provider": p.name, "payload": None, "message": str(e)})
             yield from pa.Table.from_pylist(rows, schema=_ANSWER).to_batches()
 
-    answers = queries.select("run_id", F.col("query_idx").cast("int").alias("query_idx"), "query").mapInArrow(run, "run_id string, query_idx int, query string, provider_idx int, provider string, payload string, message string")
+    answers = stored(queries.select("run_id", F.col("query_idx").cast("int").alias("query_idx"), "query").mapInArrow(run, "run_id string, query_idx int, query string, provider_idx int, provider string, payload string, message string"))
     hits = None
     for p in providers:
         part = hits_of(answers.filter((F.col("provider") == p.name) & F.col("payload").isNotNull()), p.snippet)

@@ -12,10 +12,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from leadspark.operators.runs import finished_runs, run_counters
 
 
-def token_bucket(arrivals: DataFrame, interval_ms: int = 1500) -> DataFrame:
+#: After this time without traffic a host's state is dropped; slots and cool-downs are long over by then. None keeps it.
+IDLE_MS = 6 * 3_600_000
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def token_bucket(arrivals: DataFrame, interval_ms: int = 1500, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """arrivals(host, t_ms, request) to (host, t_ms, request, slot_ms); a host's state is its next free time."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         free = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["t_ms", "request"])
         slots = []
@@ -24,15 +35,20 @@ def token_bucket(arrivals: DataFrame, interval_ms: int = 1500) -> DataFrame:
             slots.append(slot)
             free = slot + interval_ms
         state.update((free,))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"host": key[0], "t_ms": rows["t_ms"].to_numpy(), "request": rows["request"].to_numpy(), "slot_ms": slots})
 
-    return arrivals.groupBy("host").applyInPandasWithState(run, "host string, t_ms bigint, request string, slot_ms bigint", "free bigint", "append", GroupStateTimeout.NoTimeout)
+    return arrivals.groupBy("host").applyInPandasWithState(run, "host string, t_ms bigint, request string, slot_ms bigint", "free bigint", "append", _timeout(idle_ms))
 
 
-def circuit_breaker(events: DataFrame, threshold: int = 4, cooldown_ms: int = 300_000) -> DataFrame:
+def circuit_breaker(events: DataFrame, threshold: int = 4, cooldown_ms: int = 300_000, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """events(host, seq, t_ms, failed) to (host, seq, rejected, failures); a host's state is two numbers."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures, opened = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["t_ms", "seq"])
         out = []
@@ -45,9 +61,11 @@ def circuit_breaker(events: DataFrame, threshold: int = 4, cooldown_ms: int = 30
                 opened = int(t) if failed and failures >= threshold else 0
             out.append((key[0], seq, shut, failures))
         state.update((failures, opened))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["host", "seq", "rejected", "failures"])
 
-    return events.groupBy("host").applyInPandasWithState(run, "host string, seq bigint, rejected boolean, failures int", "failures int, opened bigint", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("host").applyInPandasWithState(run, "host string, seq bigint, rejected boolean, failures int", "failures int, opened bigint", "append", _timeout(idle_ms))
 
 
 def rolling_guard(events: DataFrame, every: str = "1 minute", over: str = "5 minutes", late: str = "10 minutes", least: int = 40, ratio: float = 0.25) -> DataFrame:

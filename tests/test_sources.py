@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from leadspark import components
 from leadspark.config import EngineConfig
 from leadspark.engine import Engine
 from leadspark.functions import html
@@ -108,7 +109,8 @@ def test_fetch_ladder(spark):
     robots = spark.createDataFrame([("e.de", "User-agent: *\nDisallow: /private")], "domain string, body string")
     hosts = fetch.resolve_hosts(req.select(F.col("domain").alias("host")), lambda h: "10.0.0.1" if h == "f.de" else "8.8.8.8")
     shut = spark.createDataFrame([("g.de",)], "domain string")
-    rows = {r.domain: r for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut).collect()}
+    free = fetch.address_guard(lambda h: "8.8.8.8")
+    rows = {r.domain: r for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut, refused=free).collect()}
     assert (rows["a.de"].outcome, rows["a.de"].tier, rows["a.de"].final_url, rows["a.de"].report) == ("ok", 0, "https://a.de/home", "success")
     assert (rows["b.de"].outcome, rows["b.de"].html, rows["b.de"].reason) == ("blocked", None, "bot challenge detected (status 403 from cloudflare); tier 2 not configured")
     told = {d: (r.outcome, r.error) for d, r in rows.items()}
@@ -116,13 +118,101 @@ def test_fetch_ladder(spark):
     assert told["f.de"] == ("refused", "refused private address 10.0.0.1 for f.de") and told["g.de"] == ("circuit_open", "host circuit breaker open") and told["h.de"] == ("unreachable", "http 404")
     assert (rows["i.de"].outcome, rows["i.de"].tier, rows["i.de"].report) == ("ok", 0, "failure") and rows["i.de"].reason.endswith("; tier 1 failed, kept tier 0")
     page = fetch.Response(200, {"content-type": "text/html"}, text)
-    full = {r.domain: (r.outcome, r.tier, r.report) for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut, render=lambda u: page, managed=lambda u: page).collect()}
+    full = {r.domain: (r.outcome, r.tier, r.report) for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", shut, refused=free, render=lambda u: page, managed=lambda u: page).collect()}
     assert full["b.de"] == ("ok", 2, "failure") and full["i.de"] == ("ok", 1, "success") and len(full) == len(asked)
     assert fetch.follow("https://a.de/", lambda u: fetch.Response(301, {}, "", u), lambda u: None)[2] == "too many redirects"
     bodies = fetch.robots_bodies(spark.createDataFrame([("a.de", "https://a.de"), ("b.de", "https://blocked.de")], "domain string, origin string"), get)
     assert {r.domain: r.body is not None for r in bodies.collect()} == {"a.de": True, "b.de": False}
 
 
+def test_redirects_are_refused_too(spark):
+    def get(url):
+        return fetch.Response(302, {}, "", "http://169.254.169.254/latest/meta-data") if "trap" in url else fetch.Response(200, {"Content-Type": "text/html"}, "secret")
+
+    lookup = {"trap.de": "8.8.8.8", "good.de": "1.1.1.1"}
+    guard = fetch.address_guard(lambda h: h if h[0].isdigit() else lookup[h])
+    req = spark.createDataFrame([("https://trap.de/", "trap.de", "home", 0)], "url string, domain string, kind string, page_idx int")
+    none = spark.createDataFrame([], "domain string, body string")
+    hosts = spark.createDataFrame([("trap.de", "8.8.8.8")], "host string, address string")
+    (r,) = fetch.fetch_pages(req, get, none, hosts, "leadspark", refused=guard).collect()
+    assert (r.outcome, r.html, r.error) == ("unreachable", None, "refused private address 169.254.169.254 for 169.254.169.254")
+    assert [guard(u) for u in ("https://good.de/x", "ftp://good.de/", "http://a.localhost/", "http://10.0.0.1/")] == [None, "refused scheme: ftp:", "refused host: a.localhost", "refused private address 10.0.0.1 for 10.0.0.1"]
+
+
+def test_slots_and_retry_after(spark, tmp_path):
+    log = tmp_path / "slots"
+
+    def get(url):
+        return fetch.Response(429, {"Retry-After": "5"}, "x") if url.endswith("/2") else fetch.Response(200, {"Content-Type": "text/html"}, "<p>" + "word " * 200)
+
+    def wait(slot):
+        with open(log, "a") as f:
+            f.write(f"{slot}\n")
+
+    req = spark.createDataFrame([(f"https://a.de/{i}?q={i}", "a.de", "other", i) for i in range(2)] + [("https://a.de/2", "a.de", "other", 2), ("https://b.de/", "b.de", "home", 0)], "url string, domain string, kind string, page_idx int")
+    robots = spark.createDataFrame([("a.de", "User-agent: *\nDisallow: /1?q=")], "domain string, body string")
+    hosts = spark.createDataFrame([("a.de", "8.8.8.8"), ("b.de", "8.8.8.8")], "host string, address string")
+    put_off = spark.createDataFrame([("a.de", 7000)], "domain string, floor_ms long")
+    rows = {r.url: r for r in fetch.fetch_pages(req, get, robots, hosts, "leadspark", refused=lambda u: None, now_ms=1000, put_off=put_off, wait=wait).collect()}
+    assert sorted(map(int, log.read_text().split())) == [1000, 7000, 8500]  # a page that robots.txt shuts, by its query, takes no slot
+    assert rows["https://a.de/1?q=1"].outcome == "robots_disallowed" and rows["https://a.de/2"].put_off_ms == 6000 and rows["https://b.de/"].put_off_ms is None
+
+
+def test_known_addresses(spark):
+    hosts = spark.createDataFrame([("a.de",), ("b.de",), ("c.de",), ("a.de",)], "host string")
+    known = spark.createDataFrame([("a.de", "1.1.1.1", 900), ("b.de", "2.2.2.2", 100), ("z.de", "3.3.3.3", 950)], "host string, address string, resolved_ms long")
+    got = fetch.resolve_hosts(hosts, lambda h: "9.9.9.9", known, now_ms=1000, ttl_ms=500)
+    assert sorted(map(tuple, got.collect())) == [("a.de", "1.1.1.1", 900), ("b.de", "9.9.9.9", 1000), ("c.de", "9.9.9.9", 1000)]
+    assert {r.address for r in fetch.resolve_hosts(hosts, lambda h: "9.9.9.9", known, now_ms=1000, ttl_ms=500, most=1).collect()} == {"9.9.9.9"}
+
+
+def test_each_query_is_paid_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def counted(q, n):
+        with open(calls, "a") as f:
+            f.write(".")
+        return 200, payload(f"https://{q}.de")
+
+    queries = spark.createDataFrame([("r", 0, "a")], "run_id string, query_idx int, query string")
+    hits, errors = search.search(queries, [search.tavily(counted), search.exa(counted)])
+    assert hits.count() == 2 and errors.count() == 0 and hits.collect() and calls.read_text() == ".."
+
+
+def test_runs_outlive_the_driver(spark, tmp_path):
+    e = Engine(spark, planner, [search.tavily(lambda q, n: (200, payload(f"https://{q}.de")))], log=f"file://{tmp_path}/log")
+    run, _ = e.begin_run("robots")
+    again = Engine(spark, planner, e.providers, log=e.log)
+    assert again.runs[run.id].status == "awaiting_approval" and again.runs[run.id].plan == run.plan
+    assert again.approve_run(run.id) == (2, None) and Engine(spark, planner, log=e.log).runs[run.id].domains_total == 2
+
+
+def test_shared_folder_is_needed_off_local():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "spark://m:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        components.shared_dir(Session)
+    Session.conf["spark.master"] = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        components.shared_dir(Session)
+    Session.conf["spark.master"] = "local[2]"
+    assert components.shared_dir(Session) == Session.conf["spark.checkpoint.dir"]
+
+
+def test_scratch_tables_go(spark):
+    with components.scratch(spark):
+        gone, kept = components.stored(spark.range(3)), components.stored(spark.range(4), keep=True)
+        assert gone.count() == 3
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)not.*exist|FAILED_READ|NotFound"):
+        spark.read.parquet(*gone.inputFiles()).count()
+
+
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "html string")
     assert store.distinct_bodies(df).count() == 2
@@ -198,11 +288,11 @@ def streamed(spark, tmp_path, batches, schema, step, name, mode="append"):
 
 def test_streaming_twins(spark, tmp_path):
     arrivals = [{"host": "h", "t_ms": t, "request": f"r{i}"} for i, t in enumerate([0, 100, 200, 9000, 9100])]
-    got = streamed(spark, tmp_path, [arrivals[:2], arrivals[2:]], "host string, t_ms long, request string", jobs.token_bucket, "bucket")
+    got = streamed(spark, tmp_path, [arrivals[:2], arrivals[2:]], "host string, t_ms long, request string", lambda d: jobs.token_bucket(d, idle_ms=None), "bucket")
     batch = politeness.token_bucket(spark.createDataFrame([(a["host"], a["t_ms"], a["request"]) for a in arrivals], "host string, t_ms long, request string"), order=("request",))
     assert sorted(map(tuple, got.select("request", "slot_ms").collect())) == sorted(map(tuple, batch.select("request", "slot_ms").collect()))
     events = [{"host": "h", "seq": i, "t_ms": i * 10, "failed": i < 6} for i in range(8)]
-    shut = streamed(spark, tmp_path, [events[:3], events[3:]], "host string, seq long, t_ms long, failed boolean", lambda d: jobs.circuit_breaker(d), "breaker")
+    shut = streamed(spark, tmp_path, [events[:3], events[3:]], "host string, seq long, t_ms long, failed boolean", lambda d: jobs.circuit_breaker(d, idle_ms=None), "breaker")
     fold = politeness.circuit_breaker(spark.createDataFrame([(e["host"], e["seq"], e["t_ms"], e["failed"]) for e in events], "host string, seq long, t_ms long, failed boolean"), t="t_ms")
     assert sorted(map(tuple, shut.select("seq", "rejected", "failures").collect())) == sorted(map(tuple, fold.select("seq", "rejected", "failures").collect()))
     queue = [{"run_id": "r", "domain": d, "ts": "2026-01-01T00:00:00Z"} for d in ("a", "b", "a")]
