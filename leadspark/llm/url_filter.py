@@ -9,7 +9,8 @@ its ``<base>``, as RFC 3986 says.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path, fit no rule, have no aliases (so their
 links and redirects join nothing) and are allowed; targets of other schemes than with ``://`` (``mailto:``) are none;
-null HTML has no links; repeated pages are judged each on its own; an empty table gives an empty one.
+null HTML has no links; of rules of equal length one that allows wins; repeated pages are judged each on its own; other
+columns are left out and may have any names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,12 +42,12 @@ def path_of(url: Column) -> Column:
 
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """The longest rule that fits, as a struct (size, rule, action); null if none does."""
+    """The longest rule that fits, as a struct (size, allow, rule, action), of equally long ones one that allows; null if none does."""
     fits = [
-        F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(a).alias("action")))
+        F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("size"), F.lit(a == "allow").alias("allow"), F.lit(h + p).alias("rule"), F.lit(a).alias("action")))
         for a, h, p in rules
     ]
-    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,action:string>")
+    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,allow:boolean,rule:string,action:string>")
 
 
 def alias_key(url: Column) -> Column:

@@ -376,6 +376,20 @@ def test_url_relative_links(spark):
     assert "Python" not in url_filter.judge(pages(spark, rows))._jdf.queryExecution().toString()
 
 
+def test_url_odd_rows(spark):
+    far = "http://far.net/" + "x" * 200_000
+    rows = [(1, far, None), (2, None, None), (None, "http://a.org/fr/", ""), (3, "://", "<link rel=canonical href=''>"), (4, "http://b.com/", f'<link rel="canonical" href="{far}">'), (4, "http://b.com/", None), (5, "", "<meta http-equiv=refresh content='0'>"), (6, "http://b.com", "x")]
+    plain = pages(spark, rows)
+    crowded = plain.withColumns({c: F.lit(f"x{c}") for c in [*CLASHING, "host", "path", "rule", "fit", "class", "component", "base", "target", "action", "a", "b", "inherited"]})
+    got = [sorted(map(str, url_filter.judge(d).collect())) for d in (plain, crowded)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    told = {(r.page_id, r.verdict) for r in url_filter.judge(plain).collect()}
+    assert told == {(1, "block"), (2, "allow"), (None, "allow"), (3, "allow"), (4, "block"), (5, "allow"), (6, "block")}
+    tie = [("block", "a.com", "/x"), ("allow", "a.com", "/x")]
+    for rules in (tie, tie[::-1]):
+        assert url_filter.judge(pages(spark, [(1, "http://a.com/x", None)]), rules).first().verdict == "allow"
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     for edges in ([(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51)], [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(50)], [(1, 1)], []):

@@ -44,6 +44,23 @@ def test_pipeline(spark, tables):
     assert got == expected and len(texts) - 1 not in got
 
 
+def test_pipeline_on_odd_rows(spark, odd, clashing, tmp_path):
+    """Nulls, repeated rows, clashing columns and no rows at all go through every stage."""
+    bench, labels = "item_id long, text string", "doc_id long, quality int, toxic int"
+    kept = {}
+    for name, docs in (("plain", odd), ("crowded", clashing), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(None, None)], bench).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([(3, 1, 0), (None, None, 1)], labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == spark.read.parquet(f"{tmp_path}/{name}/documents.parquet").columns
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
+    assert kept["plain"] == kept["crowded"] and kept["none"] == []
+    assert [i for n, i, _ in kept["plain"] if not n] == [0, 1, 2, 3, 4, 5, 6, 6, 8, 9] and kept["plain"][-1][0]  # 7 is a copy of 6
+
+
 def cut_texts(texts, length=100):
     seen, out = set(), []
     for t in texts:
