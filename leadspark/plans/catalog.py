@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import constants as C
+from leadspark.components import placed
 from leadspark.functions import challenge, contacts, html, presentation, robots, text, urls
-from leadspark.operators import dedupe, discover, merge, pages, politeness, read_models, runs, score, validate
+from leadspark.operators import discover, merge, pages, politeness, read_models, runs, score, validate
 from leadspark.sinks import export
 from leadspark.sources import store
 
@@ -33,11 +34,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import more  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: _SQL[k] for k in queries() if k in _SQL}
 
 
 def _in(values: list[str]) -> str:
@@ -274,11 +277,6 @@ def email_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_found"), F.lower(F.get(found, F.lit(0))).alias("first_found"))
 
 
-@query()
-def email_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(contacts.scan_emails(F.col("text"), allow_personal=True), "; ").alias("emails"))
-
-
 @query(
     r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\+|00)[\d][\d\s().\-]{7,20}\d')) AS raw FROM documents),
     t AS (SELECT doc_id, raw, regexp_replace(regexp_replace(trim(raw), '\(\s*0\s*\)', '', 'g'), '^00', '') AS s FROM f),
@@ -381,10 +379,8 @@ def lead_score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TERMS + "SELECT id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, company_name ASC NULLS LAST, id) AS place FROM scored")
 def lead_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("company_name"), "id")
-    return _scored(spark, sf_dir).select("id", "score", F.row_number().over(w).cast("long").alias("place"))
+    d = _scored(spark, sf_dir).select("run_id", "id", "score", F.coalesce("company_name", F.lit("\uffff")).alias("name"))
+    return placed(d, ["run_id"], -F.col("score"), F.col("name"), F.col("id")).select("id", "score", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(_TERMS + "SELECT id, score FROM scored ORDER BY score DESC, company_name NULLS LAST, id LIMIT 25")
@@ -392,9 +388,9 @@ def lead_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).orderBy(F.desc("score"), F.asc_nulls_last("company_name"), "id").limit(25).select("id", "score")
 
 
-@query(_TERMS + "SELECT id, score FROM scored WHERE score >= 40 AND (contains(lower(coalesce(company_name, '')), 'steel') OR contains(domain, 'steel') OR contains(coalesce(industry, ''), 'steel') OR contains(lower(coalesce(description, '')), 'steel'))")
+@query(_TERMS + "SELECT id, score FROM scored WHERE score >= 20 AND (contains(lower(coalesce(company_name, '')), 'econ') OR contains(domain, 'econ') OR contains(coalesce(industry, ''), 'econ') OR contains(lower(coalesce(description, '')), 'econ'))")
 def lead_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_models.filter_leads(_scored(spark, sf_dir), " STEEL ", 40).select("id", "score")
+    return read_models.filter_leads(_scored(spark, sf_dir), " ECON ", 20).select("id", "score")
 
 
 @query(
@@ -423,19 +419,6 @@ def country_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", text.matches_country(F.col("country"), F.array(F.lit(" DE "), F.lit("gb"))).alias("hit"))
 
 
-@query()
-def dedupe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _scored(spark, sf_dir).withColumn("emails", F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, F.array(F.concat(F.lit("info@g"), F.pmod(F.xxhash64("id"), F.lit(40)), F.lit(".com")))).otherwise(F.col("emails")))
-    return dedupe.plan_dedupe(d)
-
-
-@query()
-def dedupe_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _scored(spark, sf_dir).withColumn("emails", F.array(F.concat(F.lit("info@g"), F.pmod(F.xxhash64("id"), F.lit(40)), F.lit(".com"))))
-    done, _ = dedupe.dedupe_runs(d.drop("issues", "requirements", "matches_requirements", "llm_confidence"))
-    return done.select("id", "domain", "company_name", "merged_into", F.size("merged_domains").alias("n_merged"), "score")
-
-
 @query("SELECT source, arg_min(text, doc_id) FILTER (WHERE lang = 'en') AS first_en, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY source")
 def merge_first_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("lang") == "en", F.col("text"))
