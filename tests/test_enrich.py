@@ -54,7 +54,7 @@ def test_tables_and_retention(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS lead_test LOCATION '{tmp_path}/db'")
     create_tables(spark, "lead_test")
     create_tables(spark, "lead_test")
-    assert {r.tableName for r in spark.sql("SHOW TABLES IN lead_test").collect()} == set(schemas.TABLES)
+    assert {r.tableName for r in spark.sql("SHOW TABLES IN lead_test").filter("not isTemporary").collect()} == set(schemas.TABLES)
     spark.sql("DROP DATABASE lead_test CASCADE")
     jobs = spark.createDataFrame([(i, datetime(2026, 1, 1 + i)) for i in range(5)], "id int, ended timestamp")
     now = F.lit(datetime(2026, 1, 5))
