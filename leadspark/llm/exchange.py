@@ -129,6 +129,11 @@ class Exchange:
         return out
 
 
+def _by_cell(sent: DataFrame, parts: int) -> DataFrame:
+    """One cell after another. Cells are of one size, so they are dealt in turn: by hash, some tasks would get several times as many as others."""
+    return sent.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell")
+
+
 def totals(sent: DataFrame, level: Exchange, fan_in: int = FAN_IN, height: int = 1) -> DataFrame:
     """(unit, family, data, kinds, total): for each message of the level the totals of its keys.
 
@@ -145,7 +150,7 @@ def totals(sent: DataFrame, level: Exchange, fan_in: int = FAN_IN, height: int =
                 stats = (int((sums > 0).sum()), int(sums.sum()))
                 yield from _batches(_TOLD, [(u, family, shut_counts(sums[w]), *(stats if i == 0 else (0, 0))) for i, (u, w) in enumerate(zip(units, where, strict=True))])
 
-        return sent.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(add_up, _TOLD)
+        return _by_cell(sent, parts).mapInArrow(add_up, _TOLD)
 
     sent, above = written(sent), level.up(fan_in)
 
@@ -166,7 +171,7 @@ def totals(sent: DataFrame, level: Exchange, fan_in: int = FAN_IN, height: int =
         stats = tuple(sum(right.column(c).to_pylist()) for c in ("kinds", "total"))
         return pa.Table.from_batches(list(_batches(_TOLD, [(u, cell // level.cells, shut_counts(found[w]), *(stats if i == 0 else (0, 0))) for i, (u, w) in enumerate(zip(units, where, strict=True))])), schema=_TOLD_SCHEMA)
 
-    higher = totals(sent.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(raised, _SENT), above, fan_in, height + 1).withColumnRenamed("unit", "cell")
+    higher = totals(_by_cell(sent, parts).mapInArrow(raised, _SENT), above, fan_in, height + 1).withColumnRenamed("unit", "cell")
     return sent.groupBy("cell").cogroup(higher.groupBy("cell")).applyInArrow(lowered, _TOLD)
 
 

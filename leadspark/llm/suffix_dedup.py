@@ -48,8 +48,8 @@ from .exchange import FAN_IN, Exchange, totals
 
 #: Bytes of a repeated string, of an anchor, and of a pack's texts, about.
 LENGTH, GRAM, PACK_BYTES = 100, 24, 3_000_000
-#: Bytes of text for each different anchor, at least, to foresee their number; runs of one anchor, or pieces of one string, that meet in a task.
-ANCHOR_BYTES, MOST_RUNS = 32, 16_384
+#: Bytes of text for each different anchor, at least, to foresee their number; anchors that are added up together; runs of one anchor, or pieces of one string, that meet in a task.
+ANCHOR_BYTES, ANCHORS, MOST_RUNS = 32, 500_000, 16_384
 #: A difference cover modulo 32 (every difference modulo 32 is one of two members).
 COVER_MODULUS, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
 #: Suffixes that are sorted at a time, unless one bucket has more.
@@ -427,7 +427,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carried)
     packs = written(bundled(texts, pack_bytes, _digests(length), "array<struct<digest:binary,id:long>>"))
     n_packs, size = packs.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    level = Exchange.of(n_packs, size // ANCHOR_BYTES, fan_in=fan_in)
+    level = Exchange.of(n_packs, size // ANCHOR_BYTES, most=ANCHORS, fan_in=fan_in)
     shares = -(-n_packs // most_runs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
