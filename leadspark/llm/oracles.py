@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import BLOCK_WORDS
 from .quality_rules import COMMON, LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE
 from .url_filter import RULES
 
@@ -109,3 +110,50 @@ cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_sp
 SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, lower(sha256(unhex(coalesce(k, hx)))) AS kept_sha256
 FROM n LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+CUTS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM s),
+c AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+_B = BLOCK_WORDS
+
+MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format(t="coalesce(text, '')")}) AS BIGINT) AS size, sha256('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
+laid AS (SELECT doc_id, source, size, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, row_number() OVER () AS row FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, place) - 1 AS k, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
+x AS (SELECT *, total - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft, sum(weight) OVER (ORDER BY k DESC) AS wby FROM o),
+r AS (SELECT CAST(lft AS BIGINT) AS lft, CAST(wby AS BIGINT) AS wby FROM x WHERE NOT 3 * source_size < lft * weight / wby ORDER BY k LIMIT 1),
+t AS (SELECT place, source, source_size, total, CASE WHEN 3 * source_size < r.lft * weight / r.wby THEN CAST(3 * source_size AS DOUBLE) ELSE r.lft * weight / r.wby END AS target FROM o, r),
+q AS (SELECT *, CAST(floor(target / greatest(total, 1) * 2147483648) AS BIGINT) AS share FROM t),
+l AS (SELECT *, CAST(sum(share) OVER (ORDER BY place) AS BIGINT) AS high, CAST(sum(share) OVER () AS BIGINT) AS shares FROM q),
+points AS (SELECT ((slot % 2147483648) * 1327217885 % 2147483648 * (SELECT any_value(shares) FROM l)) >> 31 AS point FROM (SELECT unnest(range(CAST(ceil((SELECT any_value(total) FROM l) / {_B}.0) AS BIGINT))) AS slot)),
+n AS (SELECT place, count(*) AS slots FROM points JOIN l ON point >= high - share AND point < high GROUP BY place),
+runs AS (SELECT row, size, pos + p * source_size AS a, coalesce(slots, 0) * {_B} AS stop FROM laid JOIN q ON laid.source IS NOT DISTINCT FROM q.source LEFT JOIN n USING (place), (SELECT unnest([0, 1, 2]) AS p)),
+took AS (SELECT row, CAST(sum(greatest(0, least(a + size, stop) - a)) AS BIGINT) AS taken FROM runs GROUP BY row)
+SELECT doc_id, size, source_size, target, taken FROM laid JOIN took USING (row) JOIN q ON laid.source IS NOT DISTINCT FROM q.source
+"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents),
+e AS (SELECT lang, source, row, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM e GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM e SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+h AS (SELECT g.*, coalesce(v.v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM g LEFT JOIN v USING (lang)),
+dense AS (SELECT h.lang, h.source, term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (h.n + 2 * h.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (kept.n + 2) // (v.n + 2 * v.v) AS q
+  FROM h JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms) WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_model, licenses, minhash, oracles, quality_rules, resampling, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, divergence, fill_in_middle, language_model, licenses, minhash, mixing, oracles, quality_rules, resampling, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -51,7 +51,19 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_backoff_lm, op8_toxicity, op9_minhash, op10_importance_resampling)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_backoff_lm, op8_toxicity, op9_minhash, op10_importance_resampling, op11_fill_in_middle, op12_source_mix, op13_source_divergence)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
@@ -59,4 +71,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY,
     "op6_url_filter": oracles.URLS,
     "op9_minhash": oracles.NEAR,
+    "op11_fill_in_middle": oracles.CUTS,
+    "op12_source_mix": oracles.MIX,
+    "op13_source_divergence": oracles.DIVERGENCE,
 }
