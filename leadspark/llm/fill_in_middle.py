@@ -78,13 +78,15 @@ def selected(opened_list: tuple[np.ndarray, ...], i: int) -> int:
 # --- columns -----------------------------------------------------------------------------------------------------------
 
 
-def _lists(unit: str):
-    @F.arrow_udf("struct<n: bigint, list: binary>")
-    def of(texts: pa.Array) -> pa.Array:
-        cuts = [boundaries(t, unit) for t in texts.cast(pa.binary()).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([len(c) - 1 for c in cuts], pa.int64()), pa.array([listed(c) for c in cuts], pa.binary())], ["n", "list"])
+def _indexed(unit: str):
+    """A group's one text with its number of units and its list. As an aggregate it leaves the rows where their addresses have brought them."""
 
-    return of
+    def of(texts: pa.Array) -> dict:
+        (text,) = texts.to_pylist()
+        cuts = boundaries(text.encode(), unit)
+        return {"text": text, "n": len(cuts) - 1, "list": listed(cuts)}
+
+    return F.arrow_udf(of, "struct<text: string, n: bigint, list: binary>", F.ArrowUDFType.GROUPED_AGG)
 
 
 def _arranged():
@@ -142,8 +144,7 @@ def transform(docs: DataFrame, seed: int = 1, cut_share: int = 90, suffix_first_
     """
     spark = docs.sparkSession
     tune(spark)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("address", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))).withColumn("n_bytes", F.octet_length("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("address", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))).withColumn("n_bytes", F.octet_length("text"))
     narrow = rows.drop("text")
     key = ["address", "n_bytes"]
 
@@ -153,7 +154,7 @@ def transform(docs: DataFrame, seed: int = 1, cut_share: int = 90, suffix_first_
     def index(of: DataFrame) -> DataFrame:
         texts = of.groupBy(*key).agg(F.collect_set("text").alias("texts"))
         same = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.raise_error(F.lit("different texts have one address")))
-        return texts.select(*key, same.alias("text")).withColumn("cuts", _lists(unit)("text"))
+        return texts.select(*key, same.alias("text")).groupBy(*key).agg(_indexed(unit)("text").alias("entry"))
 
     cold = narrow.join(hot, key, "left_anti").join(index(rows.join(hot, key, "left_anti")), key)
     # a text of a hot group is listed once too, then sent to each of the group's parts
@@ -162,14 +163,14 @@ def transform(docs: DataFrame, seed: int = 1, cut_share: int = 90, suffix_first_
     dealt = narrow.join(hot, key).withColumn("part", part).drop("parts").join(parts, [*key, "part"]).drop("part")
 
     h1, h2, h3, h4 = seeds(F.col("doc_id"), seed)
-    n = F.col("cuts.n")
+    n, text = F.col("entry.n"), F.col("entry.text")
     marked = F.lit(False)
     for mark in (PREFIX, SUFFIX, MIDDLE):
-        marked = marked | F.col("text").contains(mark)
+        marked = marked | text.contains(mark)
     form = F.when((F.col("n_bytes") == 0) | marked | (h3 % 100 >= cut_share), "plain").when(h4 % 100 < suffix_first_share, "spm").otherwise("psm")
     told = cold.unionByName(dealt).withColumns({"form": form, "a": F.least(h1 % (n + 1), h2 % (n + 1)), "b": F.greatest(h1 % (n + 1), h2 % (n + 1))})
     is_cut = F.col("form") != "plain"
-    return told.select("doc_id", n.alias("n"), "form", F.when(is_cut, F.col("a")).alias("prefix_chars"), F.when(is_cut, F.col("b") - F.col("a")).alias("middle_chars"), _arranged()("text", "cuts.list", "form", "a", "b").alias("output"))
+    return told.select("doc_id", n.alias("n"), "form", F.when(is_cut, F.col("a")).alias("prefix_chars"), F.when(is_cut, F.col("b") - F.col("a")).alias("middle_chars"), _arranged()("entry.text", "entry.list", "form", "a", "b").alias("output"))
 
 
 def digest(cut: DataFrame) -> DataFrame:
