@@ -6,30 +6,59 @@ language and a salt that terms hash to, so a language with most of the terms is
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, tune, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every byte that is no letter of ASCII, once A-Z are lower-cased, and not of a longer code point separates terms.
+_TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 #: A probability of 1, as a whole number.
 SCALE = 1_000_000_000
 #: Parts that the terms of a language, or its groups, are dealt to.
 SALTS = 64
-
-
-def _lower(text: Column) -> Column:
-    """A-Z in lower case, nothing else; texts of ASCII alone take the quicker way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+#: Counts that a task adds up before it hands them on.
+HELD = 400_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and rows of docs that the term is in. Nulls are ''."""
-    base = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.sort_array(F.regexp_extract_all(_lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0))).alias("terms"))
-    # in sorted order an occurrence is the first of its row if the one before is another term
-    told = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (~t.eqNullSafe(F.get("terms", i - 1))).cast("long").alias("first")))
-    return base.select("lang", "source", F.inline(told)).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    """(lang, source, term, n, docs): occurrences, and rows of docs that the term is in. Nulls are ''.
+
+    Terms are the matches of ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased. They are found and counted in Arrow batches, up to
+    HELD counts at a time, so what is exploded for the shuffle are sums.
+    """
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, d) in held.items():
+                whole = pa.table({"lang": pa.array([lang] * len(n)), "source": pa.array([source] * len(n)), "term": pa.array(list(n), pa.binary()).cast(pa.string()), "n": pa.array(list(n.values()), pa.int64()), "docs": pa.array([d[t] for t in n], pa.int64())})
+                yield from whole.to_batches(max_chunksize=50_000)
+            held.clear()
+
+        for b in batches:
+            for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"].to_pylist(), strict=True):
+                terms = text.encode().lower().translate(_TERMS).split()
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                before = len(n)
+                n.update(terms)
+                d.update(set(terms))
+                size += len(n) - before + 1
+                if size >= HELD:
+                    yield from told()
+                    size = 0
+        yield from told()
+
+    base = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    each = spread(base).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _met(left: DataFrame, right: DataFrame, by: Column) -> DataFrame:
