@@ -167,3 +167,11 @@ DOMAIN_TONES = {"queued": "idle", "fetching": "info", "extracting": "info", "don
 DOMAIN_TERMINAL = ["done", "failed", "blocked", "skipped"]
 RUN_TERMINAL = ["completed", "failed", "cancelled"]
 RUN_ACTIVE = ["planning", "discovering", "scraping"]
+
+# A job's attempts, first back-off, lease, forgiven stalls, and how long its end is kept (milliseconds).
+JOB_ATTEMPTS = 2
+JOB_BACKOFF_MS = 5_000
+JOB_LEASE_MS = 120_000
+JOB_STALLS = 1
+KEEP_DONE_MS = 24 * 3_600_000
+KEEP_FAILED_MS = 7 * 24 * 3_600_000

@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import more  # noqa: F401  (registers its queries)
+    from . import more, timed  # noqa: F401  (they register their queries)
 
     return dict(_QUERIES)
 
