@@ -103,7 +103,8 @@ def linked(sets: list[np.ndarray], least: int) -> np.ndarray:
             m = np.zeros((n, width), np.float32)
             m[owner[a:b], column[a:b] - i * width] = 1
             common += m @ m.T
-    links = 100 * common >= least * (sizes[:, None] + sizes[None, :] - common)
+    shared_by, whole = common.astype(np.int64), sizes.astype(np.int64)  # single floats tell whole numbers apart up to 2 ** 24, their hundredfolds not
+    links = 100 * shared_by >= least * (whole[:, None] + whole[None, :] - shared_by)
     np.fill_diagonal(links, True)
     while True:
         low = np.array([label[row].min() for row in links])
