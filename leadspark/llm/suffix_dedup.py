@@ -52,8 +52,12 @@ LENGTH, GRAM, PACK_BYTES = 100, 24, 3_000_000
 ANCHOR_BYTES, ANCHORS, MOST_RUNS = 32, 500_000, 16_384
 #: A difference cover modulo 32 (every difference modulo 32 is one of two members).
 COVER_MODULUS, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
-#: Suffixes that are sorted at a time, unless one bucket has more.
+#: Suffixes that are sorted at a time; an anchor that has more is parted by its strings, so only equal strings can be more.
 BUCKET = 1 << 18
+#: Grams of so short a period are the last to be anchors.
+PERIOD = 8
+#: Bytes of pieces in one batch of rows.
+BATCH_BYTES = 1 << 28
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,8 +113,8 @@ class SuffixBlock:
         self.depths: dict[int, np.ndarray] = {}
 
     def precompute(self, at: np.ndarray) -> None:
-        """Ranks of the cover suffixes at the given places, by as many bytes as a shift leaves of ``length``."""
-        order, first = np.arange(len(at)), np.zeros(len(at), bool)
+        """Ranks of the cover suffixes at the given places, which ascend, by as many bytes as a shift leaves of ``length``."""
+        order, first, self.at = np.arange(len(at)), np.zeros(len(at), bool), at
         first[:1] = True
         lowest = (self.length - (COVER_MODULUS - 1)) // 8 * 8
         for depth in range(8, self.length // 8 * 8 + 1, 8):
@@ -118,16 +122,14 @@ class SuffixBlock:
             if depth >= lowest:
                 rank = np.empty(len(at), np.uint32)
                 rank[order] = np.cumsum(first)
-                held = np.zeros(len(self.data), np.uint32)
-                held[at] = rank
-                self.depths[depth] = held
+                self.depths[depth] = rank
 
     def _tie_key(self, at: np.ndarray, shift: np.ndarray) -> np.ndarray:
         depth = (self.length - shift) // 8 * 8
         out = np.empty(len(at), np.uint32)
         for d in np.unique(depth).tolist():
             which = depth == d
-            out[which] = self.depths[d][(at + shift)[which]]
+            out[which] = self.depths[d][np.searchsorted(self.at, (at + shift)[which])]
         return out
 
     def sort(self, starts: np.ndarray, bucket: np.ndarray, aligned: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +177,7 @@ class SuffixBlock:
     def _compare(self, x: int, y: int) -> int:
         d = int(SHIFT[x % COVER_MODULUS, y % COVER_MODULUS])
         held = self.depths[(self.length - d) // 8 * 8]
-        a, b = int(held[x + d]), int(held[y + d])
+        a, b = (int(held[np.searchsorted(self.at, k + d)]) for k in (x, y))
         if a == b:
             a, b = self.data[x + self.length - 8 : x + self.length].tobytes(), self.data[y + self.length - 8 : y + self.length].tobytes()
         return (a > b) - (a < b)
@@ -204,6 +206,8 @@ def anchor_runs(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram:
     """Runs of starts that share an anchor: (from, to, place, hash). valid marks the starts of whole strings.
 
     The anchor is the first of the k-grams in the string with the least 40 bits of hash, so it depends on the string only.
+    Grams of a period of up to PERIOD bytes (lines of dashes, zeros) have larger hashes than all others: they recur at every
+    start, and as anchors would make runs of one start each.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -219,7 +223,12 @@ def anchor_runs(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram:
         for o in range(0, gram, 8):
             h = (h ^ words[o : o + n]) * _K
             h ^= h >> np.uint64(29)
-        h = mix(h)
+        h = mix(h) >> np.uint64(1)
+        for q in range(1, min(PERIOD, gram - 8) + 1):  # a gram that is a short thing over and over comes after all others
+            same = np.ones(n, bool)
+            for o in {*range(0, gram - q - 8, 8), gram - q - 8}:
+                same &= words[o : n + o] == words[o + q : n + o + q]
+            h[same] |= np.uint64(1 << 63)
         least = (h & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
         step = 1
         while step * 2 <= width:
@@ -269,17 +278,34 @@ def late_runs(data: np.ndarray, begin: np.ndarray, n: np.ndarray, before: np.nda
     order = np.argsort(number, kind="stable")
     order = order[np.bincount(number)[number[order]] > 1]
     load, out, i = np.cumsum(n[order], dtype=np.int64), [], 0
+
+    def told(o: np.ndarray, skip: np.ndarray, size: np.ndarray, group: np.ndarray) -> None:
+        """Compares size starts of each piece o, from its start skip on, within groups."""
+        block, at0 = laid(data, begin[o] + skip, begin[o] + skip + size, before[o].astype(np.int64) - skip, length)
+        at, which = ranges(at0, at0 + size)
+        late = later(SuffixBlock(block, length), at, group[which], owner[o][which], (place[o] + skip)[which] + at - at0[which], aligned=True)
+        a, e, w = runs_of((at - at0[which])[late], which[late])
+        out.append((o[w], a + skip[w], e - a))
+
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + BUCKET, "right")))
         if j < len(order):  # to the end of the last number
             j = int(np.searchsorted(number[order], number[order[j - 1]], "right"))
         o = order[i:j]
-        block, at0 = laid(data, begin[o], begin[o] + n[o], before[o].astype(np.int64), length)
-        at, which = ranges(at0, at0 + n[o])
-        late = later(SuffixBlock(block, length), at, number[o][which], owner[o][which], place[o][which] + at - at0[which], aligned=True)
-        a, e, w = runs_of((at - at0[which])[late], which[late])
-        out.append((o[w], a, e - a))
         i = j
+        if n[o].sum() <= 2 * BUCKET:
+            told(o, np.zeros(len(o), np.int64), n[o].astype(np.int64), number[o])
+            continue
+        # one number has more: its starts one by one, parts of its strings at a time
+        skip, which = ranges(np.zeros(len(o), np.int64), n[o].astype(np.int64))
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        part = np.empty(len(skip), np.uint16)
+        for k in range(0, len(skip), BUCKET):
+            part[k : k + BUCKET] = string_keys(padded, (begin[o][which[k : k + BUCKET]] + skip[k : k + BUCKET]), length) % np.uint64(min(65_535, len(skip) // BUCKET + 1))
+        for k in range(int(part.max()) + 1):
+            some = np.flatnonzero(part == k)
+            if len(some):
+                told(o[which[some]], skip[some], np.ones(len(some), np.int64), number[o][which[some]])
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
 
@@ -314,13 +340,45 @@ class Pack:
         self.order, self.length = order, length
 
     def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, anchor's place, anchor, row) of all runs of starts that share an anchor."""
+        """(from, to, anchor's place, anchor, row) of all runs of starts that share an anchor, less ``steps``, which are kept aside.
+
+        ``steps``: starts whose string also starts a step before in the same text, where the step is that from the anchor of the
+        run before to an equal one. They are late, and what they repeat is there, so nothing else need look at them;
+        of a text that is one short thing over and over only the first starts are left.
+        """
         valid = np.zeros(len(self.data), bool)
         for i, t in enumerate(self.texts):
             if len(t) >= self.length:
                 valid[self.offset[i] : self.offset[i + 1] - self.length + 1] = True
         start, stop, place, anchor = anchor_runs(self.data, valid, self.length, gram)
-        return start, stop, place, anchor, np.searchsorted(self.offset, start, "right") - 1
+        row = np.searchsorted(self.offset, start, "right") - 1
+        step = np.diff(place, prepend=place[:1])
+        again = step > 0
+        again[1:] &= (start[1:] == stop[:-1]) & (anchor[1:] == anchor[:-1]) & (row[1:] == row[:-1])
+        self.steps = np.zeros(0, np.int64)
+        if not again.any():
+            return start, stop, place, anchor, row
+        padded, late, rest = np.concatenate((self.data, np.zeros(8, np.uint8))), [], []
+        runs = np.flatnonzero(again)
+        load = np.cumsum((stop - start)[runs])
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(load, np.arange(BUCKET, int(load[-1]), BUCKET)), [len(runs)])))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at, which = ranges(start[runs[a:b]], stop[runs[a:b]])
+            which = runs[a + which]
+            back = at - step[which]
+            same = np.flatnonzero(back >= self.offset[row[which]])
+            for o in [*range(0, self.length - 8, 8), self.length - 8]:
+                same = same[words_at(padded, at[same], o) == words_at(padded, back[same], o)]
+            late.append(at[same])
+            other = np.ones(len(at), bool)
+            other[same] = False
+            rest.append(runs_of(at[other], which[other]))
+        self.steps = np.concatenate(late)
+        from_, to, which = (np.concatenate(x) for x in zip(*rest, strict=True))
+        first = np.concatenate((start[~again], from_))
+        order = np.argsort(first, kind="stable")
+        which = np.concatenate((np.flatnonzero(~again), which))[order]
+        return first[order], np.concatenate((stop[~again], to))[order], place[which], anchor[which], row[which]
 
     def copies(self, known: set[bytes]) -> list[int]:
         """The rows that repeat an earlier text as a whole, of this pack or, by their digests, of others."""
@@ -454,6 +512,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         start, stop, place, anchor, row = pack.runs(gram)
         keys, number, n = np.unique(anchor, return_inverse=True, return_counts=True)
         runs = level.totals_of(keys, mix(keys), {f: d for f, d in zip(family, data, strict=True) if f >= 0})
+        if len(pack.steps):
+            a, e, w = runs_of(pack.steps, np.searchsorted(pack.offset, pack.steps, "right") - 1)
+            out.append(_marks(name, w, a - pack.offset[w], e - a))
         looked = ~np.isin(row, whole)
         start, stop, place, row, number = (x[looked] for x in (start, stop, place, row, number))
         is_open = np.ones(len(pack.data), bool)
@@ -471,10 +532,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pack_bytes:
         single, of_hot = ranges(a[hot], e[hot])
         padded = np.concatenate((pack.data, np.zeros(8, np.uint8)))
         for from_, n_starts, run, hashes, share in ((a[~hot], (e - a)[~hot], w[~hot], keys[number[w[~hot]]], -1), (single, np.ones(len(single), np.int64), w[hot][of_hot], string_keys(padded, single, length), -1 if shares <= 1 else int(mix(np.array([name], np.uint64))[0] % np.uint64(shares)))):
-            if len(from_):
-                r, bytes_of = row[run], n_starts + length - 1
-                source, _ = ranges(from_, from_ + bytes_of)
-                out.append(_rows(len(r), kind=0, key=hashes.view(np.int64), share=share, pack=name, row=r, owner=pack.owner[r], start=from_ - pack.offset[r], n=n_starts, before=place[run] - from_, data=_binaries(pack.data[source], bytes_of)))
+            load = np.cumsum(n_starts + length - 1)
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(load, np.arange(BATCH_BYTES, int(load[-1]) if len(load) else 0, BATCH_BYTES)), [len(load)])))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                f, m, u = from_[i:j], n_starts[i:j], run[i:j]
+                r, bytes_of = row[u], m + length - 1
+                source, _ = ranges(f, f + bytes_of)
+                out.append(_rows(len(r), kind=0, key=hashes[i:j].view(np.int64), share=share, pack=name, row=r, owner=pack.owner[r], start=f - pack.offset[r], n=m, before=place[u] - f, data=_binaries(pack.data[source], bytes_of)))
         return pa.Table.from_batches(out, schema=_ROW)
 
     pieces = packs.select("pack", "data").groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(first_look, _ROWS)
