@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from leadspark.components import stored
 from leadspark.config import EngineConfig
-from leadspark.operators import discover, runs
+from leadspark.operators import discover, run_ends, runs
 from leadspark.sources import llm, search
 
 #: Type of the log of run changes; its first columns are what ``runs.fold_run_status`` takes.
 RUN_LOG = "run_id string, seq int, ts timestamp, status string, error string, query string, plan string, domains_total int, approved_at timestamp, finished_at timestamp"
+#: Type of the log of events.
+_EVENTS = "run_id string, level string, stage string, message string"
 #: Bytes of a request's text, at most.
 MOST_TEXT = 16 * 1024
 
@@ -65,8 +67,9 @@ class Engine:
                 new["finished_at"] = datetime.now(timezone.utc)
             if new.get("status") == "discovering" and old.approved_at is None:
                 new["approved_at"] = datetime.now(timezone.utc)
-            self.runs[old.id] = made = replace(old, version=old.version + 1, **new)
-            self._append(made)
+            made = replace(old, version=old.version + 1, **new)
+            self._append(made)  # first the log: what can't be written down doesn't hold
+            self.runs[old.id] = made
             return made
 
     def _append(self, run: Run) -> None:
@@ -86,6 +89,24 @@ class Engine:
 
     def _log(self, run_id: str, stage: str, message: str, level: str = "info") -> None:
         self.events.append((run_id, level, stage, message))
+        if self.log:
+            self._keep(self.spark.createDataFrame([self.events[-1]], _EVENTS))
+
+    def _keep(self, events: DataFrame) -> None:
+        events.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.log}-events")
+
+    def event_table(self) -> DataFrame:
+        """(run_id, level, stage, message): what has been told of all runs, from the log if there is one."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.log}-events")
+        if self.log and at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.read.schema(_EVENTS).parquet(f"{self.log}-events")
+        return self.spark.createDataFrame(self.events, _EVENTS)
+
+    def run_table(self, counters: DataFrame) -> DataFrame:
+        """The runs in work as rows of the run table, with the figures of counters."""
+        rows = self.spark.createDataFrame([(r.id, r.status, r.finished_at) for r in self.runs.values()], "id string, status string, finished_at timestamp")
+        names = [c for c in counters.columns if c != "run_id"]
+        return rows.join(counters.withColumnRenamed("run_id", "id"), "id", "left").na.fill(0, names)
 
     def begin_run(self, text: str) -> tuple[Run | None, str | None]:
         """A run with its plan to be approved. The run is there before planning, so that a failure can be looked at."""
@@ -149,6 +170,31 @@ class Engine:
         over = {r.run_id for r in runs.finished_runs(domains.filter(F.col("run_id").isin([k for k, v in self.runs.items() if v.status in ("scraping", "discovering")]))).collect()}
         return [i for i in sorted(over) if self._change(self.runs[i], status="completed")]
 
+    def cancel(self, ident: str, domains: DataFrame, counters: DataFrame) -> tuple[run_ends.Ended | None, str | None]:
+        """``cancel_run`` with its tables: queued domains skipped, counters flushed for the time being, and told."""
+        table = self.run_table(counters)
+        done, error = self.cancel_run(ident)
+        if not done:
+            return None, error
+        ended = run_ends.cancel(table, domains, self.spark.createDataFrame([(ident,)], "run_id string"), counters)
+        self._tell(ended)
+        return ended, None
+
+    def finish(self, domains: DataFrame, leads: DataFrame, counters: DataFrame) -> run_ends.Ended:
+        """``finalize`` with its tables: duplicates merged, counters flushed, runs closed, and told, once for each run."""
+        ended = run_ends.finish(self.run_table(counters), domains, leads, counters, self.event_table())
+        for r in ended.closed.collect():  # of the runs in work, low hundreds
+            if self.runs[r.run_id].status != "cancelled":
+                self._change(self.runs[r.run_id], status="completed")
+        self._tell(ended)
+        return ended
+
+    def _tell(self, ended: run_ends.Ended) -> None:
+        told = stored(ended.events)
+        self.events += [tuple(r) for r in told.collect()]  # a few for each run that ends
+        if self.log:
+            self._keep(told)
+
     def close(self) -> None:
         for q in self.spark.streams.active:
             q.stop()

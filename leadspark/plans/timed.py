@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.components import shared_dir
+from leadspark.components import shared_dir, stored
 from leadspark.functions import urls
-from leadspark.operators import intervals, jsonld, sessions, suffixes, totals
+from leadspark.operators import intervals, jsonld, run_ends, runs, sessions, suffixes, totals
 from leadspark.sources import ledger
 from leadspark.streaming import joins, leases
 
@@ -335,3 +335,45 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.write.format("lead_ledger").option("path", at).mode("append").save()
     read = spark.read.format("lead_ledger").option("path", at).load().filter(F.col("kind").isin("purchase", "error") & (F.col("t_ms") >= 1705000000))
     return read.groupBy("run_id", "kind").agg(F.count("*").alias("n"), F.max("t_ms").alias("last"))
+
+
+# --- ends of runs ------------------------------------------------------------------------------------------------------
+
+_ENDS = """
+WITH d AS (SELECT 'u' || user_id AS run_id, event_id, CASE event_type WHEN 'view' THEN 'done' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'blocked' ELSE CASE WHEN user_id % 4 = 1 THEN 'queued' ELSE 'skipped' END END AS status FROM events),
+r AS (SELECT 'u' || c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'discovering' ELSE 'scraping' END AS status, c_custkey % 3 = 0 AS asked FROM customer),
+c AS (SELECT run_id, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'queued') AS queued, count(*) AS n FROM d GROUP BY run_id),
+x AS (SELECT id, status, asked AND status <> 'completed' AS cancelled, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed, coalesce(queued, 0) AS queued, coalesce(n, 0) AS n FROM r LEFT JOIN c ON run_id = id),
+y AS (SELECT *, n > 0 AND status <> 'completed' AND (queued = 0 OR cancelled) AS closed FROM x),
+l AS (SELECT 'u' || user_id AS run_id, count(*) - count(DISTINCT event_id % 7) AS merged, count(DISTINCT event_id % 7) AS kept, count(*) - count(DISTINCT event_id % 7) > 0 AS any_merged FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+g AS (SELECT run_id, count(*) AS groups FROM (SELECT 'u' || user_id AS run_id, event_id % 7 FROM events WHERE event_type = 'purchase' GROUP BY ALL HAVING count(*) > 1) GROUP BY run_id)
+SELECT y.id, CASE WHEN cancelled THEN 'cancelled' WHEN closed THEN 'completed' ELSE status END AS status, CASE WHEN (cancelled OR closed) AND n > 0 THEN done ELSE 0 END AS domains_done, CASE WHEN (cancelled OR closed) AND n > 0 THEN failed ELSE 0 END AS domains_failed,
+  CASE WHEN closed THEN coalesce(merged, 0) ELSE 0 END AS merged, CASE WHEN closed THEN 1 + CASE WHEN coalesce(any_merged, false) THEN 1 ELSE 0 END + coalesce(groups, 0) ELSE 0 END + CASE WHEN cancelled THEN 1 ELSE 0 END AS events, CASE WHEN cancelled THEN queued ELSE 0 END AS skipped
+FROM y LEFT JOIN l ON l.run_id = y.id LEFT JOIN g ON g.run_id = y.id
+"""
+
+
+@query(_ENDS)
+def runs_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as runs, events as domains and purchases as leads: some runs cancelled, then all that are over finished, twice."""
+    e, k = table(spark, sf_dir, "events"), F.col("c_custkey")
+    run = F.concat(F.lit("u"), "user_id").alias("run_id")
+    kind = F.col("event_type")
+    status = F.when(kind.isin("view", "purchase"), "done").when(kind == "error", "failed").when(kind == "click", "blocked").when(F.col("user_id") % 4 == 1, "queued").otherwise("skipped")
+    time = F.lit(None).cast("timestamp")
+    domains = e.select(run, F.concat(F.lit("d"), "event_id").alias("domain"), status.alias("status"), F.lit(None).cast("string").alias("note"), time.alias("finished_at"))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("domains_done", "domains_failed", "pages_fetched", "tier1_pages", "tier2_pages", "llm_input_tokens", "llm_output_tokens", "llm_cached_tokens")]
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), k).alias("id"), F.when(k % 5 == 0, "completed").when(k % 5 == 1, "discovering").otherwise("scraping").alias("status"), time.alias("finished_at"), k, *zero)
+    counters = runs.run_counters(domains.select("run_id", F.col("status").alias("outcome_status"), F.lit(False).alias("cancelled"), *zero[2:]).withColumnRenamed("pages_fetched", "pages"))
+    base = leads(spark, sf_dir).limit(0)
+    bought = e.filter("event_type = 'purchase'").select(run, F.concat(F.lit("l"), "event_id").alias("id"), F.concat(F.lit("d"), "event_id").alias("domain"), F.concat(F.lit("Acme "), F.element_at(F.array(*map(F.lit, ["North", "South", "East", "West", "Upper", "Lower", "Inner"])), (F.col("event_id") % 7 + 1).cast("int"))).alias("company_name"), (F.col("event_id") % 13).cast("double").alias("score"))
+    found = base.withColumn("score", F.lit(0.0)).unionByName(bought, allowMissingColumns=True).withColumn("merged_domains", F.array().cast("array<string>"))
+    cancelled = run_ends.cancel(customers.drop("c_custkey"), domains, customers.filter("c_custkey % 3 = 0").select(F.col("id").alias("run_id")), counters)
+    once = run_ends.finish(cancelled.runs, cancelled.domains, found, cancelled.counters)
+    log = stored(cancelled.events.unionByName(once.events))
+    twice = run_ends.finish(once.runs, once.domains, once.leads, once.counters, log)
+    merged = twice.leads.filter("merged_into is not null").groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("merged"))
+    events = log.unionByName(twice.events).groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("events"))
+    skipped = twice.domains.filter(F.col("note") == run_ends.SKIPPED).groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("skipped"))
+    out = twice.runs.select("id", "status", "domains_done", "domains_failed").join(merged, "id", "left").join(events, "id", "left").join(skipped, "id", "left")
+    return out.na.fill(0, ["merged", "events", "skipped"])

@@ -150,6 +150,7 @@ def fetch_pages(
     for action, tier, transport in (("tier1", 1, render), ("tier2", 2, managed)):
         more = got.filter(c("decision.action") == action)
         again = fetch_tier0((more if transport else more.limit(0)).select("url", "domain", "kind", "page_idx"), transport or get, refused)
+        again = stored(again) if transport else again  # its calls are paid for, so they are made once, however often the pages are read
         still = challenge.detect_challenge(c("status"), F.expr("cast(map() as map<string,string>)"), F.coalesce("html", F.lit("")))
         good = again.filter(c("error").isNull() & (F.lit(tier == 1) | still.isNull())).select("url", F.struct("final_url", "status", "html").alias("new"))
         d2 = more.join(good.dropDuplicates(["url"]), "url", "left").withColumn("mended", c("new").isNotNull())

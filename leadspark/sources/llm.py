@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.components import stored
 from leadspark.schemas import COMPANY, PLAN
 
 #: (system, user) -> (JSON text, (input, output, cached) tokens).
@@ -80,7 +81,10 @@ def prompts(packed: DataFrame) -> DataFrame:
 
 
 def extract_with_llm(packed: DataFrame, client: Client) -> DataFrame:
-    """(domain_id, outcome, company, error, input_tokens, output_tokens, cached_tokens), one call a domain; thin texts make none."""
+    """(domain_id, outcome, company, error, input_tokens, output_tokens, cached_tokens), one call a domain; thin texts make none.
+
+    Calls are paid for, so the answers are stored: the model is asked once a domain, however often the rows are read.
+    """
     asked = prompts(packed).withColumn("enough", F.length("text") >= LEAST_INPUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def extract_with_llm(packed: DataFrame, client: Client) -> DataFrame:
                     rows.append({"domain_id": r["domain_id"], "text": None, "error": str(e), "tokens": [None, None, None]})
             yield from pa.Table.from_pylist(rows, schema=pa.schema([("domain_id", pa.string()), ("text", pa.string()), ("error", pa.string()), ("tokens", pa.list_(pa.int64()))])).to_batches()
 
-    answers = asked.filter("enough").select("domain_id", "system", "user").mapInArrow(run, "domain_id string, text string, error string, tokens array<bigint>")
+    answers = stored(asked.filter("enough").select("domain_id", "system", "user").mapInArrow(run, "domain_id string, text string, error string, tokens array<bigint>"))
     company = F.from_json("text", COMPANY)
     done = answers.select("domain_id", F.when(F.col("error").isNotNull(), "error").when(company.isNull() | F.col("text").isNull(), "no_output").otherwise("ok").alias("outcome"), company.alias("company"), "error", *usage(F.col("tokens")))
     none = asked.filter(~F.coalesce("enough", F.lit(False))).select("domain_id", F.lit("no_input").alias("outcome"), F.lit(None).cast(COMPANY).alias("company"), F.lit(None).cast("string").alias("error"), *(F.lit(0).cast("bigint").alias(n) for n in ("input_tokens", "output_tokens", "cached_tokens")))
