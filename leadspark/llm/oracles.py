@@ -66,7 +66,7 @@ URLS = f"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path, CASE WHEN strpos(url, '://') > 0 THEN {_NODE.format(u="url")} END AS node FROM pages),
 f AS (SELECT *, {_FIT.format(h="host", p="path").replace("{{", "{").replace("}}", "}")} AS fit FROM p),
 tags AS (SELECT url, node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE url IS NOT NULL),
-jumps AS (SELECT DISTINCT node AS a, target FROM (
+jumps AS (SELECT DISTINCT node AS a, replace(target, '&amp;', '&') AS target FROM (
   SELECT node, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM tags WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical')
   UNION ALL SELECT node, regexp_extract(tag, '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)http-equiv\\s*=\\s*["'']?refresh')) WHERE strpos(target, '://') > 0 AND node IS NOT NULL),
 t AS (SELECT a, {_NODE.format(u="target")} AS b, {_HOST.format(u="target")} AS th, {_PATH.format(u="target")} AS tp FROM jumps),
