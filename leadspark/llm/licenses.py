@@ -164,13 +164,51 @@ SIGNATURES = [
     (70, 0.95, "bsl-1", "boost.org", r"boost\.org/license_1_0\.txt"),
     (70, 0.95, "odbl", "opendatacommons.org", r"opendatacommons\.org/licen[cs]es/odbl"),
     (70, 0.95, "wtfpl", "wtfpl.net", r"(?<![\w.])(?:www\.)?wtfpl\.net"),
+    # fields of package metadata
+    (46, 0.9, "mit", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:mit|expat)(?![\w-])"),
+    (46, 0.9, "isc", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?isc(?![\w-])"),
+    (46, 0.9, "apache-2", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?apache(?:[- ]licen[cs]e)?,?[- ]?(?:version |v ?)?2(?:\.0)?(?![\w-])"),
+    (46, 0.9, "bsd-2", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:bsd[- ]2(?:[- ]clause)?|2[- ]clause bsd)(?![\w-])"),
+    (46, 0.9, "bsd-3", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:bsd[- ]3(?:[- ]clause)?|3[- ]clause bsd|new bsd)(?![\w-])"),
+    (44, 0.7, "bsd", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?bsd(?![\w-])(?! (?:2|3|new))"),
+    (46, 0.9, "gpl-2", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:gnu )?gpl[- ]?(?:version |v ?)?2(?:\.0)?(?:\+|-only|-or-later)?(?![\w.-])"),
+    (46, 0.9, "gpl-3", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:gnu )?gpl[- ]?(?:version |v ?)?3(?:\.0)?(?:\+|-only|-or-later)?(?![\w.-])"),
+    (46, 0.9, "lgpl-2.1", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:gnu )?lgpl[- ]?(?:version |v ?)?2\.1(?:\+|-only|-or-later)?(?![\w.-])"),
+    (46, 0.9, "lgpl-3", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:gnu )?lgpl[- ]?(?:version |v ?)?3(?:\.0)?(?:\+|-only|-or-later)?(?![\w.-])"),
+    (46, 0.9, "agpl-3", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:gnu )?agpl[- ]?(?:version |v ?)?3(?:\.0)?(?:\+|-only|-or-later)?(?![\w.-])"),
+    (44, 0.7, "gpl", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?(?:gnu )?gpl(?![\w-])(?! ?(?:version |v ?)?\d)"),
+    (46, 0.9, "mpl-2", "licen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?mpl[- ]?(?:version |v ?)?2(?:\.0)?(?![\w-])"),
+    (46, 0.9, "unlicense", "unlicen", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?unlicen[cs]e(?![\w-])"),
+    (46, 0.9, "cc0", "cc0", r"licen[cs]es?[\"']?\s*[:=]\s*[\"'(\[]*\s*(?:the )?cc0(?:[- ]?1\.0)?(?![\w-])"),
+    (43, 0.8, "mit", "mit license", r"license ::(?: osi approved ::)? mit license"),
+    (43, 0.8, "apache", "apache software", r"license ::(?: osi approved ::)? apache software license"),
+    (43, 0.8, "bsd", "bsd license", r"license ::(?: osi approved ::)? bsd license"),
+    (43, 0.8, "gpl-3", "gplv3", r"license ::(?: osi approved ::)? gnu general public license v3(?: or later)? \(gplv3\+?\)"),
+    (43, 0.8, "gpl-2", "gplv2", r"license ::(?: osi approved ::)? gnu general public license v2(?: or later)? \(gplv2\+?\)"),
+    # short names in sentences
+    (42, 0.85, "mit", "mit", r"(?:dual[- ])?licen[cs]ed (?:under|by|with) (?:the )?(?:terms of )?(?:the )?mit(?![\w-])"),
+    (42, 0.85, "mit", "mit", r"(?<![\w-])mit[- ]licen[cs]ed(?![\w-])"),
+    (41, 0.8, "mit", "mit", r"(?:released|available|distributed|published) (?:under|with) (?:the )?mit(?![\w-])(?! (?:press|media))"),
+    (42, 0.85, "isc", "isc", r"(?:licen[cs]ed|released|available) under (?:the )?isc(?![\w-])"),
+    (42, 0.85, "apache-2", "apache", r"licen[cs]ed (?:under|by|with) (?:the )?apache(?:[- ]licen[cs]e)?,?[- ](?:version |v ?)?2(?:\.0)?(?![\w-])"),
+    (42, 0.85, "apache-2", "apache", r"(?<![\w-])apache[- ](?:version |v ?)?2(?:\.0)?[- ]licen[cs]ed?(?![\w-])"),
+    (41, 0.8, "apache-2", "apache", r"(?:released|available|distributed|published) (?:under|with) (?:the )?apache[- ](?:version |v ?)?2(?:\.0)?(?![\w-])"),
+    (42, 0.8, "bsd", "bsd", r"(?:licen[cs]ed|released|available|distributed) (?:under|with) (?:the )?bsd(?![\w-])(?! (?:[23]|new|simplified))"),
+    (42, 0.8, "bsd", "bsd", r"(?<![\w-])bsd[- ]licen[cs]ed(?![\w-])"),
+    (42, 0.85, "gpl-2", "gpl", r"(?<![\w-])(?:gnu )?gpl(?: licen[cs]e)?,? (?:version|v\.?) ?2(?:\.0)?(?![\w-])(?!\.\d)"),
+    (42, 0.85, "gpl-3", "gpl", r"(?<![\w-])(?:gnu )?gpl(?: licen[cs]e)?,? (?:version|v\.?) ?3(?:\.0)?(?![\w-])(?!\.\d)"),
+    (42, 0.85, "lgpl-2.1", "lgpl", r"(?<![\w-])(?:gnu )?lgpl(?: licen[cs]e)?,? (?:version|v\.?) ?2\.1(?![\w-])"),
+    (42, 0.85, "lgpl-3", "lgpl", r"(?<![\w-])(?:gnu )?lgpl(?: licen[cs]e)?,? (?:version|v\.?) ?3(?:\.0)?(?![\w-])(?!\.\d)"),
+    (42, 0.85, "agpl-3", "agpl", r"(?<![\w-])(?:gnu )?agpl(?: licen[cs]e)?,? (?:version|v\.?) ?3(?:\.0)?(?![\w-])(?!\.\d)"),
+    (42, 0.8, "gpl", "gpl", r"(?<![\w-])gpl[- ]licen[cs]ed(?![\w-])"),
+    (42, 0.85, "cc0", "cc0", r"(?:licen[cs]ed|released|available|dedicated) (?:under|with|to) (?:the )?(?:creative commons )?cc0(?![\w-])"),
     # names without a version; a versioned rule that covers one suppresses it
     (9, 0.6, "gpl", "general public", r"(?<!lesser\s)(?<!library\s)(?<!affero\s)(?:gnu )?general public licen[cs]e(?!,? (?:version|v) ?\d)"),
-    (8, 0.5, "gpl", "gpl", r"(?:under|licen[cs]e[sd]?|the|gnu) (?:the )?gpl(?![\w-])(?! ?v?\d)"),
+    (8, 0.5, "gpl", "gpl", r"(?:under|licen[cs]e[sd]?|the|gnu) (?:the )?gpl(?![\w-])(?!,? ?(?:version |v\.? ?)?\d)"),
     (9, 0.6, "lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[cs]e(?!,? (?:version|v) ?\d)"),
-    (8, 0.5, "lgpl", "lgpl", r"(?<![\w-])lgpl(?![\w-])(?! ?v?\d)"),
+    (8, 0.5, "lgpl", "lgpl", r"(?<![\w-])lgpl(?![\w-])(?!,? ?(?:version |v\.? ?)?\d)"),
     (9, 0.6, "agpl", "affero", r"(?:gnu )?affero general public licen[cs]e(?!,? (?:version|v) ?\d)"),
-    (8, 0.5, "agpl", "agpl", r"(?<![\w-])agpl(?![\w-])(?! ?v?\d)"),
+    (8, 0.5, "agpl", "agpl", r"(?<![\w-])agpl(?![\w-])(?!,? ?(?:version |v\.? ?)?\d)"),
     (9, 0.6, "bsd", "bsd", r"(?<!clause\s)(?<!simplified\s)(?<!freebsd\s)(?<!new\s)(?<!modified\s)(?<!revised\s)(?<!original\s)(?<![\w-])bsd(?:-style)? licen[cs]e"),
     (9, 0.6, "apache", "apache", r"(?<![\w-])apache(?: software)? licen[cs]e(?!,? (?:version |v)?\d)"),
     (9, 0.6, "mpl", "mozilla", r"mozilla public licen[cs]e(?!,? (?:version |v\.? ?)?\d)"),
@@ -183,7 +221,8 @@ SIGNATURES = [
 
 #: Ways to state a licence, from the strongest: priority, confidence, pattern around the name, and whether it takes the SPDX identifier.
 FORMS = [
-    (50, 1.0, r"spdx-licen[cs]e-identifier:?\s*{spdx}(?:-only|-or-later|\+)?", True, "spdx"),
+    (50, 1.0, r"spdx-licen[cs]e-identifier:?[\s(]*{spdx}(?:-only|-or-later|\+)?", True, "spdx"),
+    (48, 1.0, r"spdx-licen[cs]e-identifier:?[^\n]{{0,200}}?(?:\b(?:or|and)\b|\()[ \t(]*{spdx}(?:-only|-or-later|\+)?", True, "spdx"),  # a later part of an expression
     (45, 0.95, r"(?:under|subject to|governed by|pursuant to) (?:the (?:terms|conditions)(?: and conditions)? of )?(?:the )?{name}", False, None),
     (40, 0.95, r"licen[cs]ed (?:to you )?(?:under|by|with) (?:the )?{name}", False, None),
     (35, 0.9, r"(?:released|distributed|published|available|provided) (?:under|with|by) (?:the )?{name}", False, None),
@@ -256,7 +295,7 @@ def resolve(found: list[tuple[int, int, int, float, str]]) -> list[tuple[int, in
 
 
 #: What says that the words behind it do not hold: a negation and a few more words of the same clause.
-_NEGATION = re.compile(r"(?:\bnot|\bnever|n['’]t|\bwithout being)(?!\s+(?:only|just|merely|solely))(?:\s+[^\W\d_]+){0,5}\s+$")
+_NEGATION = re.compile(r"(?:\bnot|\bnever|\bneither|\bnor|\bno longer|\bnicht|\bkeine[rsnm]?|n['’]t|\bwithout being)(?!\s+(?:only|just|merely|solely))(?:\s+[^\W\d_]+){0,5}\s+$")
 #: Characters before a detection that a negation is looked for in.
 _BEFORE = 60
 
