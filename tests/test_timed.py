@@ -229,6 +229,17 @@ def test_points_within_ranges_of_large_numbers_and_none(spark):
     assert intervals.within(few, wide, [], "x", "low", "high").count() == 2 * 401 * 500
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_cells_of_intervals_are_never_broadcast(spark, how):
+    """Small as the table is, its intervals in their cells are many times its size, which Spark's estimate does not know."""
+    p, r = spark.range(900).select("id", (F.col("id") % 3).alias("k"), (F.col("id") * 2).alias("x")), spark.range(300).select(F.col("id").alias("rid"), (F.col("id") % 3).alias("k"), F.col("id").alias("low"), (F.col("id") + 15).alias("high"))
+    got = intervals.within(p, r, ["k"], "x", "low", "high", how=how)
+    assert "BroadcastHashJoin" not in plan(got) and "BroadcastExchange" not in plan(got)
+    want = [(i, j) for i in range(900) for j in range(300) if i % 3 == j % 3 and j <= 2 * i <= j + 15]
+    want += [(i, None) for i in range(900) if how == "left" and i not in {a for a, _ in want}]
+    assert sorted(((a.id, a.rid) for a in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_last_before(spark, seed):
     rng = random.Random(seed)
