@@ -33,14 +33,24 @@ def retry_after_ms(now_ms: Column, value: Column) -> Column:
 def rolling_ratio(events: DataFrame, window_ms: int = 300_000, least: int = 40, ratio: float = 0.25, t: str = "t_ms", hit: str = "tier1", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds samples, ratio and alarm over the trailing window, its edge included. by: keys of separate guards.
 
-    Time is cut into spans of the window's length and each event also stands in the span after its own, where it is counted
-    but not told; so a task holds two spans of a guard's events, not all of them.
+    Time is cut into spans of the window's length; an event also stands in the span after its own, at the time when it leaves
+    the window. So a task holds two spans of a guard's events, not all of them, and a window's counts are those of the span
+    before and of the events come so far, less those gone: running sums, whose work does not grow with the window.
     """
-    span = F.floor(F.col(t) / window_ms)
-    d = events.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", span + F.col("_again"))
-    w = Window.partitionBy(*by, "_span").orderBy(t).rangeBetween(-window_ms, Window.currentRow)
-    d = d.withColumn("samples", F.count("*").over(w)).withColumn("ratio", F.avg(F.col(hit).cast("int").cast("double")).over(w))
-    return d.filter("_again = 0").drop("_again", "_span").withColumn("alarm", (F.col("samples") >= least) & (F.col("ratio") > ratio))
+    come = F.col("_gone") == 0
+    d = events.withColumn("_gone", F.explode(F.when(F.col(t).isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    d = d.withColumn("_span", F.floor(F.col(t) / window_ms) + F.col("_gone")).withColumn("_at", F.col(t) + F.col("_gone") * window_ms)
+    span = Window.partitionBy(*by, "_span")
+    # those that leave at a time still count for the events of that time
+    so_far = span.orderBy("_at", "_gone").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def within(n: Column) -> Column:
+        return F.sum(F.when(come, 0).otherwise(n)).over(span) + F.sum(F.when(come, n).otherwise(-n)).over(so_far)
+
+    known, hits = F.col(hit).isNotNull().cast("long"), F.coalesce(F.col(hit).cast("long"), F.lit(0))
+    d = d.withColumns({"samples": within(F.lit(1).cast("long")), "_known": within(known), "_hits": within(hits)})
+    d = d.filter(come).withColumn("ratio", F.when(F.col("_known") > 0, F.col("_hits") / F.col("_known")))
+    return d.drop("_gone", "_span", "_at", "_known", "_hits").withColumn("alarm", (F.col("samples") >= least) & (F.col("ratio") > ratio))
 
 
 def circuit_breaker(events: DataFrame, threshold: int = 4, cooldown_ms: int = 300_000, host: str = "host", t: str = "t_ms", failed: str = "failed", order: str = "seq") -> DataFrame:

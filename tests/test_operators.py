@@ -278,6 +278,22 @@ def test_guard_and_breaker(spark):
     assert [r.rejected for r in got] == [False] * 4 + [True, True] + [False, False] and [r.failures for r in got] == [1, 2, 3, 4, 4, 4, 1, 0]
 
 
+def test_guard_sums_run_on(spark):
+    """Counts of the window are running sums: no frame slides, which would be counted anew for each event. Times may be null and tie."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", None]), rng.choice([None, rng.randrange(-50, 200), rng.randrange(20) * 10]), rng.choice([True, False, None])) for i in range(400)]
+    got = politeness.rolling_ratio(spark.createDataFrame(rows, "id long, guard string, t_ms long, tier1 boolean"), 30, 5, by=("guard",))
+    frames = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$()" in frames and "RangeFrame, -" not in frames
+    want = {}
+    for i, guard, t, _ in rows:
+        seen = [h for _, g, u, h in rows if g == guard and (u is None if t is None else u is not None and t - 30 <= u <= t)]
+        known = [h for h in seen if h is not None]
+        ratio = sum(known) / len(known) if known else None
+        want[i] = (len(seen), ratio, None if ratio is None and len(seen) >= 5 else len(seen) >= 5 and ratio > 0.25)
+    assert {r.id: (r.samples, r.ratio, r.alarm) for r in got.collect()} == want
+
+
 def test_read_models(spark):
     df = spark.createDataFrame([("a", "r", "Zeta", "z.de", "ai", None, None, None, ["x@z.de"], [], 80.0), ("b", "r", None, "acme.de", None, "Berlin", None, None, [], ["Spark"], 80.0), ("c", "r", "Beta", "b.de", None, None, None, None, [], [], 10.0)], "id string, run_id string, company_name string, domain string, industry string, city string, country string, description string, emails array<string>, technologies array<string>, score double").withColumn("merged_into", F.when(F.col("id") == "c", "a"))
     assert [r.id for r in read_models.list_leads(df, "r").collect()] == ["a", "b", "c"]  # a null name is last
