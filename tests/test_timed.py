@@ -240,6 +240,21 @@ def test_cells_of_intervals_are_never_broadcast(spark, how):
     assert sorted(((a.id, a.rid) for a in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_cell_of_many_rows_is_dealt_to_several_tasks(spark, how):
+    """All points and intervals are in one cell; rows that repeat count each, and rows without a partner are there once."""
+    p = spark.range(60).select("id", (F.col("id") % 12).alias("x"))
+    r = spark.range(200).select(F.col("id").alias("rid"), F.when(F.col("id") % 9 != 0, F.col("id") % 5).alias("low"), F.lit(10).alias("high"))
+    got = intervals.within(p, r.unionByName(r.limit(5)), [], "x", "low", "high", unit=100, how=how, spread=8)
+    dealt = got.filter("rid is not null").groupBy(F.spark_partition_id().alias("part")).count().collect()
+    if how == "inner":  # the other form reads its rows from a table, in parts of that table
+        assert len(dealt) > 3 and max(d["count"] for d in dealt) < sum(d["count"] for d in dealt) / 2
+    ranges = [(j, None if j % 9 == 0 else j % 5) for j in [*range(200), *range(5)]]
+    want = [(i, j) for i in range(60) for j, low in ranges if i % 12 <= 10 and (low is None or i % 12 >= low)]
+    want += [(i, None) for i in range(60) if how == "left" and i % 12 == 11]
+    assert sorted(((a.id, a.rid) for a in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_last_before(spark, seed):
     rng = random.Random(seed)
