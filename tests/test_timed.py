@@ -255,6 +255,40 @@ def test_a_cell_of_many_rows_is_dealt_to_several_tasks(spark, how):
     assert sorted(((a.id, a.rid) for a in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_tiles_of_points_and_intervals(spark, monkeypatch, how, keyed):
+    """Many strips, blocks, packs and deals: each pair is there once for each time its rows repeat, whatever is null, NaN, open or upside down."""
+    for name, value in {"BLOCK": 4, "STRIP": 16, "PACK": 2, "DEAL": 8}.items():
+        monkeypatch.setattr(intervals, name, value)
+    rng = random.Random(7)
+    points = [(i, rng.choice(["hot", "hot", "hot", "b", None]) if keyed else "a", rng.choice([None, float("nan"), 7.0, 7.0, rng.uniform(-50, 400), float(rng.randrange(100))])) for i in range(150)]
+    ranges = []
+    for i in range(60):
+        low = rng.choice([None, rng.uniform(-60, 300), float(rng.randrange(100))])
+        ranges.append((i, rng.choice(["hot", "b", "c", None]) if keyed else "a", low, rng.choice([None, (low or 0) + rng.choice([0.0, 0.5, 30.0, 500.0, -1.0])])))
+    ranges += ranges[:1] * 20
+    p, r = spark.createDataFrame(points + points[:5], "pid long, k string, x double"), spark.createDataFrame(ranges, "rid long, k string, low double, high double")
+    got = intervals.within(p, r, ["k"], "x", "low", "high", how=how, spread=2) if keyed else intervals.within(p.drop("k"), r.drop("k"), [], "x", "low", "high", how=how, spread=2)
+    want = []
+    for i, k, x in points + points[:5]:
+        met = [(j, lo, hi) for j, q, lo, hi in ranges if k is not None and k == q and x is not None and x == x and (lo is None or x >= lo) and (hi is None or x <= hi)]
+        want += [(i, *m) for m in met] or ([(i, None, None, None)] if how == "left" else [])
+    assert sorted(((a.pid, a.rid, a.low, a.high) for a in got.collect()), key=repr) == sorted(want, key=repr)
+    assert got.columns == ["pid", *["k"] * keyed, "x", "rid", "low", "high"]
+
+
+def test_pairs_take_little_disk(spark, tmp_path):
+    """All pairs are written, in an order that a table holds in few bytes; an interval is copied for strips of points, not for cells."""
+    p = spark.range(6000).select(F.concat(F.lit("l"), "id").alias("id"), (F.xxhash64("id") % 300 + 300).alias("x"))
+    r = spark.range(6000).select(F.col("id").alias("rid"), F.when(F.col("id") % 50 != 0, F.col("id") * 7 % 50 * 10).alias("low"), F.when(F.col("id") % 30 != 0, F.col("id") * 7 % 50 * 10 + F.col("id") % 40).alias("high"))
+    got = intervals.within(p, r, [], "x", "low", "high", unit=4, spread=4)
+    got.write.parquet(f"{tmp_path}/pairs")
+    rows = p.groupBy("x").count().join(F.broadcast(r), F.expr("(low is null or x >= low) and (high is null or x <= high)")).agg(F.sum("count")).first()[0]
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == rows > 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * rows
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_last_before(spark, seed):
     rng = random.Random(seed)
